@@ -36,7 +36,7 @@ def let(bindings: dict[str, Column], body: Callable[[Column], Column]) -> Column
 
 def fixed(x: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, no grouping (half-even on the exact value)."""
-    return F.format_number(x, "0." + "0" * digits)
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
 
 
 def rounded(x: Column, digits: int) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog.labels import UNKNOWN, UNKNOWN_CONFIDENCE
 from ..catalog.rules import RULES, UNKNOWN_EXPLANATION
 from .linescan import any_match, fold_case
-from .textforms import let
+from .textforms import let, once
 
 RESULT_TYPE = "struct<label:string,explanation:string,confidence:double>"
 
@@ -45,10 +45,7 @@ def classify_log(log: Column) -> Column:
 
 
 def with_verdict(df: DataFrame, log: str = "log", out: str = "verdict") -> DataFrame:
-    """Add the verdict struct; folding, rule chain and look-up are one projection each."""
-    return (
-        df.withColumn("_folded", fold_case(F.coalesce(F.col(log), F.lit(""))))
-        .withColumn("_rule", first_rule(F.col("_folded")))
-        .withColumn(out, verdict_at(F.col("_rule")))
-        .drop("_folded", "_rule")
-    )
+    """Add the verdict struct; the text is folded once and the rule chain runs once."""
+    folded = df.withColumn("_folded", fold_case(F.coalesce(F.col(log), F.lit(""))))
+    ruled = once(folded, "_rule", first_rule(F.col("_folded")))
+    return ruled.withColumn(out, verdict_at(F.col("_rule"))).drop("_folded", "_rule")

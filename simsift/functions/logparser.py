@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..catalog import labels as L
 from . import logfields as LF
 from .linescan import any_match, fold_case
-from .textforms import in_brackets, pair_text
+from .textforms import in_brackets, once, pair_text
 
 # --- fixed values: id tokens, patterns, labels, confidences, in test order --
 
@@ -102,7 +102,7 @@ def _with_fields(df: DataFrame) -> DataFrame:
     failed = F.contains(F.col("_kind"), F.lit("ASSERT_FAIL"))
     by_id = _first([_has_any(F.col("_lower"), r.tokens) for r in STRUCTURED_IDS]) + F.lit(1)
     board = F.contains(F.col("_kind"), F.lit("SCOREBOARD_FAIL"))
-    return df.withColumn("_a", F.when(board, 0).when(failed, by_id))
+    return once(df, "_a", F.when(board, 0).when(failed, by_id))
 
 
 def _fields_verdict() -> Column:
@@ -172,9 +172,8 @@ def _with_text(df: DataFrame) -> DataFrame:
         any_match(folded, TEXT_ENABLE),
         *[_has_any(F.col("_lower"), r.tokens) for r in FALLBACK_IDS],
     ]
-    return df.withColumn(
-        "_b", F.when(open_row, F.coalesce(_first(tests), F.lit(len(_TEXT_OUTCOMES) - 1)))
-    )
+    none = F.lit(len(_TEXT_OUTCOMES) - 1)
+    return once(df, "_b", F.when(open_row, F.coalesce(_first(tests), none)))
 
 
 def _with_lead(df: DataFrame) -> DataFrame:

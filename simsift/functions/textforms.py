@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: characters Python's str.strip() takes as white space ----
@@ -34,6 +34,16 @@ def let(bindings: dict[str, Column], body: Callable[[Column], Column]) -> Column
     return F.transform(F.array(packed), body)[0]
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column so that it is computed exactly once per row.
+
+    Filters on a projected column are pushed below the projection and computed
+    a second time there. A one-element explode stays where it is: later filters
+    and projections read its result.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def fixed(x: Column, digits: int) -> Column:
     """Text with a fixed number of decimals, no grouping (half-even on the exact value)."""
     return F.call_function("format_number", x, F.lit("0." + "0" * digits))

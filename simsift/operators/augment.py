@@ -12,35 +12,47 @@ from pyspark.sql import functions as F
 from ..catalog.labels import MODULES, UNKNOWN
 from ..catalog.templates import NOISE_LINES, SUFFIX_LINES
 from ..functions.draws import CHOICE_DIGITS, choose, digest, fill, number
+from ..functions.textforms import let
 from .lookups import with_label_lines
 
 MAX_NOISE = 4
 
 
+def _filled(options, seed: int, key: Column, slot: str | Column) -> Column:
+    """One of the options, filled; all its numbers come from one digest."""
+    return let({"d": digest(seed, key, slot)}, lambda b: fill(choose(options, b["d"]), b["d"]))
+
+
 def noise_prefix(seed: int, key: Column) -> Column:
     """With probability one half 1 to 4 noise lines, each ended by a line break."""
-    plan = digest(seed, key, "noise")
-    lines = number(plan, (5, 4), MAX_NOISE) + F.lit(1)
 
-    def line(i: int) -> Column:
-        own = digest(seed, key, f"noise{i}")
-        text = F.concat(fill(choose(NOISE_LINES, own), own), F.lit("\n"))
-        return text if i == 1 else F.when(lines >= i, text).otherwise("")
+    def lines(b: Column) -> Column:
+        count = number(b["plan"], (5, 4), MAX_NOISE) + F.lit(1)
+        slots = F.transform(
+            F.sequence(F.lit(1).cast("bigint"), count),
+            lambda i: F.concat(
+                _filled(NOISE_LINES, seed, b["key"], F.concat(F.lit("noise"), i.cast("string"))),
+                F.lit("\n"),
+            ),
+        )
+        noisy = number(b["plan"], CHOICE_DIGITS, 2) == 1
+        return F.when(noisy, F.array_join(slots, "")).otherwise("")
 
-    noisy = number(plan, CHOICE_DIGITS, 2) == 1
-    return F.when(noisy, F.concat(*[line(i) for i in range(1, MAX_NOISE + 1)])).otherwise("")
+    return let({"plan": digest(seed, key, "noise"), "key": key}, lines)
 
 
 def assertion_line(seed: int, key: Column, lines: Column) -> Column:
     """One of the label's phrasings, filled."""
-    own = digest(seed, key, "line")
-    at = F.conv(F.substring(own, *CHOICE_DIGITS), 16, 10).cast("bigint") % F.size(lines)
-    return fill(F.get(lines, at.cast("int")), own)
+
+    def line(b: Column) -> Column:
+        at = F.conv(F.substring(b["d"], *CHOICE_DIGITS), 16, 10).cast("bigint") % F.size(b["lines"])
+        return fill(F.get(b["lines"], at.cast("int")), b["d"])
+
+    return let({"d": digest(seed, key, "line"), "lines": lines}, line)
 
 
 def suffix_line(seed: int, key: Column) -> Column:
-    own = digest(seed, key, "suffix")
-    return fill(choose(SUFFIX_LINES, own), own)
+    return _filled(SUFFIX_LINES, seed, key, "suffix")
 
 
 def module_stamp(seed: int, key: Column) -> Column:

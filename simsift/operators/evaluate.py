@@ -65,9 +65,8 @@ def confusion_document(pairs: DataFrame) -> DataFrame:
             )
         ).alias("_row")
     )
-    return inner.agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("expected", "_row")))).alias("confusion")
-    )
+    named = F.map_from_entries(F.collect_list(F.struct("expected", "_row")))
+    return inner.agg(named.alias("confusion"))
 
 
 def details(scored: DataFrame, *extra: str) -> DataFrame:

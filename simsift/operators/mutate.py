@@ -52,7 +52,7 @@ def _lower_literal_bounds(t: Column) -> Column:
 
     def join(b: Column) -> Column:
         heads = F.concat(F.array(F.lit("")), F.transform(b["found"], rebuilt))
-        return F.array_join(F.zip_with(heads, b["gaps"], F.concat), "")
+        return F.array_join(F.zip_with(heads, b["gaps"], lambda head, gap: F.concat(head, gap)), "")
 
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     rewritten = let({"found": found, "gaps": F.split(t, pattern, -1)}, join)

@@ -108,7 +108,10 @@ def _ab_sql(by: str) -> str:
 SELECT *, CASE WHEN manual_p50_min <> 0 THEN (manual_p50_min - ai_p50_min) / manual_p50_min ELSE 0.0 END AS time_reduction_p50 FROM r"""
 
 
-@query("agg9_ab_report", "AGG-9 AGG-7 AGG-8", _ab_sql(""))
+_AB_ALL = _ab_sql("")
+
+
+@query("agg9_ab_report", "AGG-9 AGG-7 AGG-8", _AB_ALL)
 def ab_report(spark, sf):
     return AB.ab_report(D.ab_samples(spark, sf))
 

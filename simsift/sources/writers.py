@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,21 @@ def write_text_per_row(rows: DataFrame, text: str, path: str) -> None:
 def write_lines(lines: DataFrame, path: str) -> None:
     """(line_no, line) as one text file; meant for short, bounded texts."""
     lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+
+
+def write_json_arrays(rows: DataFrame, path: str) -> None:
+    """One JSON-array document per partition, written as a stream of rows."""
+
+    def documents(batches):
+        mark = "["
+        for pdf in batches:
+            texts = []
+            for text in pdf["value"]:
+                texts.append(mark + text)
+                mark = ","
+            yield pdf.assign(value=texts)
+        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
+
+    rows.select(report_document(rows)).mapInPandas(documents, "value string").write.mode(
+        "overwrite"
+    ).text(path)

@@ -99,10 +99,11 @@ def replay_breaker(
     spark = calls.sparkSession
     shared_dir(spark)
     recovery_us = int(round(recovery_s * 1_000_000))
-    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without a number AQE merges small neighbouring ranges into chunks of a good size.
+    ranges = [chunks, *_ORDER] if chunks else _ORDER
     ordered = (
         calls.select("service", "ts_us", "call_id", F.coalesce("ok", F.lit(False)).alias("ok"))
-        .repartitionByRange(chunks, *_ORDER)
+        .repartitionByRange(*ranges)
         .sortWithinPartitions(*_ORDER)
         .withColumn("chunk", F.spark_partition_id())
         .checkpoint()

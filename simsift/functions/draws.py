@@ -1,49 +1,81 @@
-"""Reproducible draws: integers cut out of an md5 over (seed, row key, slot).
+"""Reproducible draws: numbers cut out of an md5 over (seed, row key, slot).
 
 The same row gets the same numbers on every run, in any order and partitioning.
+One digest gives two 60-bit integers: the first holds cycle, count, expected and
+actual in mixed radix, the second addr, data and a choice among options.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.templates import FILL_RANGES
 
-# Hex digits of the digest used per number: (start, width), 1-based.
-CHOICE_DIGITS = (1, 4)
-FILL_DIGITS = {
-    "cycle": (5, 5), "count": (10, 5), "expected": (15, 5), "actual": (20, 5),
-    "addr": (25, 4), "data": (29, 4),
-}
+_HEX = 15  # digits per integer
+_FIRST = ("cycle", "count", "expected", "actual")
+_SECOND = ("addr", "data")
 
 
-def digest(seed: int, key: Column, slot: str | Column) -> Column:
-    slot = F.lit(slot) if isinstance(slot, str) else slot
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), key, slot).cast("binary"))
+def digest(seed: int, key: Column, slot: str) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.lit(slot)).cast("binary"))
 
 
-def number(hex_digest: Column, digits: tuple[int, int], span: int) -> Column:
-    """Integer in ``[0, span)`` from some hex digits of a digest."""
-    part = F.substring(hex_digest, *digits)
-    return F.conv(part, 16, 10).cast("bigint") % F.lit(span)
+def with_draws(rows: DataFrame, seed: int, key: Column, slots: dict[str, Column | None]) -> DataFrame:
+    """Add ``_<slot>_a`` and ``_<slot>_b`` per slot; null where its condition is false.
 
+    Digests and integers are projections of their own, so every text that is
+    built from them reads finished numbers.
+    """
+    digests = {}
+    for slot, condition in slots.items():
+        drawn = digest(seed, key, slot)
+        digests[f"_{slot}_d"] = drawn if condition is None else F.when(condition, drawn)
+    whole = lambda d, start: F.conv(F.substring(d, start, _HEX), 16, 10).cast("bigint")
+    numbers = {}
+    for slot in slots:
+        numbers[f"_{slot}_a"] = whole(F.col(f"_{slot}_d"), 1)
+        numbers[f"_{slot}_b"] = whole(F.col(f"_{slot}_d"), 1 + _HEX)
+    return rows.withColumns(digests).withColumns(numbers).drop(*digests)
 
-def choose(options, hex_digest: Column) -> Column:
-    """One of a fixed list of texts, uniformly."""
-    texts = F.array(*[F.lit(o) for o in options])
-    return F.get(texts, number(hex_digest, CHOICE_DIGITS, len(options)).cast("int"))
-
-
-def fill(template: Column, hex_digest: Column) -> Column:
-    """Put drawn numbers into a template; ``{addr:04x}``-style marks stay as written."""
-    out = template
-    for name, (low, span) in FILL_RANGES.items():
-        drawn = number(hex_digest, FILL_DIGITS[name], span) + F.lit(low)
-        if name in ("addr", "data"):
-            width = 4 if name == "addr" else 2
-            text = F.lpad(F.lower(F.hex(drawn)), width, "0")
-        else:
-            text = drawn.cast("string")
-        out = F.replace(out, F.lit("{" + name + "}"), text)
+
+def _div(number: Column, by: int) -> Column:
+    return F.call_function("div", number, F.lit(by).cast("bigint"))
+
+
+def _mixed_radix(number: Column, names: tuple[str, ...]) -> list[Column]:
+    out = []
+    for name in names:
+        low, span = FILL_RANGES[name]
+        out.append(number % F.lit(span) + F.lit(low))
+        number = _div(number, span)
     return out
+
+
+def choice(slot: str, span: int | Column) -> Column:
+    """Integer in ``[0, span)`` of a slot, independent of its fill numbers."""
+    rest = _div(F.col(f"_{slot}_b"), FILL_RANGES["addr"][1] * FILL_RANGES["data"][1])
+    return (rest % (F.lit(span) if isinstance(span, int) else span)).cast("int")
+
+
+def choose(options, slot: str) -> Column:
+    """One of a fixed list of texts, uniformly."""
+    return F.get(F.array(*[F.lit(o) for o in options]), choice(slot, len(options)))
+
+
+def as_format(template: str) -> str:
+    """Template as a format text: marks become numbered arguments, ``%`` is kept.
+
+    Only plain marks are replaced; ``{addr:04x}`` and the like stay as written.
+    """
+    text = template.replace("%", "%%")
+    for position, name in enumerate((*_FIRST, *_SECOND), start=1):
+        kind = {"addr": "04x", "data": "02x"}.get(name, "d")
+        text = text.replace("{" + name + "}", f"%{position}${kind}")
+    return text
+
+
+def fill(format_text: Column, slot: str) -> Column:
+    """Put the slot's numbers into a format text."""
+    numbers = _mixed_radix(F.col(f"_{slot}_a"), _FIRST) + _mixed_radix(F.col(f"_{slot}_b"), _SECOND)
+    return F.call_function("format_string", format_text, *numbers)

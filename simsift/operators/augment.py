@@ -11,52 +11,49 @@ from pyspark.sql import functions as F
 
 from ..catalog.labels import MODULES, UNKNOWN
 from ..catalog.templates import NOISE_LINES, SUFFIX_LINES
-from ..functions.draws import CHOICE_DIGITS, choose, digest, fill, number
-from ..functions.textforms import let
+from ..functions.draws import as_format, choice, choose, fill, with_draws
 from .lookups import with_label_lines
 
 MAX_NOISE = 4
 
 
-def _filled(options, seed: int, key: Column, slot: str | Column) -> Column:
-    """One of the options, filled; all its numbers come from one digest."""
-    return let({"d": digest(seed, key, slot)}, lambda b: fill(choose(options, b["d"]), b["d"]))
+_NOISE = [as_format(t) for t in NOISE_LINES]
+_SUFFIX = [as_format(t) for t in SUFFIX_LINES]
+_NOISE_SLOTS = [f"noise{i}" for i in range(1, MAX_NOISE + 1)]
 
 
-def noise_prefix(seed: int, key: Column) -> Column:
-    """With probability one half 1 to 4 noise lines, each ended by a line break."""
+def with_variant_draws(rows: DataFrame, seed: int, key: Column) -> DataFrame:
+    """Draws of a variant: is it noisy and how much, its lines, suffix and module."""
+    rows = with_draws(rows, seed, key, {"noise": None})
+    # 0 for half of the rows, else 1 to 4.
+    count = F.when(choice("noise", 2) == 1, F.col("_noise_a") % MAX_NOISE + 1).otherwise(0)
+    rows = rows.withColumn("_noise_count", count)
+    lines = {slot: F.col("_noise_count") >= i for i, slot in enumerate(_NOISE_SLOTS, start=1)}
+    return with_draws(rows, seed, key, {**lines, "line": None, "suffix": None, "module": None})
 
-    def lines(b: Column) -> Column:
-        count = number(b["plan"], (5, 4), MAX_NOISE) + F.lit(1)
-        slots = F.transform(
-            F.sequence(F.lit(1).cast("bigint"), count),
-            lambda i: F.concat(
-                _filled(NOISE_LINES, seed, b["key"], F.concat(F.lit("noise"), i.cast("string"))),
-                F.lit("\n"),
-            ),
-        )
-        noisy = number(b["plan"], CHOICE_DIGITS, 2) == 1
-        return F.when(noisy, F.array_join(slots, "")).otherwise("")
 
-    return let({"plan": digest(seed, key, "noise"), "key": key}, lines)
+def noise_prefix() -> Column:
+    """Up to 4 noise lines, each ended by a line break."""
+    lines = [
+        F.when(
+            F.col("_noise_count") >= i, F.concat(fill(choose(_NOISE, slot), slot), F.lit("\n"))
+        ).otherwise("")
+        for i, slot in enumerate(_NOISE_SLOTS, start=1)
+    ]
+    return F.concat(*lines)
 
 
-def assertion_line(seed: int, key: Column, lines: Column) -> Column:
+def assertion_line(formats: Column) -> Column:
     """One of the label's phrasings, filled."""
+    return fill(F.get(formats, choice("line", F.size(formats))), "line")
 
-    def line(b: Column) -> Column:
-        at = F.conv(F.substring(b["d"], *CHOICE_DIGITS), 16, 10).cast("bigint") % F.size(b["lines"])
-        return fill(F.get(b["lines"], at.cast("int")), b["d"])
 
-    return let({"d": digest(seed, key, "line"), "lines": lines}, line)
+def suffix_line() -> Column:
+    return fill(choose(_SUFFIX, "suffix"), "suffix")
 
 
-def suffix_line(seed: int, key: Column) -> Column:
-    return _filled(SUFFIX_LINES, seed, key, "suffix")
-
-
-def module_stamp(seed: int, key: Column) -> Column:
-    return choose(MODULES, digest(seed, key, "module"))
+def module_stamp() -> Column:
+    return choose(MODULES, "module")
 
 
 def number_variants(rows: DataFrame, n_aug: int) -> DataFrame:
@@ -76,20 +73,14 @@ def augment(rows: DataFrame, key: list[str], n_aug: int = 16, seed: int = 42) ->
     rows = rows.withColumn("label", F.coalesce(F.col("label"), F.lit(UNKNOWN)))
     spread = number_variants(with_label_lines(rows), n_aug)
     copy = F.col("_copy")
-    spread = spread.withColumn(
-        "_key", F.concat_ws(":", *[F.col(k).cast("string") for k in key], copy.cast("string"))
-    )
-    own, variant = F.col("_key"), copy >= 0
-    log = F.concat(
-        noise_prefix(seed, own), assertion_line(seed, own, F.col("lines")), F.lit("\n"),
-        suffix_line(seed, own),
-    )
-    out = spread.withColumns(
-        {
-            "log": F.when(variant, log).otherwise(F.col("log")),
-            "module": F.when(variant, module_stamp(seed, own)).otherwise(F.col("module")),
-            "augmented": F.when(variant, F.lit(True)),
-            "aug_id": F.when(variant, copy),
-        }
+    own = F.concat_ws(":", *[F.col(k).cast("string") for k in key], copy.cast("string"))
+    drawn = with_variant_draws(spread, seed, own)
+    variant = copy >= 0
+    log = F.concat(noise_prefix(), assertion_line(F.col("lines")), F.lit("\n"), suffix_line())
+    return drawn.select(
+        *[F.col(c) for c in rows.columns if c not in ("log", "module")],
+        F.when(variant, log).otherwise(F.col("log")).alias("log"),
+        F.when(variant, module_stamp()).otherwise(F.col("module")).alias("module"),
+        F.when(variant, F.lit(True)).alias("augmented"),
+        F.when(variant, copy).alias("aug_id"),
     )
-    return out.select(*rows.columns, "augmented", "aug_id")

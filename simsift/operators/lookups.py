@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import templates as T
+from ..functions.draws import as_format
 
 
 def constant_rows(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
@@ -33,7 +34,8 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def label_lines_table(spark: SparkSession) -> DataFrame:
-    return constant_rows(spark, ["label", "lines"], list(T.LABEL_LINES.items()))
+    formats = [(k, tuple(map(as_format, lines))) for k, lines in T.LABEL_LINES.items()]
+    return constant_rows(spark, ["label", "lines"], formats)
 
 
 def _fallback_log(mutation_id: Column, module: Column) -> Column:
@@ -51,7 +53,7 @@ def with_synthetic_log(rows: DataFrame, out: str = "log") -> DataFrame:
 
 
 def with_label_lines(rows: DataFrame) -> DataFrame:
-    """Add ``lines``: the phrasings of the row's label; one fallback for other labels."""
+    """Add ``lines``: the phrasings of the row's label as formats; one fallback for others."""
     joined = rows.join(F.broadcast(label_lines_table(rows.sparkSession)), "label", "left")
-    fallback = F.array(F.lit(T.OTHER_LABEL_LINE))
+    fallback = F.array(F.lit(as_format(T.OTHER_LABEL_LINE)))
     return joined.withColumn("lines", F.coalesce(F.col("lines"), fallback))

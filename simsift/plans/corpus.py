@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog.labels import MODULES
 from ..catalog.mutations import SPECS, MutationSpec
 from ..catalog.templates import FALLBACK_LOG, synthetic_logs
-from ..functions.draws import CHOICE_DIGITS, digest, number
+from ..functions.draws import choice, with_draws
 from ..operators import augment as A
 from ..operators import generate as GN
 from ..operators import lookups as LK
@@ -150,21 +150,24 @@ def source_mutation_pairs(spark, sf):
 
 
 @query("jn4_label_lines", "JN-4", f"""WITH {S._SIM}, {S.augmented('sim', 1, SEED)}
-SELECT id, label, list_extract(lines, {S.number('d_line', (1, 4), 'len(lines)')} + 1) AS template FROM aug WHERE copy = 0""")
+SELECT id, label, list_extract(lines, {S.choice('d_line', 'len(lines)')} + 1) AS template FROM aug WHERE copy = 0""")
 def label_lines(spark, sf):
     rows = LK.with_label_lines(D.sim_logs(spark, sf).select("id", "label"))
-    own = digest(SEED, F.concat_ws(":", F.col("id").cast("string"), F.lit("0")), "line")
-    at = number(own, CHOICE_DIGITS, 1 << 16) % F.size("lines")
-    return rows.select("id", "label", F.get("lines", at.cast("int")).alias("template"))
+    key = F.concat_ws(":", F.col("id").cast("string"), F.lit("0"))
+    drawn = with_draws(rows, SEED, key, {"line": None})
+    chosen = F.get("lines", choice("line", F.size("lines")))
+    # Show the phrasing as a template again.
+    for position, name in enumerate(("cycle", "count", "expected", "actual"), start=1):
+        chosen = F.replace(chosen, F.lit(f"%{position}$d"), F.lit("{" + name + "}"))
+    return drawn.select("id", "label", F.replace(chosen, F.lit("%%"), F.lit("%")).alias("template"))
 
 
 # ---- augmentation -------------------------------------------------------------------
 
 def _copies(spark, sf, n_aug: int) -> DataFrame:
     rows = A.number_variants(LK.with_label_lines(D.sim_logs(spark, sf).select("id", "label")), n_aug)
-    return rows.withColumn(
-        "_key", F.concat_ws(":", F.col("id").cast("string"), F.col("_copy").cast("string"))
-    )
+    key = F.concat_ws(":", F.col("id").cast("string"), F.col("_copy").cast("string"))
+    return A.with_variant_draws(rows, SEED, key)
 
 
 @query("gen1_numbered_variants", "GEN-1",
@@ -186,22 +189,22 @@ def _aug_column(spark, sf, column, name: str) -> DataFrame:
 
 @query("gen2_noise_prefix", "GEN-2", _aug_sql("noise", "noise"))
 def noise_prefix(spark, sf):
-    return _aug_column(spark, sf, A.noise_prefix(SEED, F.col("_key")), "noise")
+    return _aug_column(spark, sf, A.noise_prefix(), "noise")
 
 
 @query("gen3_assertion_line", "GEN-3", _aug_sql("line", "line"))
 def assertion_line(spark, sf):
-    return _aug_column(spark, sf, A.assertion_line(SEED, F.col("_key"), F.col("lines")), "line")
+    return _aug_column(spark, sf, A.assertion_line(F.col("lines")), "line")
 
 
 @query("gen4_suffix_line", "GEN-4", _aug_sql("suffix", "suffix"))
 def suffix_line(spark, sf):
-    return _aug_column(spark, sf, A.suffix_line(SEED, F.col("_key")), "suffix")
+    return _aug_column(spark, sf, A.suffix_line(), "suffix")
 
 
 @query("gen5_module_stamp", "GEN-5", _aug_sql("stamp", "module"))
 def module_stamp(spark, sf):
-    return _aug_column(spark, sf, A.module_stamp(SEED, F.col("_key")), "module")
+    return _aug_column(spark, sf, A.module_stamp(), "module")
 
 
 def augmented(spark, sf, n_aug: int) -> DataFrame:

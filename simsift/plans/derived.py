@@ -40,7 +40,19 @@ NOISY_TAIL = ("\nSimulation time: ", " ns")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on inputs too small to fill them.
+
+    A scan with fewer splits than cores holds at most that many splits of
+    ``maxPartitionBytes``, so moving it is cheap next to the text work per row.
+    Larger scans are left as they are: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def pick(options, index: Column) -> Column:

@@ -13,7 +13,6 @@ from ..catalog.mutations import SPECS
 from ..catalog.rules import RULES, UNKNOWN_EXPLANATION
 from ..functions import logfields as LF
 from ..functions import logparser as LP
-from ..functions.draws import FILL_DIGITS
 from .derived import LONG_TARGETS, NOISY_HEAD, NOISY_TAIL, RTL
 
 
@@ -303,21 +302,29 @@ def digest(seed: int, key: str, slot: str) -> str:
     return f"md5(concat_ws(':', '{seed}', {key}, '{slot}'))"
 
 
-def number(d: str, digits: tuple[int, int], span) -> str:
-    return f"(('0x' || substr({d}, {digits[0]}, {digits[1]}))::BIGINT % {span})"
+def whole(d: str, start: int) -> str:
+    return f"('0x' || substr({d}, {start}, 15))::BIGINT"
 
 
 def fill(template: str, d: str) -> str:
-    out = template
+    out, a, b, radix = template, whole(d, 1), whole(d, 16), 1
     for name, (low, span) in T.FILL_RANGES.items():
-        drawn = f"({number(d, FILL_DIGITS[name], span)} + {low})"
-        text = f"printf('%0{4 if name == 'addr' else 2}x', {drawn})" if name in ("addr", "data") else f"{drawn}::VARCHAR"
+        if name == "addr":
+            radix = 1
+        source = b if name in ("addr", "data") else a
+        drawn = f"(({source} // {radix}) % {span} + {low})"
+        radix *= span
+        text = f"printf('%0{4 if name == 'addr' else 2}x', {drawn})" if source == b else f"{drawn}::VARCHAR"
         out = f"replace({out}, '{{{name}}}', {text})"
     return out
 
 
+def choice(d: str, span) -> str:
+    return f"(({whole(d, 16)} // {65536 * 256}) % {span})"
+
+
 def choose(options, d: str) -> str:
-    return pick(options, number(d, (1, 4), len(options)))
+    return pick(options, choice(d, len(options)))
 
 
 _LINES = "CASE label " + " ".join(
@@ -330,16 +337,16 @@ def augmented(src: str, n_aug: int, seed: int, key: str = "id") -> str:
     k = f"concat_ws(':', {key}::VARCHAR, copy::VARCHAR)"
     ds = ", ".join(f"{digest(seed, 'k', s)} AS d_{s}" for s in
                    ("noise", "noise1", "noise2", "noise3", "noise4", "line", "suffix", "module"))
+    noisy = f"CASE WHEN {choice('d_noise', 2)} = 1 THEN {whole('d_noise', 1)} % 4 + 1 ELSE 0 END"
     lines = " || ".join(
-        f"CASE WHEN {number('d_noise', (5, 4), 4)} + 1 >= {i} THEN {fill(choose(T.NOISE_LINES, f'd_noise{i}'), f'd_noise{i}')} || chr(10) ELSE '' END"
+        f"CASE WHEN noisy >= {i} THEN {fill(choose(T.NOISE_LINES, f'd_noise{i}'), f'd_noise{i}')} || chr(10) ELSE '' END"
         for i in range(1, 5))
-    at = number("d_line", (1, 4), "len(lines)")
     return f"""aug0 AS (SELECT s.*, copy, {k} AS k, {_LINES} AS lines FROM {src} s, unnest(range(-1, {n_aug})) AS c(copy)),
-aug1 AS (SELECT *, {ds} FROM aug0),
-aug AS (SELECT *, CASE WHEN {number('d_noise', (1, 4), 2)} = 1 THEN {lines} ELSE '' END AS noise,
-  {fill(f'list_extract(lines, {at} + 1)', 'd_line')} AS line,
+aug1 AS (SELECT *, {ds} FROM aug0), aug2 AS (SELECT *, {noisy} AS noisy FROM aug1),
+aug AS (SELECT *, {lines} AS noise,
+  {fill(f"list_extract(lines, {choice('d_line', 'len(lines)')} + 1)", 'd_line')} AS line,
   {fill(choose(T.SUFFIX_LINES, 'd_suffix'), 'd_suffix')} AS suffix,
-  {choose(L.MODULES, 'd_module')} AS stamp FROM aug1)"""
+  {choose(L.MODULES, 'd_module')} AS stamp FROM aug2)"""
 
 
 def augmented_rows(src: str, n_aug: int, seed: int, key: str = "id") -> str:

@@ -42,7 +42,7 @@ def order_statistics(
     brackets = values.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
         *[
-            F.percentile_approx("_x", [p - margin, p + margin], accuracy).alias(f"_q{int(p * 100)}")
+            F.percentile_approx("_x", [p - margin, min(1.0, p + margin)], accuracy).alias(f"_q{int(p * 100)}")
             for p in (0.5, 0.95)
         ],
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.labels import UNKNOWN, UNKNOWN_CONFIDENCE
-from ..catalog.rules import RULES, UNKNOWN_EXPLANATION
+from ..catalog.rules import KEY_WORDS, RULES, UNKNOWN_EXPLANATION
 from .linescan import any_match, fold_case
 from .textforms import let, once
 
@@ -22,11 +22,11 @@ def result(label: str, explanation: str | Column, confidence: float) -> Column:
     )
 
 
-def first_rule(folded: Column, rules=RULES) -> Column:
+def first_rule(folded: Column, rules=RULES, known: dict[str, Column] | None = None) -> Column:
     """Position (0-based) of the first rule that fits; ``len(rules)`` when none does."""
     chain = None
     for position, rule in enumerate(rules):
-        test = any_match(folded, rule.patterns)
+        test = any_match(folded, rule.patterns, known)
         chain = F.when(test, position) if chain is None else chain.when(test, position)
     return chain.otherwise(len(rules))
 
@@ -47,5 +47,7 @@ def classify_log(log: Column) -> Column:
 def with_verdict(df: DataFrame, log: str = "log", out: str = "verdict") -> DataFrame:
     """Add the verdict struct; the text is folded once and the rule chain runs once."""
     folded = df.withColumn("_folded", fold_case(F.coalesce(F.col(log), F.lit(""))))
-    ruled = once(folded, "_rule", first_rule(F.col("_folded")))
-    return ruled.withColumn(out, verdict_at(F.col("_rule"))).drop("_folded", "_rule")
+    words = {f"_has_{w}": F.contains(F.col("_folded"), F.lit(w)) for w in KEY_WORDS}
+    known = {w: F.col(f"_has_{w}") for w in KEY_WORDS}
+    ruled = once(folded.withColumns(words), "_rule", first_rule(F.col("_folded"), known=known))
+    return ruled.withColumn(out, verdict_at(F.col("_rule"))).drop("_folded", "_rule", *words)

@@ -15,6 +15,7 @@ from ..catalog.templates import FILL_RANGES
 _HEX = 15  # digits per integer
 _FIRST = ("cycle", "count", "expected", "actual")
 _SECOND = ("addr", "data")
+_HEX_WIDTH = {"addr": 4, "data": 2}
 
 
 def digest(seed: int, key: Column, slot: str) -> Column:
@@ -63,19 +64,22 @@ def choose(options, slot: str) -> Column:
     return F.get(F.array(*[F.lit(o) for o in options]), choice(slot, len(options)))
 
 
-def as_format(template: str) -> str:
-    """Template as a format text: marks become numbered arguments, ``%`` is kept.
+def marks_in(options) -> tuple[str, ...]:
+    """Fill numbers that some of the templates ask for.
 
-    Only plain marks are replaced; ``{addr:04x}`` and the like stay as written.
+    Only plain marks count: ``{addr:04x}`` and the like stay as written.
     """
-    text = template.replace("%", "%%")
-    for position, name in enumerate((*_FIRST, *_SECOND), start=1):
-        kind = {"addr": "04x", "data": "02x"}.get(name, "d")
-        text = text.replace("{" + name + "}", f"%{position}${kind}")
-    return text
+    return tuple(n for n in FILL_RANGES if any("{" + n + "}" in o for o in options))
 
 
-def fill(format_text: Column, slot: str) -> Column:
-    """Put the slot's numbers into a format text."""
-    numbers = _mixed_radix(F.col(f"_{slot}_a"), _FIRST) + _mixed_radix(F.col(f"_{slot}_b"), _SECOND)
-    return F.call_function("format_string", format_text, *numbers)
+def fill(template: Column, slot: str, names: tuple[str, ...] = tuple(FILL_RANGES)) -> Column:
+    """Put the slot's numbers into a template that uses no other marks than ``names``."""
+    numbers = dict(zip(_FIRST, _mixed_radix(F.col(f"_{slot}_a"), _FIRST), strict=True))
+    numbers |= zip(_SECOND, _mixed_radix(F.col(f"_{slot}_b"), _SECOND), strict=True)
+    out = template
+    for name in names:
+        text = numbers[name].cast("string")
+        if name in _HEX_WIDTH:
+            text = F.lpad(F.lower(F.hex(numbers[name])), _HEX_WIDTH[name], "0")
+        out = F.replace(out, F.lit("{" + name + "}"), text)
+    return out

@@ -72,13 +72,18 @@ def is_literal(alternative: str) -> bool:
     return _LITERAL.fullmatch(alternative) is not None
 
 
-def matches(folded: Column, alternative: str) -> Column:
-    """Does one alternative occur in the folded text?"""
-    if is_literal(alternative):
-        return F.contains(folded, F.lit(alternative.lower()))
-    tests = [F.contains(folded, F.lit(g)) for g in guards(alternative)]
-    return reduce(lambda a, b: a & b, tests + [folded.rlike(linear_regex(alternative))])
+def matches(folded: Column, alternative: str, known: dict[str, Column] | None = None) -> Column:
+    """Does one alternative occur in the folded text?
 
+    ``known`` holds columns that say whether a word occurs at all.
+    """
+    needed = guards(alternative)
+    tests = [has for word, has in (known or {}).items() if any(word in g for g in needed)]
+    tests += [F.contains(folded, F.lit(g)) for g in needed if g not in (known or {})]
+    if not is_literal(alternative):
+        tests.append(folded.rlike(linear_regex(alternative)))
+    return reduce(lambda a, b: a & b, tests)
 
-def any_match(folded: Column, alternatives) -> Column:
-    return reduce(lambda a, b: a | b, [matches(folded, a) for a in alternatives])
+
+def any_match(folded: Column, alternatives, known: dict[str, Column] | None = None) -> Column:
+    return reduce(lambda a, b: a | b, [matches(folded, a, known) for a in alternatives])

@@ -10,15 +10,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog.labels import MODULES, UNKNOWN
-from ..catalog.templates import NOISE_LINES, SUFFIX_LINES
-from ..functions.draws import as_format, choice, choose, fill, with_draws
+from ..catalog.templates import LABEL_LINES, NOISE_LINES, OTHER_LABEL_LINE, SUFFIX_LINES
+from ..functions.draws import choice, choose, fill, marks_in, with_draws
 from .lookups import with_label_lines
 
 MAX_NOISE = 4
 
 
-_NOISE = [as_format(t) for t in NOISE_LINES]
-_SUFFIX = [as_format(t) for t in SUFFIX_LINES]
+_NOISE_MARKS, _SUFFIX_MARKS = marks_in(NOISE_LINES), marks_in(SUFFIX_LINES)
+_LABEL_MARKS = marks_in([t for lines in LABEL_LINES.values() for t in lines] + [OTHER_LABEL_LINE])
 _NOISE_SLOTS = [f"noise{i}" for i in range(1, MAX_NOISE + 1)]
 
 
@@ -36,20 +36,21 @@ def noise_prefix() -> Column:
     """Up to 4 noise lines, each ended by a line break."""
     lines = [
         F.when(
-            F.col("_noise_count") >= i, F.concat(fill(choose(_NOISE, slot), slot), F.lit("\n"))
+            F.col("_noise_count") >= i,
+            F.concat(fill(choose(NOISE_LINES, slot), slot, _NOISE_MARKS), F.lit("\n")),
         ).otherwise("")
         for i, slot in enumerate(_NOISE_SLOTS, start=1)
     ]
     return F.concat(*lines)
 
 
-def assertion_line(formats: Column) -> Column:
+def assertion_line(lines: Column) -> Column:
     """One of the label's phrasings, filled."""
-    return fill(F.get(formats, choice("line", F.size(formats))), "line")
+    return fill(F.get(lines, choice("line", F.size(lines))), "line", _LABEL_MARKS)
 
 
 def suffix_line() -> Column:
-    return fill(choose(_SUFFIX, "suffix"), "suffix")
+    return fill(choose(SUFFIX_LINES, "suffix"), "suffix", _SUFFIX_MARKS)
 
 
 def module_stamp() -> Column:

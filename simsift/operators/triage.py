@@ -14,11 +14,15 @@ from ..functions.triage import gate, keep_tail, too_long
 
 def with_model_verdict(rows: DataFrame, log: str = "log", text: str = "generated_text") -> DataFrame:
     """Add ``verdict``: the generated JSON where it is complete, else the rules on the log."""
-    ruled = with_verdict(rows, log, "_rules").withColumn("_model", strict_verdict(F.col(text)))
     model = F.col("_model")
-    return ruled.withColumn(
-        "verdict", F.when(model.isNotNull(), model).otherwise(F.col("_rules"))
-    ).drop("_rules", "_model")
+    read = rows.withColumn("_model", strict_verdict(F.col(text)))
+    # The rules only see logs that have no model verdict.
+    read = read.withColumn("_unread", F.when(model.isNull(), F.col(log)).otherwise(""))
+    return (
+        with_verdict(read, "_unread", "_rules")
+        .withColumn("verdict", F.when(model.isNotNull(), model).otherwise(F.col("_rules")))
+        .drop("_rules", "_model", "_unread")
+    )
 
 
 def join_generated(rows: DataFrame, generated: DataFrame, key: str = "id") -> DataFrame:

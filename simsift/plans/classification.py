@@ -11,7 +11,7 @@ from ..functions import logfields as LF
 from ..functions import masking as K
 from ..functions import triage as TR
 from ..functions.classify import classify_log, with_verdict
-from ..functions.draws import as_format, fill, with_draws
+from ..functions.draws import fill, with_draws
 from ..functions.logparser import with_parsed_label
 from ..functions.textforms import fixed, percent
 from ..operators import triage as OT
@@ -178,7 +178,7 @@ def template_fill(spark, sf):
     rows = with_draws(
         D.table(spark, sf, "events"), 42, F.col("event_id").cast("string"), {"fill": None}
     )
-    return rows.select("event_id", fill(F.lit(as_format(_TEMPLATE)), "fill").alias("text"))
+    return rows.select("event_id", fill(F.lit(_TEMPLATE), "fill").alias("text"))
 
 
 @query("txt10_strict_json", "TXT-10", f"""WITH {S._SIM}, {S._gen()}, {S.model_read('gen')}

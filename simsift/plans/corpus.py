@@ -156,10 +156,7 @@ def label_lines(spark, sf):
     key = F.concat_ws(":", F.col("id").cast("string"), F.lit("0"))
     drawn = with_draws(rows, SEED, key, {"line": None})
     chosen = F.get("lines", choice("line", F.size("lines")))
-    # Show the phrasing as a template again.
-    for position, name in enumerate(("cycle", "count", "expected", "actual"), start=1):
-        chosen = F.replace(chosen, F.lit(f"%{position}$d"), F.lit("{" + name + "}"))
-    return drawn.select("id", "label", F.replace(chosen, F.lit("%%"), F.lit("%")).alias("template"))
+    return drawn.select("id", "label", chosen.alias("template"))
 
 
 # ---- augmentation -------------------------------------------------------------------

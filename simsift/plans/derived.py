@@ -51,7 +51,7 @@ def spread(df: DataFrame) -> DataFrame:
     Larger scans are left as they are: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    splits = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < cores else df
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog.labels import MODULES, UNKNOWN
 from ..catalog.templates import LABEL_LINES, NOISE_LINES, OTHER_LABEL_LINE, SUFFIX_LINES
 from ..functions.draws import choice, choose, fill, marks_in, with_draws
+from ..functions.textforms import once
 from .lookups import with_label_lines
 
 MAX_NOISE = 4
@@ -75,9 +76,10 @@ def augment(rows: DataFrame, key: list[str], n_aug: int = 16, seed: int = 42) ->
     spread = number_variants(with_label_lines(rows), n_aug)
     copy = F.col("_copy")
     own = F.concat_ws(":", *[F.col(k).cast("string") for k in key], copy.cast("string"))
-    drawn = with_variant_draws(spread, seed, own)
     variant = copy >= 0
-    log = F.concat(noise_prefix(), assertion_line(F.col("lines")), F.lit("\n"), suffix_line())
+    drawn = with_variant_draws(spread, seed, own)
+    drawn = once(drawn, "_prefix", F.when(variant, noise_prefix()))
+    log = F.concat(F.col("_prefix"), assertion_line(F.col("lines")), F.lit("\n"), suffix_line())
     return drawn.select(
         *[F.col(c) for c in rows.columns if c not in ("log", "module")],
         F.when(variant, log).otherwise(F.col("log")).alias("log"),

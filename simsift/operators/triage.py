@@ -9,6 +9,7 @@ from ..catalog.formats import BREAKER_OPEN_DETAIL, TOO_LONG_DETAIL
 from ..catalog.labels import CONFIDENCE_THRESHOLD
 from ..functions.classify import RESULT_TYPE, with_verdict
 from ..functions.generated import strict_verdict
+from ..functions.textforms import once
 from ..functions.triage import gate, keep_tail, too_long
 
 
@@ -62,15 +63,14 @@ def triage(
         )
     status = F.when(F.col("_rejected"), 400).otherwise(F.col("status"))
     judged = with_model_verdict(rows, "_cut").withColumn("status", status)
-    gated = judged.withColumn(
-        "verdict", F.when(F.col("status") == 200, gate(F.col("verdict"), threshold)).cast(RESULT_TYPE)
-    )
+    answer = F.when(F.col("status") == 200, gate(F.col("verdict"), threshold)).cast(RESULT_TYPE)
+    gated = once(judged, "_answer", answer)
     detail = (
         F.when(F.col("status") == 400, F.lit(TOO_LONG_DETAIL))
         .when(F.col("status") == 503, F.lit(BREAKER_OPEN_DETAIL))
         .when(F.col("status") == 502, F.lit("Call to the model failed"))
     )
-    return gated.select(key, "status", "verdict.*", detail.alias("detail"))
+    return gated.select(key, "status", "_answer.*", detail.alias("detail"))
 
 
 def accepted(triaged: DataFrame) -> DataFrame:

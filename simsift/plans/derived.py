@@ -44,15 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on inputs too small to fill them.
+    """Use more cores on inputs with too few splits to fill them.
 
-    A scan with fewer splits than cores holds at most that many splits of
-    ``maxPartitionBytes``, so moving it is cheap next to the text work per row.
-    Larger scans are left as they are: no shuffle.
+    Such a scan holds at most that many splits of ``maxPartitionBytes``, so
+    moving it is cheap next to the text work per row; AQE picks the number of
+    partitions by size. Larger scans are left as they are: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    return df.hint("rebalance") if df.rdd.getNumPartitions() < cores else df
 
 
 def pick(options, index: Column) -> Column:

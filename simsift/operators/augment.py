@@ -73,6 +73,8 @@ def augment(rows: DataFrame, key: list[str], n_aug: int = 16, seed: int = 42) ->
     and a module stamp; label, explanation and mutation_id are kept.
     """
     rows = rows.withColumn("label", F.coalesce(F.col("label"), F.lit(UNKNOWN)))
+    if "module" not in rows.columns:
+        rows = rows.withColumn("module", F.lit(None).cast("string"))
     spread = number_variants(with_label_lines(rows), n_aug)
     copy = F.col("_copy")
     own = F.concat_ws(":", *[F.col(k).cast("string") for k in key], copy.cast("string"))

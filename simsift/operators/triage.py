@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog.formats import BREAKER_OPEN_DETAIL, TOO_LONG_DETAIL
@@ -11,6 +11,7 @@ from ..functions.classify import RESULT_TYPE, with_verdict
 from ..functions.generated import strict_verdict
 from ..functions.textforms import once
 from ..functions.triage import gate, keep_tail, too_long
+from ..sources.readers import read_log_files
 
 
 def with_model_verdict(rows: DataFrame, log: str = "log", text: str = "generated_text") -> DataFrame:
@@ -79,3 +80,8 @@ def accepted(triaged: DataFrame) -> DataFrame:
 
 def rejected(triaged: DataFrame, key: str = "id") -> DataFrame:
     return triaged.filter(F.col("status") != 200).select(key, "status", "detail")
+
+
+def classify_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, label, explanation, confidence) for log files: rules only, no cut, no gate."""
+    return with_verdict(read_log_files(spark, path)).select("file", "verdict.*")

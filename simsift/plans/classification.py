@@ -15,6 +15,7 @@ from ..functions.draws import fill, with_draws
 from ..functions.logparser import with_parsed_label
 from ..functions.textforms import fixed, percent
 from ..operators import triage as OT
+from ..operators.pairs import training_pairs
 from ..streaming.breaker import replay_breaker, route
 from . import derived as D
 from . import oracle as S
@@ -85,23 +86,23 @@ def prompt(spark, sf):
     return D.sim_logs(spark, sf).select("id", TR.prompt(F.col("log")).alias("prompt"))
 
 
-def _pairs(spark, sf):
+def _labelled(spark, sf):
     rows = with_verdict(D.sim_logs(spark, sf))
-    target = TR.target_json(F.col("label"), F.col("verdict.explanation"), F.col("verdict.confidence"))
-    return rows.select("id", TR.prompt(F.col("log")).alias("prompt"), target.alias("target"))
+    return rows.select("id", "log", "label", "verdict.explanation", "verdict.confidence")
 
 
 @query("prj6_target_json", "PRJ-6",
        f"WITH {S._SIM}, {S.verdicts('sim')} SELECT id, {_TARGET} AS target FROM cls")
 def target_json(spark, sf):
-    return _pairs(spark, sf).select("id", "target")
+    target = TR.target_json(F.col("label"), F.col("explanation"), F.col("confidence"))
+    return _labelled(spark, sf).select("id", target.alias("target"))
 
 
 @query("prj7_training_pairs", "PRJ-7", f"""WITH {S._SIM}, {S.verdicts('sim')}, p AS (
   SELECT id, {_PROMPT} AS prompt, {_TARGET} AS target FROM cls)
 SELECT id, prompt, target, '<s>[INST] ' || prompt || ' [/INST]' || chr(10) || target || '</s>' AS text FROM p""")
-def training_pairs(spark, sf):
-    return _pairs(spark, sf).withColumn("text", TR.instruct_text(F.col("prompt"), F.col("target")))
+def instruct_pairs(spark, sf):
+    return training_pairs(_labelled(spark, sf), "id")
 
 
 # ---- text fields ----------------------------------------------------------------

@@ -122,3 +122,18 @@ def test_health_and_routes(spark):
     assert [(r["route"], r["status"]) for r in with_rules] == [("rules", 200), ("rules", 200)]
     without = route(outcomes, False).orderBy("call_id").collect()
     assert [(r["route"], r["status"]) for r in without] == [("error", 502), ("error", 503)]
+
+
+def test_health_of_a_stream(spark, tmp_path):
+    rows = make_calls(200, 9)
+    write_jsonl(spark.createDataFrame(rows, CALLS), str(tmp_path / "in"))
+    calls = spark.readStream.schema(CALLS).json(str(tmp_path / "in"))
+    stream_breaker(calls, 3, 30).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "s1")
+    ).trigger(availableNow=True).start().awaitTermination()
+    outcomes = spark.readStream.schema(spark.read.parquet(str(tmp_path / "out")).schema).parquet(str(tmp_path / "out"))
+    health(outcomes).writeStream.format("memory").queryName("health_now").outputMode("complete").option(
+        "checkpointLocation", str(tmp_path / "s2")
+    ).trigger(availableNow=True).start().awaitTermination()
+    want = health(replay_breaker(spark.createDataFrame(rows, CALLS), 3, 30)).collect()
+    assert {tuple(r) for r in spark.table("health_now").collect()} == {tuple(r) for r in want}

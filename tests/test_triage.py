@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from simsift.catalog import labels as L
@@ -9,6 +10,7 @@ from simsift.functions import generated as G
 from simsift.functions import triage as TR
 from simsift.functions.textforms import fixed, percent
 from simsift.operators import triage as OT
+from simsift.operators.pairs import training_pairs
 
 
 def column(spark, values, kind, fn):
@@ -89,3 +91,18 @@ def test_routes(spark):
     got = {r["id"]: r for r in OT.triage(rows, routed, texts).collect()}
     assert [got[i]["label"] for i in range(4)] == ["A", L.PARITY, None, L.PARITY]
     assert got[2]["status"] == 503 and got[2]["detail"] == "Circuit breaker OPEN"
+
+
+def test_training_pairs(spark):
+    rows = spark.createDataFrame([("l1\nl2", "A", None, 0.5)], "log string, label string, explanation string, confidence double")
+    row = training_pairs(rows).first()
+    assert row["prompt"].endswith("Log:\nl1\nl2\nJSON:")
+    assert row["text"] == f"<s>[INST] {row['prompt']} [/INST]\n{row['target']}</s>"
+    with pytest.raises(ValueError, match="no rows"):
+        training_pairs(rows.limit(0))
+
+
+def test_classify_files(spark, tmp_path):
+    (tmp_path / "a.log").write_text("first\nparity error\n")
+    row = OT.classify_files(spark, str(tmp_path)).first()
+    assert row["file"].endswith("a.log") and row["label"] == L.PARITY

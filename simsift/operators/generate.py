@@ -47,13 +47,8 @@ def drop_inert(rows: DataFrame, include_inert: bool = False) -> DataFrame:
     return rows if include_inert else rows.filter(~F.col("is_inert"))
 
 
-def _from_catalogue(pairs: DataFrame) -> DataFrame:
-    """Rows labelled by their mutation, with the kept log."""
-    return with_synthetic_log(pairs).select(
-        "log", "label", F.col("description").alias("explanation"), F.lit(1.0).alias("confidence"),
-        F.lit("mutation").alias("label_source"), "module", "mutation_id", "tier",
-        F.lit(False).alias("is_inert"),
-    )
+def _corpus(rows: DataFrame) -> DataFrame:
+    return rows.select(*CORPUS_COLUMNS)
 
 
 def generate_corpus(
@@ -67,28 +62,37 @@ def generate_corpus(
 
     With ``run_logs(module, mutation_id, log, ok)`` and
     ``golden_runs(module, log, ok)``, modules whose golden run succeeded are
-    labelled by the log parser; all others by their mutation.
+    labelled by the log parser; all others by their mutation, with the kept log.
     """
-    pairs = pair_up(sources.select("module"), registry)
+    pairs = with_synthetic_log(pair_up(sources.select("module"), registry))
+    by_mutation = {
+        "explanation": F.col("description"),
+        "confidence": F.lit(1.0),
+        "label_source": F.lit("mutation"),
+        "is_inert": F.lit(False),
+    }
     if run_logs is None or golden_runs is None:
-        return _from_catalogue(pairs)
+        return _corpus(pairs.withColumns(by_mutation))
 
-    golden = golden_hashes(golden_runs)
-    marked = pairs.join(golden, "module", "left")
-    catalogue = _from_catalogue(marked.filter(F.col("golden_hash").isNull()))
-    simulated = marked.filter(F.col("golden_hash").isNotNull()).join(
-        run_logs.select("module", "mutation_id", "log", "ok"), ["module", "mutation_id"], "left"
-    )
-    own = F.when(F.coalesce("ok", F.lit(False)), behaviour_hash(F.col("log")))
-    simulated = simulated.withColumns(
-        {
-            "log": F.coalesce("log", F.lit("")),
-            "is_inert": F.coalesce(own == F.col("golden_hash"), F.lit(False)),
-        }
+    runs = run_logs.select("module", "mutation_id", F.col("log").alias("_run_log"), "ok")
+    rows = pairs.join(golden_hashes(golden_runs), "module", "left").join(
+        runs, ["module", "mutation_id"], "left"
     )
-    parsed = with_parsed_label(drop_inert(simulated, include_inert))
-    labelled = parsed.select(
-        "log", "parsed.label", "parsed.explanation", "parsed.confidence",
-        F.lit("log_parser").alias("label_source"), "module", "mutation_id", "tier", "is_inert",
+    simulated = F.col("golden_hash").isNotNull()
+    own = F.when(F.coalesce("ok", F.lit(False)), behaviour_hash(F.col("_run_log")))
+    rows = rows.withColumn("is_inert", F.coalesce(own == F.col("golden_hash"), F.lit(False)))
+    # Only simulated logs reach the parser's patterns; other rows pass it an empty text.
+    rows = drop_inert(rows, include_inert).withColumn("_text", F.when(simulated, F.col("_run_log")))
+    parsed = with_parsed_label(rows, "_text")
+    chosen = lambda seen, otherwise: F.when(simulated, seen).otherwise(otherwise)
+    return _corpus(
+        parsed.withColumns(
+            {
+                "log": chosen(F.coalesce("_run_log", F.lit("")), F.col("log")),
+                "label": chosen(F.col("parsed.label"), F.col("label")),
+                "explanation": chosen(F.col("parsed.explanation"), by_mutation["explanation"]),
+                "confidence": chosen(F.col("parsed.confidence"), by_mutation["confidence"]),
+                "label_source": chosen(F.lit("log_parser"), by_mutation["label_source"]),
+            }
+        )
     )
-    return labelled.unionByName(catalogue)

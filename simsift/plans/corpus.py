@@ -110,13 +110,9 @@ def kept_logs(spark, sf):
 
 def runs(spark, sf):
     """(module, mutation_id, log, ok, id): every nine events are the runs of one design."""
-    events = D.table(spark, sf, "events").select(
-        F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok")
-    )
+    ok = (F.col("event_type") != "error").alias("ok")
     module = F.concat(F.lit("m"), F.floor(F.col("id") / 9).cast("string"))
-    return D.sim_logs(spark, sf).join(events, "id").select(
-        module.alias("module"), "mutation_id", "log", "ok", "id"
-    )
+    return D.sim_logs(spark, sf, ok).select(module.alias("module"), "mutation_id", "log", "ok", "id")
 
 
 def golden_runs(all_runs: DataFrame) -> DataFrame:

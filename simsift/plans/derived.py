@@ -67,8 +67,8 @@ def _numbered(text: Column, n: Column) -> Column:
     return text
 
 
-def sim_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, module, mutation_id, label, log): one log per event, four textual forms."""
+def sim_logs(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
+    """(id, module, mutation_id, label, log, extra...): one log per event, four textual forms."""
     n = F.col("event_id")
     events = table(spark, sf_dir, "events").select("event_id", "event_type").withColumns(
         {
@@ -97,6 +97,7 @@ def sim_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.select(
         n.alias("id"), "module", "mutation_id",
         F.when(passing, F.lit(UNKNOWN)).otherwise(F.col("own_label")).alias("label"), log.alias("log"),
+        *extra,
     )
 
 

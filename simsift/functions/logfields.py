@@ -33,25 +33,35 @@ STRUCTURED_LINE = r"(?m)^TB_LOG\|(.*?=.*)"
 _U = "(?dU)"
 
 
+def _extract(log: Column, literals: tuple[str, ...], pattern: str) -> Column:
+    """First group of a pattern that needs one of the literals; '' if there is no match."""
+    needed = F.contains(log, F.lit(literals[0]))
+    for literal in literals[1:]:
+        needed = needed | F.contains(log, F.lit(literal))
+    return F.when(needed, F.regexp_extract(log, _U + pattern, 1)).otherwise("")
+
+
 def assertion_id(log: Column) -> Column:
-    return absent_if_empty(F.regexp_extract(log, _U + ASSERT_ID, 1))
+    return absent_if_empty(_extract(log, ("=", ":"), ASSERT_ID))
 
 
 def cycle_number(log: Column) -> Column:
-    return absent_if_empty(F.regexp_extract(log, _U + CYCLE, 1))
+    return absent_if_empty(_extract(log, ("cycle",), CYCLE))
 
 
 def at_cycle(log: Column) -> Column:
-    return absent_if_empty(F.regexp_extract(log, _U + AT_CYCLE, 1))
+    return absent_if_empty(_extract(log, ("at cycle ",), AT_CYCLE))
 
 
 def signal_dump(log: Column) -> Column:
     """Rest of a signal line, else the known ``name=value`` pairs, else null."""
-    rest = F.regexp_extract(log, _U + SIGNAL_DUMP, 1)
+    rest = _extract(log, ("signal",), SIGNAL_DUMP)
     pairs = F.array_join(F.regexp_extract_all(log, F.lit(_U + SIGNAL_PAIR), F.lit(0)), ", ")
     tidy = F.regexp_replace(pairs, _U + r"\s*+=\s*+", "=")
-    # regexp_extract gives '' both for no match and never for a match: [^\n]+ holds >= 1 char.
-    return F.when(rest != "", strip(rest)).otherwise(absent_if_empty(tidy))
+    # '' always means no match here: the pattern's group holds at least one character.
+    return F.when(rest != "", strip(rest)).when(
+        F.contains(log, F.lit("=")), absent_if_empty(tidy)
+    )
 
 
 def structured_body(log: Column) -> Column:

@@ -21,7 +21,7 @@ def strip(text: Column) -> Column:
 
 
 def absent_if_empty(text: Column) -> Column:
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def let(bindings: dict[str, Column], body: Callable[[Column], Column]) -> Column:

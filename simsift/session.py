@@ -1,11 +1,11 @@
-"""Session helpers: local sessions for tests and a shared scratch folder."""
+"""Session helpers: local sessions for tests, a shared scratch folder, stored tables."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
@@ -28,13 +28,16 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all nodes share: the session's checkpoint folder.
 
-    Only where none is set (single-machine tests) a temporary folder is taken.
+    A cluster has to name one in ``spark.checkpoint.dir``. Only a session whose
+    driver and executors are one process (``local[n]``) gets a folder of its own.
     """
     sc = spark.sparkContext
-    configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = tempfile.mkdtemp(prefix="simsift-")
     if sc.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+            configured = tempfile.mkdtemp(prefix="simsift-")
         sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
@@ -42,3 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below the shared folder and read it back.
+
+    Cuts the lineage at files every node can read, and gives the planner the
+    table's real size, so that it chooses between broadcast and shuffle by it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import hostrules, shards
+from . import decontaminate, hostrules, shards
 from .registry import QUERIES, query
-from .sql import HOST_RULES
+from .sql import DECONTAMINATION, HOST_RULES
 
 __all__ = ["QUERIES"]
 
@@ -28,6 +28,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_decontamination", DECONTAMINATION)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found")
+
+
 @query("op10_sharding")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))

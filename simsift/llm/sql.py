@@ -47,3 +47,22 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        short OR repeats AS base_failed, NOT (short OR repeats) AND bad.host IS NULL AS kept
 FROM r LEFT JOIN bad ON r.source = bad.host
 """
+
+DECONTAMINATION = r"""
+WITH b AS (
+  SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark),
+i AS (
+  SELECT DISTINCT item_id, len(ws) AS n_words, least(len(ws), 5) AS w,
+         array_to_string(ws[k:k + least(len(ws), 5) - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS k FROM b WHERE len(ws) > 0)),
+d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, w, array_to_string(ws[k:k + w - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, w, unnest(range(1, len(ws) - w + 2)) AS k
+        FROM d, (SELECT DISTINCT w FROM i) WHERE len(ws) >= w)),
+n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
+SELECT doc_id, item_id, n_shingles::INT AS n_shingles, count(*)::INT AS n_found
+FROM g JOIN i USING (w, g) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_shingles HAVING count(*) * 100 >= n_shingles * 75
+"""

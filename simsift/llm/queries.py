@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import decontaminate, hostrules, shards
+from . import decontaminate, hostrules, pseudonyms, shards
 from .registry import QUERIES, query
 from .sql import DECONTAMINATION, HOST_RULES
 
 __all__ = ["QUERIES"]
 
 
+#: Key of the registered query; a caller brings a secret of their own.
+KEY = "registered query"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,6 +32,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_pseudonyms")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    counts = [pseudonyms.count_of(kind).alias(f"n_{kind}") for kind in pseudonyms.KINDS]
+    return done.select("doc_id", "text", *counts)
+
+
 @query("op7_decontamination", DECONTAMINATION)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

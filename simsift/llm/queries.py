@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import decontaminate, hostrules, pseudonyms, shards
+from . import decontaminate, hostrules, pseudonyms, shards, toolcalls, urllists
 from .registry import QUERIES, query
-from .sql import DECONTAMINATION, HOST_RULES
+from .sql import DECONTAMINATION, HOST_RULES, TOOL_CALLS, URL_LISTS
 
 __all__ = ["QUERIES"]
 
@@ -32,6 +32,94 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def drawn(*parts: Column | str) -> Column:
+    """A number below 2**28 that follows from the parts, the same in every engine."""
+    cells = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat(*cells)), 1, 7), 16, 10).cast("int")
+
+
+def dated_list(pages: DataFrame) -> DataFrame:
+    """A dated list about a fifth of the sites, domains and paths that the pages name."""
+    site, part = urllists.host(F.col("url")), urllists.segment(F.col("url"))
+    sites = pages.select(site.alias("host"), part.alias("segment")).filter("host IS NOT NULL").distinct()
+    draw = drawn(F.col("host"), "/", F.col("segment")) % 3
+    pattern = (
+        F.when(draw == 0, F.col("host"))
+        .when((draw == 1) & (F.col("segment") != ""), F.concat_ws("/", "host", "segment"))
+        .otherwise(F.regexp_replace("host", r"^[^.]+\.(?=.*\.)", ""))
+    )
+    listed = sites.select(pattern.alias("pattern")).distinct().filter(drawn("listed", F.col("pattern")) % 5 == 0)
+    entry = F.concat_ws(":", "pattern", "revision")
+    return listed.select("pattern", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("revision")).select(
+        entry.alias("entry_id"), "pattern",
+        F.get(F.array(F.lit("ads"), F.lit("malware"), F.lit("adult")), drawn("kind", F.col("pattern")) % 3).alias("category"),
+        F.when(F.col("revision") % 2 == 0, "add").otherwise("remove").alias("action"),
+        F.date_add(F.lit("2024-01-01").cast("date"), drawn("day", entry) % 366).alias("day"),
+    )
+
+
+@query("op4_url_lists", URL_LISTS)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), drawn("fetched", F.col("page_id")) % 366)
+    captures = pages.withColumn("fetched_on", fetched)
+    return urllists.judged(captures, stored(dated_list(pages), "list")).select(
+        "page_id", "fetched_on", "_verdict.host", "_verdict.blocked",
+        F.array_join("_verdict.categories", ",").alias("categories"), "_verdict.n_entries",
+    )
+
+
+SCHEMAS = {
+    "search": {"query": ("string", True), "limit": ("integer", False)},
+    "weather": {"city": ("string", True), "days": ("integer", True)},
+}
+
+
+def tool_calls(turns: DataFrame) -> DataFrame:
+    """A call, sometimes two, per assistant turn; its arguments hold the turn's text, some are wrong."""
+    conv, turn, text = F.col("conv_id"), F.col("turn"), F.coalesce("text", F.lit(""))
+    here = F.concat(F.lit("c"), turn.cast("string"))
+    draw = drawn(conv, ":", turn)
+    other = F.concat(F.lit("c"), (turn + F.when(draw % 31 == 0, 2).otherwise(-2)).cast("string"))
+    first = F.when(draw % 2 == 0, F.array(other)).otherwise(F.array().cast("array<string>"))
+    number = F.size(F.split(text, " "))
+    forms = [
+        F.to_json(F.struct(text.alias("query"), number.alias("limit"))),
+        F.to_json(F.struct(number.alias("days"), text.alias("city"))),
+        F.to_json(F.struct(number.cast("string").alias("limit"), text.alias("query"))),
+        F.to_json(F.struct(text.alias("city"), number.alias("zip"))),
+        F.concat(F.lit('{"query": "'), turn.cast("string")),
+    ]
+    tools = ["search", "weather", "search", "weather", "search"]
+    kind = draw % 5
+    made = F.array(*[F.struct(F.lit(t).alias("tool"), f.alias("arguments")) for t, f in zip(tools, forms)])
+    calls = F.array(
+        F.struct(here.alias("call_id"), first.alias("depends_on")),
+        F.struct(F.concat(here, F.lit("b")).alias("call_id"), F.array(here).alias("depends_on")),
+    )
+    wanted = F.when(draw % 3 == 0, calls).otherwise(F.slice(calls, 1, 1))
+    return turns.filter("role = 'assistant'").select(
+        "conv_id", F.get(made, kind).alias("made"), F.explode(wanted).alias("call")
+    ).select("conv_id", "call.*", "made.*")
+
+
+def tool_results(turns: DataFrame) -> DataFrame:
+    """The turn after an assistant's holds the result of its call."""
+    return turns.filter("role != 'assistant' AND turn > 0").select(
+        "conv_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"),
+        F.col("text").alias("content"),
+    )
+
+
+@query("op6_tool_calls", TOOL_CALLS)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return toolcalls.linked(tool_calls(turns), tool_results(turns), SCHEMAS).select(
+        "conv_id", "call_id", "tool", "level", "n_results", "status",
+        F.array_join("errors", ",").alias("errors"), "record",
+    )
+
+
 @query("op5_pseudonyms")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)

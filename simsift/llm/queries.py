@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import decontaminate, hostrules, pseudonyms, shards, toolcalls, urllists
+from . import decontaminate, hostrules, packing, pseudonyms, shards, toolcalls, urllists
 from .registry import QUERIES, query
 from .sql import DECONTAMINATION, HOST_RULES, TOOL_CALLS, URL_LISTS
 
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.public_packing())
+
+
 @query("op3_host_rules", HOST_RULES)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = hostrules.measures(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import decontaminate, hostrules, packing, pseudonyms, shards, toolcalls, urllists
+from . import decontaminate, hostrules, langid, packing, pseudonyms, shards, toolcalls, urllists
 from .registry import QUERIES, query
 from .sql import DECONTAMINATION, HOST_RULES, TOOL_CALLS, URL_LISTS
 
@@ -26,6 +26,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), packing.public_packing())
 
 
+@query("op2_language")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit_model(docs, ~held_out)
+    return langid.classify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 @query("op3_host_rules", HOST_RULES)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = hostrules.measures(table(spark, sf_dir, "documents"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from . import decontaminate, hostrules, langid, lines, packing, pseudonyms, shards, toolcalls, urllists
+from . import decontaminate, hostrules, jaccard, langid, lines, packing, pseudonyms, shards, toolcalls, urllists
 from .registry import QUERIES, query
 from .sql import DECONTAMINATION, HOST_RULES, TOOL_CALLS, URL_LISTS
 
@@ -146,6 +146,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_shingles", "n_found")
 
 
+@query("op8_jaccard_join")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.similar_sets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

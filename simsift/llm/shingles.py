@@ -98,8 +98,9 @@ def sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             if count >= WIDTH:
                 yield np.unique(shingle[low : high - WIDTH + 1])
             elif count:
-                whole = (word[low:high] * factor[:count]).sum(dtype=np.uint64) + _U(count) * factor[WIDTH]
-                yield mixed(np.array([whole], dtype=np.uint64), 1)
+                # the factor that no word has takes the number of words
+                whole = np.append(word[low:high], _U(count)) * np.append(factor[:count], factor[WIDTH])
+                yield mixed(whole.sum(dtype=np.uint64, keepdims=True), 1)
             else:
                 yield np.zeros(0, dtype=np.uint64)
             low = high

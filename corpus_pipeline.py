@@ -18,16 +18,16 @@ from simsift.session import stored
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a base rule, or whose host fails, go."""
     measured = hostrules.measures(docs)
-    counts = stored(hostrules.host_counts(measured, "source"), "host_counts")
+    counts = stored(hostrules.host_counts(measured), "host_counts")
     verdicts = stored(hostrules.host_verdicts(counts), "hosts")
-    return hostrules.with_verdict(measured, verdicts, "source").filter("_kept").select(*docs.columns)
+    return hostrules.with_verdict(measured, verdicts).filter("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, documents stay; n_chars follows the text."""
     done = lines.without_repeats(docs)
-    changed = F.when(F.col("_lines.dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return done.withColumn("n_chars", changed.cast("bigint")).select(*docs.columns)
+    chars = F.when(F.col("lines.dropped") > 0, F.length("row.text")).otherwise(F.col("row.n_chars"))
+    return done.select(F.col("row").withField("n_chars", chars.cast("bigint")).alias("row")).select("row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

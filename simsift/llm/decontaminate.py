@@ -125,8 +125,5 @@ def contained(
 def without_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
     """docs less those that hold an item; all columns as they are."""
     hit = stored(contained(docs, items, doc_id, text, **names).select("_key").distinct(), "contaminated")
-    key = "_row_key"
-    while key in docs.columns:
-        key += "_"
-    keyed = docs.withColumn(key, row_key(doc_id, text))
-    return keyed.join(hit.select(F.col("_key").alias(key)), key, "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), row_key(doc_id, text).alias("_key"))
+    return rows.join(hit, "_key", "left_anti").select("row.*")

@@ -7,6 +7,7 @@ rates are shrunk with a beta prior that is fitted to all hosts by moments, so th
 a host with few documents is judged near the mean of all. A host is rejected when a
 shrunk rate exceeds its limit, and with it all its documents.
 
+Input rows travel as one struct ``row``, so no column name of theirs can clash.
 Null hosts give no evidence: their documents are judged by the base rules alone.
 Equal rows are separate documents. An empty table gives empty results.
 """
@@ -72,40 +73,41 @@ def _repeated_words(s: Column) -> Column:
     )
 
 
-def measures(docs: DataFrame, text: str = "text", limits: Limits = Limits()) -> DataFrame:
-    """docs with one struct column ``_m``: the measures, the base verdict and the rules failed."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+def measures(
+    docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()
+) -> DataFrame:
+    """(row, host, m) per document; m: the measures, the base verdict and the rules failed."""
+    base = docs.select(
+        F.struct("*").alias("row"), F.col(host).alias("host"), F.coalesce(text, F.lit("")).alias("t")
+    )
     # one-element explodes keep the word and window arrays from being computed for every use
-    base = docs.withColumn("_w", F.explode(F.array(words(F.col(text)))))
-    base = base.withColumn("_s", F.explode(F.array(_windows(F.col("_w")))))
-    n = F.size("_w").cast("bigint")
-    values = base.withColumn(
-        "_m",
-        F.struct(
-            n.alias("n_words"),
-            F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
-            (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-            F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
-            .cast("bigint").alias("n_dup_lines"),
-            _repeated_words(F.col("_s")).alias("n_repeat_words"),
-        ),
-    ).drop("_w", "_s")
-    m = F.col("_m")
+    base = base.withColumn("w", F.explode(F.array(words(F.col("t")))))
+    base = base.withColumn("s", F.explode(F.array(_windows(F.col("w")))))
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    m = F.struct(
+        F.size("w").cast("bigint").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
+        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
+        .cast("bigint").alias("n_dup_lines"),
+        _repeated_words(F.col("s")).alias("n_repeat_words"),
+    )
+    measured = base.select("row", "host", m.alias("m"))
+    m = F.col("m")
     short, repeats = m["n_words"] < limits.short, m["n_repeat_words"] * 100 > m["n_words"] * limits.repeats
-    return values.withColumn(
-        "_m",
+    return measured.withColumn(
+        "m",
         m.withField("short", short).withField("repeats", repeats)
         .withField("symbols", m["n_symbols"] * 100 > m["n_words"] * limits.symbols)
         .withField("base_failed", short | repeats),
     )
 
 
-def host_counts(measured: DataFrame, host: str) -> DataFrame:
+def host_counts(measured: DataFrame) -> DataFrame:
     """(host, n, one count per rule), pre-aggregated before the shuffle."""
     return (
-        measured.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host"))
-        .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"_m.{r}").alias(r) for r in RULES])
+        measured.filter("host IS NOT NULL").groupBy("host")
+        .agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f"m.{r}").alias(r) for r in RULES])
     )
 
 
@@ -148,12 +150,12 @@ def host_verdicts(counts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return judged.select("host", "n", *rates, (worst > F.lit(limits.host)).alias("rejected"))
 
 
-def with_verdict(measured: DataFrame, verdicts: DataFrame, host: str) -> DataFrame:
-    """measured with boolean ``_kept``.
+def with_verdict(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """measured with boolean ``kept``.
 
     Only the rejected hosts are joined. Their table is a stored one: Spark broadcasts it when its
     files are small, and splits a hot host's partition in the sort-merge join otherwise.
     """
-    rejected = verdicts.filter("rejected").select(F.col("host").alias("_host"), F.lit(True).alias("_bad"))
-    joined = measured.join(rejected, F.col(host) == F.col("_host"), "left")
-    return joined.withColumn("_kept", ~F.col("_m.base_failed") & F.col("_bad").isNull()).drop("_host", "_bad")
+    rejected = verdicts.filter("rejected").select("host", "rejected")
+    joined = measured.join(rejected, "host", "left")
+    return joined.withColumn("kept", ~F.col("m.base_failed") & F.col("rejected").isNull()).drop("rejected")

@@ -374,7 +374,5 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", joi
     gone = stored(
         similar_sets(docs, doc_id, text, join).filter("doc_id <> component_id").select("doc_id").distinct(), "copies"
     )
-    key = "_doc_id"
-    while key in docs.columns:
-        key += "_"
-    return docs.join(gone.withColumnRenamed("doc_id", key), F.col(doc_id) == F.col(key), "left_anti")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")

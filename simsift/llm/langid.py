@@ -256,7 +256,10 @@ def fit_model(docs: DataFrame, training, key: str = "doc_id", text: str = "text"
 
 
 def classify(docs: DataFrame, model: Model | None, text: str = "text", fit: Fit = Fit()) -> DataFrame:
-    """docs without the text, with ``lang_pred`` and ``score``; only the text is looked at."""
+    """docs without the text, with ``lang_pred`` and ``score``; only the text is looked at.
+
+    Columns of docs that are named like the two results are replaced.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # bounded by Fit
     others = [c for c in docs.columns if c not in (text, "lang_pred", "score")]

@@ -178,16 +178,14 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
 def without_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: Near = Near()
 ) -> DataFrame:
-    """docs with the text less its repeated lines, and struct ``_lines`` (n, dropped)."""
-    gone = stored(dropped_lines(docs, doc_id, text, near), "dropped")
-    keyed = docs.withColumn("_key", row_key(doc_id, text)).join(
-        gone.select(F.col("key").alias("_key"), F.col("lines").alias("_gone")), "_key", "left"
+    """(row, lines) per document: its columns with the text less repeated lines, and struct (n, dropped)."""
+    gone = stored(dropped_lines(docs, doc_id, text, near), "dropped").withColumnRenamed("lines", "gone")
+    rows = docs.select(F.struct("*").alias("row"), row_key(doc_id, text).alias("key"), F.col(text).alias("t"))
+    split = F.split("t", "\n", -1)
+    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    return rows.join(gone, "key", "left").select(
+        F.col("row").withField(f"`{text}`", F.when(F.col("gone").isNull(), F.col("t")).otherwise(kept)).alias("row"),
+        F.struct(
+            F.coalesce(F.size(split), F.lit(0)).alias("n"), F.coalesce(F.size("gone"), F.lit(0)).alias("dropped")
+        ).alias("lines"),
     )
-    split = F.split(F.col(text), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("_gone", i)), "\n")
-    return keyed.withColumns(
-        {
-            "_lines": F.struct(F.size(split).alias("n"), F.coalesce(F.size("_gone"), F.lit(0)).alias("dropped")),
-            text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept),
-        }
-    ).select(*docs.columns, "_lines")

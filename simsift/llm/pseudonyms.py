@@ -293,26 +293,32 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs with the text replaced and ``_found``: array of (kind, value, pseudonym) in the text's order."""
-    t = F.col(text)
+    """(row, found) per document: its columns with the text replaced, and what was replaced in
+    the text's order, an array of (kind, value, pseudonym)."""
+    t = F.col("t")
     found = F.transform(
         F.regexp_extract_all(t, F.lit(f"({ANY})"), 0),
-        lambda m: _let(kind_of(m), lambda k: F.struct(k.alias("kind"), m.alias("value"), pseudonym(m, k, key).alias("pseudonym"))),
+        lambda m: _let(
+            kind_of(m),
+            lambda k: F.struct(k.alias("kind"), m.alias("value"), pseudonym(m, k, key).alias("pseudonym")),
+        ),
+    )
+    some = docs.select(F.struct("*").alias("row"), F.col(text).alias("t")).withColumn(
+        "found", F.when(t.rlike("[0-9@=:]"), found)
     )
-    some = docs.withColumn("_found", F.when(t.rlike("[0-9@=:]"), found))
     gaps = F.split(t, ANY, -1)
     joined = F.concat(
-        F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("_found")), "_found", lambda g, f: F.concat(g, f["pseudonym"])), ""),
+        F.array_join(
+            F.zip_with(F.slice(gaps, F.lit(1), F.size("found")), "found", lambda g, f: F.concat(g, f["pseudonym"])), ""
+        ),
         F.element_at(gaps, -1),
     )
-    return some.withColumns(
-        {
-            text: F.when(F.size("_found") > 0, joined).otherwise(t),
-            "_found": F.filter(F.coalesce("_found", F.array()), lambda f: f["kind"].isNotNull()),
-        }
+    return some.select(
+        F.col("row").withField(f"`{text}`", F.when(F.size("found") > 0, joined).otherwise(t)).alias("row"),
+        F.filter(F.coalesce("found", F.array()), lambda f: f["kind"].isNotNull()).alias("found"),
     )
 
 
 def count_of(kind: str) -> Column:
     """How many values of a kind ``pseudonymise`` has found in a row."""
-    return F.size(F.filter("_found", lambda f: f["kind"] == kind))
+    return F.size(F.filter("found", lambda f: f["kind"] == kind))

@@ -36,12 +36,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_host_rules", HOST_RULES)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = hostrules.measures(table(spark, sf_dir, "documents"))
-    narrow = stored(measured.select("doc_id", "source", "_m"), "measures")
-    verdicts = stored(hostrules.host_verdicts(hostrules.host_counts(narrow, "source")), "hosts")
-    return hostrules.with_verdict(narrow, verdicts, "source").select(
-        "doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words",
-        "_m.base_failed", F.col("_kept").alias("kept"),
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    measured = hostrules.measures(docs)
+    narrow = stored(measured.select(F.struct("row.doc_id").alias("row"), "host", "m"), "measures")
+    verdicts = stored(hostrules.host_verdicts(hostrules.host_counts(narrow)), "hosts")
+    return hostrules.with_verdict(narrow, verdicts).select(
+        "row.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
+        "m.base_failed", "kept",
     )
 
 
@@ -77,8 +78,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), drawn("fetched", F.col("page_id")) % 366)
     captures = pages.withColumn("fetched_on", fetched)
     return urllists.judged(captures, stored(dated_list(pages), "list")).select(
-        "page_id", "fetched_on", "_verdict.host", "_verdict.blocked",
-        F.array_join("_verdict.categories", ",").alias("categories"), "_verdict.n_entries",
+        "row.page_id", "row.fetched_on", "verdict.host", "verdict.blocked",
+        F.array_join("verdict.categories", ",").alias("categories"), "verdict.n_entries",
     )
 
 
@@ -137,7 +138,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
     counts = [pseudonyms.count_of(kind).alias(f"n_{kind}") for kind in pseudonyms.KINDS]
-    return done.select("doc_id", "text", *counts)
+    return done.select("row.doc_id", "row.text", *counts)
 
 
 @query("op7_decontamination", DECONTAMINATION)
@@ -155,8 +156,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "_lines.n", "_lines.dropped", "text").withColumnsRenamed(
-        {"n": "n_lines", "dropped": "n_dropped"}
+    return done.select(
+        "row.doc_id", F.col("lines.n").alias("n_lines"), F.col("lines.dropped").alias("n_dropped"), "row.text"
     )
 
 

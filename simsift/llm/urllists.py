@@ -15,6 +15,7 @@ all captures is a few rows a day. Intervals are cut at months and joined on (key
 so a row meets 31 intervals per category at most. Captures get their verdict back in
 a join that Spark splits where a host is hot.
 
+Capture rows travel as one struct ``row``, so no column name of theirs can clash.
 Nulls: entries without pattern, category, day or action are ignored; captures
 without URL, host or fetch day are kept and not blocked. Equal rows count as one entry, and
 each as a capture. Empty tables give empty results or unblocked captures.
@@ -74,39 +75,32 @@ def _month(day: Column) -> Column:
 
 
 def judged(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched_on") -> DataFrame:
-    """captures with ``_verdict``: struct (host, blocked, categories, n_entries)."""
-    last = stored(captures.agg(F.max(fetched).alias("day")), "last").first()[0]  # one row
+    """(row, verdict) per capture: its columns, and a struct (host, blocked, categories, n_entries)."""
+    last = captures.agg(F.max(F.col(fetched).cast("date"))).first()[0]  # one value
     day_after = F.date_add(F.lit(last).cast("date"), 1)
     spans = intervals(entries.filter(F.col("day") < day_after), day_after)
     monthly = spans.select(
         F.col("pattern").alias("key"), "category", "valid_from", "valid_to",
         F.explode(F.sequence(_month(F.col("valid_from")), _month(F.date_sub("valid_to", 1)))).alias("month"),
     )
-    found = captures.withColumn(
-        "_at",
-        F.struct(
-            host(F.col(url)).alias("host"), segment(F.col(url)).alias("segment"),
-            F.col(fetched).cast("date").alias("day"),
-        ),
+    found = captures.select(
+        F.struct("*").alias("row"), host(F.col(url)).alias("host"), segment(F.col(url)).alias("segment"),
+        F.col(fetched).cast("date").alias("day"),
+    )
+    sites = found.select("host", "segment", "day").filter("host IS NOT NULL AND day IS NOT NULL").distinct()
+    asked = sites.select(
+        "*", F.explode(keys(F.col("host"), F.col("segment"))).alias("key"), _month(F.col("day")).alias("month")
     )
-    sites = found.select("_at.*").filter("host IS NOT NULL AND day IS NOT NULL").distinct()
-    asked = sites.select("*", F.explode(keys(F.col("host"), F.col("segment"))).alias("key"), _month(F.col("day")).alias("month"))
     active = asked.join(monthly, ["key", "month"]).filter("valid_from <= day AND day < valid_to")
     verdicts = stored(
         active.groupBy("host", "segment", "day").agg(
             F.array_sort(F.collect_set("category")).alias("categories"), F.count(F.lit(1)).alias("n_entries")
         ),
         "verdicts",
-    ).withColumnsRenamed({c: f"_{c}" for c in ("host", "segment", "day", "categories", "n_entries")})
-    met = found.join(
-        verdicts,
-        (F.col("_at.host") == F.col("_host")) & (F.col("_at.segment") == F.col("_segment"))
-        & (F.col("_at.day") == F.col("_day")),
-        "left",
     )
     verdict = F.struct(
-        F.col("_at.host").alias("host"), F.col("_n_entries").isNotNull().alias("blocked"),
-        F.coalesce("_categories", F.array().cast("array<string>")).alias("categories"),
-        F.coalesce("_n_entries", F.lit(0)).cast("bigint").alias("n_entries"),
+        "host", F.col("n_entries").isNotNull().alias("blocked"),
+        F.coalesce("categories", F.array().cast("array<string>")).alias("categories"),
+        F.coalesce("n_entries", F.lit(0)).cast("bigint").alias("n_entries"),
     )
-    return met.withColumn("_verdict", verdict).select(*captures.columns, "_verdict")
+    return found.join(verdicts, ["host", "segment", "day"], "left").select("row", verdict.alias("verdict"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..catalog import labels as L
 from . import logfields as LF
 from .linescan import any_match, fold_case
-from .textforms import in_brackets, once, pair_text
+from .textforms import once, pair_text
 
 # --- fixed values: id tokens, patterns, labels, confidences, in test order --
 
@@ -25,30 +25,21 @@ class IdRule:
     tokens: tuple[str, ...]
     label: str
     confidence: float
-    text: str
 
 
-SCOREBOARD_TEXT = "Structured scoreboard failure"
 STRUCTURED_IDS = (
-    IdRule(("overflow", "counter", "boundary", "baud"), L.OFF_BY_ONE, 0.92,
-           "Counter bound assertion failed"),
-    IdRule(("handshake", "backpressure", "ready", "cs_deasserted", "ready_stuck", "nack"),
-           L.HANDSHAKE, 0.90, "Ready/valid assertion failed"),
-    IdRule(("parity", "idle_high", "uart"), L.PARITY, 0.88, "Serial frame integrity violated"),
-    IdRule(("enable", "polarity", "wr_en", "rd_en"), L.ENABLE, 0.88, "Enable polarity violated"),
-    IdRule(("irq_stuck", "irq", "gpio"), L.ENABLE, 0.82, "Interrupt or enable assertion failed"),
+    IdRule(("overflow", "counter", "boundary", "baud"), L.OFF_BY_ONE, 0.92),
+    IdRule(("handshake", "backpressure", "ready", "cs_deasserted", "ready_stuck", "nack"), L.HANDSHAKE, 0.90),
+    IdRule(("parity", "idle_high", "uart"), L.PARITY, 0.88),
+    IdRule(("enable", "polarity", "wr_en", "rd_en"), L.ENABLE, 0.88),
+    IdRule(("irq_stuck", "irq", "gpio"), L.ENABLE, 0.82),
 )
 FALLBACK_IDS = (
-    IdRule(("overflow", "counter", "boundary", "baud"), L.OFF_BY_ONE, 0.78,
-           "The assertion id points to a counter bound"),
-    IdRule(("handshake", "backpressure", "ready", "nack", "cs"), L.HANDSHAKE, 0.78,
-           "The assertion id points to the ready/valid protocol"),
-    IdRule(("scoreboard", "mismatch", "data", "frame"), L.DATA_INTEGRITY, 0.75,
-           "The assertion id points to a data mismatch"),
-    IdRule(("parity", "uart", "idle"), L.PARITY, 0.73,
-           "The assertion id points to a parity or frame error"),
-    IdRule(("enable", "polarity", "wr_en", "irq"), L.ENABLE, 0.73,
-           "The assertion id points to an enable polarity"),
+    IdRule(("overflow", "counter", "boundary", "baud"), L.OFF_BY_ONE, 0.78),
+    IdRule(("handshake", "backpressure", "ready", "nack", "cs"), L.HANDSHAKE, 0.78),
+    IdRule(("scoreboard", "mismatch", "data", "frame"), L.DATA_INTEGRITY, 0.75),
+    IdRule(("parity", "uart", "idle"), L.PARITY, 0.73),
+    IdRule(("enable", "polarity", "wr_en", "irq"), L.ENABLE, 0.73),
 )
 TEXT_COUNTER = (r"Counter overflow", r"BAUD.*overflow", r"bit.counter.*overflow")
 TEXT_HANDSHAKE = (r"Backpressure violation", r"write_fire=1\s+ready=0", r"CS_N deasserted",
@@ -68,6 +59,18 @@ _COUNTER_LINEAR = (
 _MISMATCH = "(?dU)" + MISMATCH_VALUES
 
 
+# Explanation: the cause of the label, where it was seen, and the values found there.
+CAUSES = {
+    L.OFF_BY_ONE: "A count went beyond the range it was built for",
+    L.HANDSHAKE: "One side of a transfer moved while the other had not agreed to it",
+    L.DATA_INTEGRITY: "The data that came out differ from the model's",
+    L.PARITY: "A serial frame came with wrong check bits or a wrong resting level",
+    L.ENABLE: "A block worked, or did not, against its enable or mask",
+    L.UNKNOWN: "The log shows none of the causes known here",
+}
+FROM_FIELDS, FROM_TEXT, FROM_ID, FROM_NOTHING = "structured line", "wording", "assertion id", "nothing"
+DETAILS = ("assertion_id", "cycle", "count", "expected", "actual", "write_fire", "ready", "signals")
+
 _FIELDS = (
     "kind", "assert_id", "cycle", "signals", "expected", "actual", "count", "baud_shadow",
     "write_fire", "ready",
@@ -105,32 +108,23 @@ def _with_fields(df: DataFrame) -> DataFrame:
     return once(df, "_a", F.when(board, 0).when(failed, by_id))
 
 
+def _explained(label: Column, seen_in: Column, values: dict[str, Column]) -> Column:
+    cause = F.element_at(F.create_map(*[F.lit(x) for pair in CAUSES.items() for x in pair]), label)
+    details = [pair_text(k, values[k]) for k in DETAILS if k in values]
+    return F.concat(cause, F.lit(". Seen in: "), F.concat_ws("; ", seen_in, *details), F.lit("."))
+
+
 def _fields_verdict() -> Column:
     """Verdict for rows with ``_a``: 0 is the scoreboard, then STRUCTURED_IDS in order."""
     col = lambda k: F.col(f"_{k}")
-    counted = F.when(col("count") != "", col("count")).otherwise(col("baud_shadow"))
-    extra = (
-        F.when(
-            (col("a") == 0) & (col("raw_expected") != "") & (col("raw_actual") != ""),
-            F.concat(F.lit("expected="), col("expected"), F.lit(", actual="), col("actual")),
-        )
-        .when((col("a") == 1) & (counted != ""), F.concat(F.lit("count="), counted))
-        .when(
-            (col("a") == 2) & (col("write_fire") != "") & (col("ready") != ""),
-            F.concat(F.lit("write_fire="), col("write_fire"), F.lit(", ready="), col("ready")),
-        )
-    )
-    tail = F.concat_ws(
-        "; ", pair_text("assertion_id", col("assert_id")), extra, pair_text("signals", col("signals"))
-    )
-    at = F.when(col("cycle") != "", F.concat(F.lit(" at cycle "), col("cycle"))).otherwise("")
-    text = F.concat(
-        _pick(col("a"), [SCOREBOARD_TEXT] + [r.text for r in STRUCTURED_IDS]), at, in_brackets(tail),
-        F.lit("."),
-    )
+    values = {k: col(k) for k in ("cycle", "expected", "actual", "write_fire", "ready", "signals")}
+    values |= {
+        "assertion_id": col("assert_id"),
+        "count": F.when(col("count") != "", col("count")).otherwise(col("baud_shadow")),
+    }
+    label = _pick(col("a"), [L.DATA_INTEGRITY] + [r.label for r in STRUCTURED_IDS])
     return F.struct(
-        _pick(col("a"), [L.DATA_INTEGRITY] + [r.label for r in STRUCTURED_IDS]).alias("label"),
-        text.alias("explanation"),
+        label.alias("label"), _explained(label, F.lit(FROM_FIELDS), values).alias("explanation"),
         _pick(col("a"), [0.92] + [r.confidence for r in STRUCTURED_IDS]).alias("confidence"),
     )
 
@@ -176,52 +170,32 @@ def _with_text(df: DataFrame) -> DataFrame:
     return once(df, "_b", F.when(open_row, F.coalesce(_first(tests), none)))
 
 
-def _with_lead(df: DataFrame) -> DataFrame:
-    """First part of the free-text explanation, for outcomes that have values."""
-    log, b, cycle, unsure = F.col("_log"), F.col("_b"), F.col("_when"), F.lit("?")
-    counter = lambda k: LF.absent_if_empty(F.regexp_extract(log, _COUNTER_LINEAR, k))
-    lead = (
-        F.when(
-            b == 0,
-            F.concat(F.lit("Counter passed its limit (count="), F.coalesce(counter(1), unsure),
-                     F.lit(") at cycle "), F.coalesce(counter(2), cycle, unsure)),
-        )
-        .when(
-            b == 1,
-            F.concat(F.lit("Write while the receiver was not ready at cycle "),
-                     F.coalesce(LF.at_cycle(log), cycle, unsure)),
-        )
-        .when(
-            b == 2,
-            F.concat(F.lit("Scoreboard mismatch at cycle "), F.col("_seen"),
-                     F.lit(" (expected="), F.regexp_extract(log, _MISMATCH, 1),
-                     F.lit(", actual="), F.regexp_extract(log, _MISMATCH, 2), F.lit(")")),
-        )
-        .when(b == 4, F.lit("Parity or frame integrity error"))
-        .when(b == 5, F.lit("Enable polarity violation in the text"))
+def _with_values(df: DataFrame) -> DataFrame:
+    """``_values``: what the wording itself names, for the outcomes that read values from it."""
+    log, b = F.col("_log"), F.col("_b")
+    counter = lambda k: F.regexp_extract(log, _COUNTER_LINEAR, k)
+    found = F.struct(
+        F.when(b == 0, counter(1)).alias("count"),
+        F.when(b == 2, F.regexp_extract(log, _MISMATCH, 1)).alias("expected"),
+        F.when(b == 2, F.regexp_extract(log, _MISMATCH, 2)).alias("actual"),
+        F.when(b == 0, LF.absent_if_empty(counter(2))).when(b == 1, LF.at_cycle(log)).when(b == 2, F.col("_seen"))
+        .alias("cycle"),
     )
-    return df.withColumn("_lead", lead)
+    return df.withColumn("_values", found)
 
 
 def _text_verdict() -> Column:
-    b, lead = F.col("_b"), F.col("_lead")
-    signals = pair_text("signals", F.col("_dump"))
-    own = in_brackets(F.concat_ws("; ", pair_text("assertion_id", F.col("_id")), signals))
-    tail = in_brackets(F.concat_ws("; ", signals, pair_text("cycle", F.col("_when"))))
-    by_id = F.concat(
-        _pick(b - F.lit(6), [r.text for r in FALLBACK_IDS]), F.lit(" (assertion_id="), F.col("_id"),
-        F.lit(")"), tail, F.lit("."),
-    )
+    b, found = F.col("_b"), F.col("_values")
     last = len(_TEXT_OUTCOMES) - 1
-    text = (
-        F.when(lead.isNotNull(), F.concat(lead, own, F.lit(".")))
-        .when(b == 3, F.lit("Scoreboard mismatch without values: look at the data path."))
-        .when(b == last, F.lit("No pattern matched. Read the log by hand."))
-        .otherwise(by_id)
-    )
+    seen_in = F.when(b < 6, FROM_TEXT).when(b < last, FROM_ID).otherwise(FROM_NOTHING)
+    values = {
+        "assertion_id": F.col("_id"), "cycle": F.coalesce(found["cycle"], F.col("_when")),
+        "count": found["count"], "expected": found["expected"], "actual": found["actual"],
+        "signals": F.col("_dump"),
+    }
+    label = _pick(b, [o[0] for o in _TEXT_OUTCOMES])
     return F.struct(
-        _pick(b, [o[0] for o in _TEXT_OUTCOMES]).alias("label"),
-        text.alias("explanation"),
+        label.alias("label"), _explained(label, seen_in, values).alias("explanation"),
         _pick(b, [o[1] for o in _TEXT_OUTCOMES]).alias("confidence"),
     )
 
@@ -235,7 +209,7 @@ def with_parsed_label(df: DataFrame, log: str = "log", out: str = "parsed") -> D
     """
     staged = _with_fields(df.withColumn("_log", F.coalesce(F.col(log), F.lit(""))))
     staged = staged.withColumn("_by_field", F.when(F.col("_a").isNotNull(), _fields_verdict()))
-    staged = _with_lead(_with_text(staged))
+    staged = _with_values(_with_text(staged))
     known = F.col("_by_field")
     verdict = F.when(known.isNotNull(), known).otherwise(_text_verdict())
     return staged.withColumn(out, verdict).select(*df.columns, out)

@@ -60,8 +60,3 @@ def percent(x: Column) -> Column:
 def pair_text(name: str, value: Column) -> Column:
     """``name=value``, or null when the value is null or empty."""
     return F.when(value != "", F.concat(F.lit(name + "="), value))
-
-
-def in_brackets(text: Column) -> Column:
-    """`` (text)``, or the empty string for empty text."""
-    return F.when(text != "", F.concat(F.lit(" ("), text, F.lit(")"))).otherwise("")

@@ -159,11 +159,6 @@ def noise_free(log: str) -> str:
     return rf"trim(regexp_replace({log}, '\s+', ' ', 'g'))"
 
 
-def _bracket(parts: list[str]) -> str:
-    joined = f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), '; ')"
-    return f"CASE WHEN {joined} <> '' THEN ' (' || {joined} || ')' ELSE '' END"
-
-
 def _pair(name: str, col: str) -> str:
     return f"CASE WHEN {col} <> '' THEN '{name}=' || {col} END"
 
@@ -188,29 +183,25 @@ def parsed(src: str, name: str = "par") -> str:
     last = base + len(outcomes) - 1
     labels = [L.DATA_INTEGRITY] + [r.label for r in LP.STRUCTURED_IDS] + [o[0] for o in outcomes]
     confs = [0.92] + [r.confidence for r in LP.STRUCTURED_IDS] + [o[1] for o in outcomes]
-    at = "CASE WHEN f_cycle <> '' THEN ' at cycle ' || f_cycle ELSE '' END"
-    f_own, f_sig = _pair("assertion_id", "f_assert_id"), _pair("signals", "f_signals")
-    t_own, t_sig, t_cyc = _pair("assertion_id", "t_id"), _pair("signals", "t_dump"), _pair("cycle", "t_cycle")
-    own = _bracket([t_own, t_sig])
-    counted = "CASE WHEN f_count <> '' THEN f_count WHEN f_baud_shadow <> '' THEN f_baud_shadow END"
-    fire = "CASE WHEN f_write_fire <> '' AND f_ready <> '' THEN 'write_fire=' || f_write_fire || ', ready=' || f_ready END"
-    texts = [
-        f"'{LP.SCOREBOARD_TEXT}' || {at} || {_bracket([f_own, chr(39)+'expected='+chr(39)+' || f_expected || '+chr(39)+', actual='+chr(39)+' || f_actual', f_sig])} || '.'"
-    ]
-    for i, r in enumerate(LP.STRUCTURED_IDS, start=1):
-        extra = {1: [f"'count=' || ({counted})"], 2: [f"({fire})"]}.get(i, [])
-        texts.append(f"{q(r.text)} || {at} || {_bracket([f_own, *extra, f_sig])} || '.'")
-    texts += [
-        f"'Counter passed its limit (count=' || coalesce(t_count, '?') || ') at cycle ' || coalesce(t_count_at, t_cycle, '?') || {own} || '.'",
-        f"'Write while the receiver was not ready at cycle ' || coalesce(t_at, t_cycle, '?') || {own} || '.'",
-        f"'Scoreboard mismatch at cycle ' || t_at3 || ' (expected=' || t_exp || ', actual=' || t_act || ')' || {own} || '.'",
-        "'Scoreboard mismatch without values: look at the data path.'",
-        f"'Parity or frame integrity error' || {own} || '.'",
-        f"'Enable polarity violation in the text' || {own} || '.'",
-    ]
-    tail = _bracket([t_sig, t_cyc])
-    texts += [f"{q(r.text)} || ' (assertion_id=' || t_id || ')' || {tail} || '.'" for r in LP.FALLBACK_IDS]
-    texts.append("'No pattern matched. Read the log by hand.'")
+    counted = "CASE WHEN f_count <> '' THEN f_count ELSE f_baud_shadow END"
+    by_field = {k: f"f_{k}" for k in ("cycle", "expected", "actual", "write_fire", "ready", "signals")}
+    by_field |= {"assertion_id": "f_assert_id", "count": f"({counted})"}
+    plain = {"assertion_id": "t_id", "cycle": "t_cycle", "signals": "t_dump"}
+    read = {
+        0: {"count": "t_count", "cycle": "coalesce(t_count_at, t_cycle)"},
+        1: {"cycle": "coalesce(t_at, t_cycle)"},
+        2: {"expected": "t_exp", "actual": "t_act", "cycle": "t_at3"},
+    }
+
+    def explained(label: str, seen_in: str, values: dict[str, str]) -> str:
+        parts = [q(seen_in), *[_pair(k, values[k]) for k in LP.DETAILS if k in values]]
+        joined = f"array_to_string(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL), '; ')"
+        return f"{q(LP.CAUSES[label] + '. Seen in: ')} || {joined} || '.'"
+
+    texts = [explained(label, LP.FROM_FIELDS, by_field) for label in labels[:base]]
+    for i, (label, _) in enumerate(outcomes):
+        seen_in = LP.FROM_TEXT if i < 6 else LP.FROM_ID if i < len(outcomes) - 1 else LP.FROM_NOTHING
+        texts.append(explained(label, seen_in, plain | read.get(i, {})))
     explain = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(texts))
     return f"""{name}0 AS (SELECT *, {body('log')} AS body FROM {src}),
 {name}1 AS (SELECT *, {fields}, {assert_id('log')} AS t_id, {cycle('log')} AS t_cycle, {dump('log')} AS t_dump,

@@ -24,7 +24,8 @@ def test_structured_scoreboard(spark):
     )
     assert (label, conf) == (L.DATA_INTEGRITY, 0.92)
     assert text == (
-        "Structured scoreboard failure at cycle 9 (assertion_id=SB_X; expected=, actual=4; signals=a=1,b=2)."
+        "The data that came out differ from the model's. Seen in: structured line; assertion_id=SB_X; cycle=9; "
+        "actual=4; signals=a=1,b=2."
     )
 
 
@@ -36,7 +37,7 @@ def test_structured_ids(spark):
         (L.OFF_BY_ONE, 0.92), (L.HANDSHAKE, 0.90), (L.PARITY, 0.88), (L.ENABLE, 0.88), (L.ENABLE, 0.82),
         (L.UNKNOWN, 0.3),
     ]
-    assert "count=17" in got[0][1] and "write_fire=1, ready=0" in got[1][1]
+    assert "count=17" in got[0][1] and "write_fire=1; ready=0" in got[1][1]
 
 
 def test_free_text(spark):
@@ -56,10 +57,10 @@ def test_free_text(spark):
         (L.OFF_BY_ONE, 0.90), (L.OFF_BY_ONE, 0.90), (L.HANDSHAKE, 0.85), (L.DATA_INTEGRITY, 0.88),
         (L.DATA_INTEGRITY, 0.78), (L.PARITY, 0.83), (L.ENABLE, 0.80), (L.PARITY, 0.73), (L.UNKNOWN, 0.3),
     ]
-    assert "(count=17) at cycle 230 (assertion_id=FIFO_X; signals=full=1)" in got[0][1]
-    assert "(count=?) at cycle 5" in got[1][1]
-    assert "(expected=12, actual=9)" in got[3][1]
-    assert "(assertion_id=MY_UART_THING) (cycle=7)" in got[7][1]
+    assert "wording; assertion_id=FIFO_X; cycle=230; count=17; signals=full=1." in got[0][1]
+    assert "wording; cycle=5." in got[1][1]
+    assert "cycle=150; expected=12; actual=9" in got[3][1]
+    assert "assertion id; assertion_id=MY_UART_THING; cycle=7." in got[7][1]
 
 
 def test_missing_and_empty(spark):

@@ -70,8 +70,15 @@ def order_statistics(
     found = reached.groupBy(*by, "rank", "n").agg(
         F.min_by("_v", "_cum").alias("_v")
     )
-    missed = F.raise_error(F.lit("rank outside its bracket"))
+    # a rank below the bracket has a null value, one above it no row at all: both are errors, not nulls
+    missed = F.raise_error(F.lit("rank outside its bracket")).cast("double")
     exact = F.when(F.col("_v").isNull(), missed).otherwise(F.col("_v"))
+    keys = [*by, "rank"]
+    hit = found.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(keys)], "_v")
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_f{i}"))
+    found = wanted.select(*keys, "n").join(hit, same, "left")
     pick = lambda r: F.max(F.when(F.col("rank") == r, exact))
     return found.groupBy(*by, "n").agg(
         ((pick("mid_low") + pick("mid_high")) / F.lit(2.0)).alias("median"), pick("p95").alias("p95")

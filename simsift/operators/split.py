@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog.labels import UNKNOWN
+from ..session import stored
 
 PREFIX_DIGITS = 3  # 4096 hash ranges per label
 
@@ -123,11 +124,11 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` (train/val/test): an exact partition of the rows per label.
 
-    ``key`` columns must identify a row. The join onto the cut keys has one row
-    per label on its small side; Spark broadcasts it when its measured size
-    allows, and splits a hot label otherwise (AQE skew join).
+    ``key`` columns must identify a row. The cut keys are stored before the join: one row per
+    label, whose file size Spark knows when it plans. So it broadcasts them and the wide rows
+    stay where they are; only with very many labels it shuffles, and splits a hot one (AQE).
     """
-    cuts = _cut_keys(_keys(rows, key, label, seed, digits), train_ratio, val_ratio)
+    cuts = stored(_cut_keys(_keys(rows, key, label, seed, digits), train_ratio, val_ratio), "cuts")
     out = rows.withColumn("_order", shuffle_key(key, seed)).withColumn(
         "_label", F.coalesce(F.col(label), F.lit(UNKNOWN))
     )

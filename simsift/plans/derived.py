@@ -35,23 +35,13 @@ always @(posedge clk) begin
 end
 endmodule
 """
+GOLDEN_HEAD = "2024-02-02T01:02:03 seed = 7 /tmp/run/base\n"  # noise alone
 NOISY_HEAD = ("2024-01-01T00:00:00 started, seed = ", "\nfiles in /tmp/run/", "/out\n")
 NOISY_TAIL = ("\nSimulation time: ", " ns")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use more cores on inputs with too few splits to fill them.
-
-    Such a scan holds at most that many splits of ``maxPartitionBytes``, so
-    moving it is cheap next to the text work per row; AQE picks the number of
-    partitions by size. Larger scans are left as they are: no shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.hint("rebalance") if df.rdd.getNumPartitions() < cores else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(options, index: Column) -> Column:
@@ -164,7 +154,8 @@ def long_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, log): documents, some repeated up to lengths around the limits."""
     target = pick(LONG_TARGETS, F.col("doc_id") % 16)
     times = (F.ceil(target / F.greatest(F.length("text"), F.lit(1)))).cast("int")
-    longer = F.left(F.repeat(F.col("text"), times), target)
+    # a text beyond its target stays whole
+    longer = F.left(F.repeat(F.col("text"), times), F.greatest(target, F.length("text")))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.when((target > 0) & (F.length("text") > 0), longer).otherwise(F.col("text")).alias("log"),

@@ -13,7 +13,7 @@ from ..catalog.mutations import SPECS
 from ..catalog.rules import RULES, UNKNOWN_EXPLANATION
 from ..functions import logfields as LF
 from ..functions import logparser as LP
-from .derived import LONG_TARGETS, NOISY_HEAD, NOISY_TAIL, RTL
+from .derived import GOLDEN_HEAD, LONG_TARGETS, NOISY_HEAD, NOISY_TAIL, RTL
 
 
 def q(text: str) -> str:
@@ -64,7 +64,7 @@ _SOURCES = f"""sources AS (SELECT page_id AS source_id,
   replace({q(RTL)}, '{{n}}', (page_id % 64)::VARCHAR) || html AS text FROM pages)"""
 _LONG0 = pick(LONG_TARGETS, "doc_id % 16")
 _LONG = f"""long AS (SELECT id, CASE WHEN target > 0 AND length(text) > 0
-  THEN left(repeat(text, ceil(target / greatest(length(text), 1))::BIGINT), target) ELSE text END AS log
+  THEN left(repeat(text, ceil(target / greatest(length(text), 1))::BIGINT), greatest(target, length(text))) ELSE text END AS log
   FROM (SELECT doc_id AS id, text, {_LONG0} AS target FROM documents))"""
 _SPEED = """speed AS (SELECT CASE WHEN event_type = 'click' THEN 0.0::DOUBLE ELSE value END AS elapsed_s,
   event_id % 128 AS n_tokens FROM events)"""
@@ -397,7 +397,7 @@ brk AS (
 _RUNS = f"""{_SIM},
 runs AS (SELECT 'm' || (id // 9)::VARCHAR AS module, sim.mutation_id, log, event_type <> 'error' AS ok, id
   FROM sim JOIN events ON event_id = id),
-golden AS (SELECT module, {q(NOISY_HEAD[0])} || '7' || chr(10) || min(log) AS log, min(id) % 5 <> 0 AS ok FROM runs GROUP BY module)"""
+golden AS (SELECT module, {q(GOLDEN_HEAD)} || min(log) AS log, min(id) % 5 <> 0 AS ok FROM runs GROUP BY module)"""
 _INERT = f"""hashed AS (SELECT r.*, CASE WHEN r.ok THEN sha256({noise_free('r.log')}) END AS h,
     CASE WHEN g.ok THEN sha256({noise_free('g.log')}) END AS gh FROM runs r LEFT JOIN golden g ON r.module = g.module),
 inert AS (SELECT *, coalesce(h = gh, false) AS is_inert FROM hashed)"""

@@ -14,6 +14,7 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         SparkSession.builder.master(f"local[{cores}]")
         .appName("simsift")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.files.minPartitionNum", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")

@@ -57,3 +57,9 @@ def test_entry(spark):
     out = entry_module.entry(spark)
     assert out.columns == ["expected", "predicted", "n"] and out.count() > 0
     assert set(entry_module.oracle_sql()) < set(entry_module.queries())
+
+
+def test_some_runs_are_inert_and_some_are_not(spark):
+    flags = [r["is_inert"] for r in QUERIES["jn2_inert_runs"].run(spark, SF_DIR).collect()]
+    assert 0 < sum(flags) < len(flags)
+    assert QUERIES["flt1_active_runs"].run(spark, SF_DIR).count() == len(flags) - sum(flags)

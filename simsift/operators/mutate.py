@@ -36,19 +36,24 @@ def _enable_polarity_flip(t: Column) -> Column:
     return _sub(t, M.ENABLE_TEST, "if (!$1)")
 
 
+def _one_less(digits: Column) -> Column:
+    """A number written in digits, of any length, less one; 0 stays 0. No leading zeros come out."""
+    head = F.regexp_replace(digits, "0+$", "")
+    zeros = F.length(digits) - F.length(head)
+    last = F.right(head, F.lit(1)).try_cast("int") - 1
+    lowered = F.concat(F.left(head, F.length(head) - 1), last.cast("string"), F.repeat(F.lit("9"), zeros))
+    return F.when(head == "", "0").otherwise(F.regexp_replace(lowered, "^0+(?=.)", ""))
+
+
 def _lower_literal_bounds(t: Column) -> Column:
     """``{s[n:0], t}`` -> ``{s[max(0, n-1):0], t}``: arithmetic, so split and rebuild."""
     pattern = _U + M.SHIFT_IN_LITERAL
     group = lambda m, k: F.regexp_extract(m, pattern, k)
 
     def rebuilt(match: Column) -> Column:
-        bound = group(match, 2).try_cast("decimal(38,0)")
-        lowered = F.greatest(F.lit(0).cast("decimal(38,0)"), bound - F.lit(1)).cast("string")
-        return F.coalesce(
-            F.concat(F.lit("{"), group(match, 1), F.lit("["), lowered, F.lit(":0], "),
-                     group(match, 3), F.lit("}")),
-            match,
-        )
+        lowered = F.concat(F.lit("{"), group(match, 1), F.lit("["), _one_less(group(match, 2)), F.lit(":0], "),
+                           group(match, 3), F.lit("}"))
+        return F.coalesce(lowered, match)
 
     def join(b: Column) -> Column:
         heads = F.concat(F.array(F.lit("")), F.transform(b["found"], rebuilt))

@@ -103,3 +103,11 @@ def test_registry():
     with pytest.raises(ValueError, match="own"):
         registry.register(own, lambda t: t)
     assert "own" not in default_registry().ids()
+
+
+def test_bound_of_any_length_is_lowered(spark):
+    from simsift.operators.mutate import _one_less
+
+    texts = ["0", "1", "10", "007", "00", "1000000", "10" + "0" * 50, "123456789" * 6]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", _one_less(F.col("t")).alias("n"))
+    assert all(r["n"] == str(max(0, int(r["t"]) - 1)) for r in rows.collect())

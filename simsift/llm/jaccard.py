@@ -8,14 +8,16 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|. Result: a component per d
    order decides about cost alone: any order that is the same for all sets finds all links.)
 3. Keys. If |A & B| >= o, the first |A| - o + k shingles of A and the first |B| - o + k of B
    share k. Small sets (below the boundary) enumerate the subsets of size k = 2 of these; large sets
-   post each of them (k = 1) to inverted lists, which the lists' other sets are found by. Sets just
-   below the boundary do both. The boundary is the size from which subsets cost more than
+   post each of them to inverted lists, by which the lists' other sets are found, and count: k grows
+   with the set, and what shares fewer lists is no candidate. Sets just below the boundary do both. The boundary is the size from which subsets cost more than
    scanning lists of the corpus' mean length, by the sketch.
-4. Keys of one set alone are dropped. Of every list all members are compared with the least
-   one, candidates verified on the texts, and components formed. So copies cost one
-   comparison each, however many there are.
-5. Lists that still hold several components are open: their pairs across components, and only those,
-   are verified too. What is missing after step 4 is found here; no pair is left out by a cap.
+4. Keys of one set alone are dropped. In a few turns each set is compared with one other, that
+   among the heads of its lists with which it shares most lists; the pair is verified on the texts, and
+   components are formed. So near copies cost a few comparisons each, however many there are.
+5. A list that still holds several components is open. Each component has a hub, all its sets a
+   known distance to it. Hubs that meet in an open list are compared; as Jaccard distance is a metric, that
+   rules out most pairs of their sets, and the pairs it does not rule out are compared too. So what is
+   missing after step 4 is found here, and no pair is left out by a cap.
 
 A key that is frequent by the sketch is spread over buckets by task. Between tasks travel
 16 bytes per key and set; texts only of documents with a candidate. Classes are named by a
@@ -40,6 +42,7 @@ from ..session import stored
 from . import shingles
 from .buckets import bucket_count
 from .graph import components
+from .tables import bucketed
 
 _U = np.uint64
 PERCENT = 75
@@ -48,13 +51,15 @@ PERCENT = 75
 @dataclass(frozen=True)
 class Join:
     """cells: of the sketch, 2**cells; chunk: of it, as it is sent; spread: sketch level from
-    which a key is dealt to several buckets; entries: keys that a task holds before it sends them.
+    which a key is dealt to several buckets; entries: keys that a task holds before it sends them;
+    turns: of comparing each set with one other, before all open pairs are compared.
     """
 
     cells: int = 22
     spread: int = 5
     chunk: int = 1 << 18
     entries: int = 1 << 21
+    turns: int = 2
 
 
 def least_overlap(small: int, large: int) -> int:
@@ -69,6 +74,15 @@ def prefix_lengths(n: int, k: int) -> tuple[int, int]:
     return min(n, n - least_overlap(n, n) + k), min(n, n - least_overlap(smallest, n) + k)
 
 
+def least_shared(n: int, edge: int) -> int:
+    """k of a set: lists it shares with another of no less k, if they link. One for small sets."""
+    return 1 if n < max(40, edge) else 1 + n // 25
+
+
+def _least_shared(size: Column, edge: int) -> Column:
+    return F.when(size < max(40, edge), 1).otherwise(1 + F.floor(size / 25))
+
+
 # --- pass 1: sizes, fingerprints, sketch
 
 
@@ -180,7 +194,7 @@ def set_keys(own: np.ndarray, level: np.ndarray, edge: int) -> tuple[np.ndarray,
         keys.append(shingles.mixed(low * _U(3) + shingles.mixed(high, 7), 9))
         small.append(j < as_small)
     if 100 * n >= PERCENT * edge:
-        as_small, as_large = prefix_lengths(n, 1)
+        as_small, as_large = prefix_lengths(n, least_shared(n, edge))
         if n < edge:
             as_large = as_small
         keys.append(_ordered(own, level, as_large))
@@ -193,24 +207,34 @@ def set_keys(own: np.ndarray, level: np.ndarray, edge: int) -> tuple[np.ndarray,
 LISTS = "key bigint, spread boolean, members array<bigint>, sizes array<float>, small array<boolean>"
 
 
+def _size(packed: np.ndarray) -> np.ndarray:
+    return ((packed & _U(0x7FFF)) << _U(16)).astype(np.uint32).view(np.float32)
+
+
 def _lists(table: pa.Table) -> pa.Table:
-    """Lists with two sets or more, or of keys that go on in other buckets, of one bucket."""
+    """One bucket's lists, less sets that fit no other; lists of spread keys go on in other buckets and stay whole."""
     both = np.concatenate([np.frombuffer(d.as_buffer(), dtype=np.uint64).reshape(-1, 2) for d in table.column("data")])
     both = both[np.lexsort((both[:, 1], both[:, 0] >> _U(16)))]
     key, member = both[:, 0] >> _U(16), both[:, 1]
     fresh = np.ones(len(key), dtype=bool)
     fresh[1:] = (key[1:] != key[:-1]) | (member[1:] != member[:-1])  # a set of several copies
     both, key, member = both[fresh], key[fresh], member[fresh]
+    # a set without another of fitting size in the list has none next to it in the order of sizes either
+    order = np.lexsort((both[:, 0] & _U(0x7FFF), key))
+    size = _size(both[order, 0])
+    fits = np.zeros(len(key) + 1, dtype=bool)
+    fits[1:-1] = (key[order][1:] == key[order][:-1]) & (size[:-1] * 1.01 >= size[1:] * (PERCENT / 100))
+    keep = np.zeros(len(key), dtype=bool)
+    keep[order] = fits[1:] | fits[:-1]
+    keep |= (key & _U(1)) == 1
+    both, key, member = both[keep], key[keep], member[keep]
     new = np.ones(len(key), dtype=bool)
     new[1:] = key[1:] != key[:-1]
     start = np.flatnonzero(new)
     count = np.diff(np.append(start, len(key)))
     spread = (key[start] & _U(1)) == 1
-    wanted = (count > 1) | spread
-    keep = np.repeat(wanted, count)
-    both, member = both[keep], member[keep]
-    offsets = np.concatenate([[0], np.cumsum(count[wanted])]).astype(np.int32)
-    size = ((both[:, 0] & _U(0x7FFF)) << _U(16)).astype(np.uint32).view(np.float32)
+    offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+    size = _size(both[:, 0])
     small = (both[:, 0] & _U(0x8000)) != 0
 
     def nested(values: pa.Array) -> pa.Array:
@@ -218,7 +242,7 @@ def _lists(table: pa.Table) -> pa.Table:
 
     return pa.table(
         {
-            "key": pa.array(key[start][wanted].view(np.int64)), "spread": pa.array(spread[wanted]),
+            "key": pa.array(key[start].view(np.int64)), "spread": pa.array(spread),
             "members": nested(pa.array(member.view(np.int64))), "sizes": nested(pa.array(size)),
             "small": nested(pa.array(small)),
         }
@@ -283,55 +307,195 @@ def _may_link(x: Column, y: Column) -> Column:
     return (small * 1.01 >= large * (PERCENT / 100)) & first
 
 
-def _members(lists: DataFrame) -> DataFrame:
-    """(key, m): m a struct (id, size, small) per member of each list."""
-    zipped = F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("size"), F.col("small").alias("small"))
-    return lists.select("key", "spread", F.explode(zipped).alias("m"))
+def _fit(small: Column, large: Column) -> Column:
+    return small * 1.01 >= large * (PERCENT / 100)
 
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): every member with the least of its list; of a spread list, with the least of all its parts too."""
-    own = lists.select("key", "spread", F.explode("members").alias("b"), F.array_min("members").alias("a"))
-    heads = lists.filter("spread").select("key", F.array_min("members").alias("b"))
-    least = heads.groupBy("key").agg(F.min("b").alias("a"))
-    pairs = own.select("a", "b").unionByName(heads.join(least, "key").select("a", "b"))
-    return pairs.filter("a < b").distinct()
+def _star_pairs(lists: DataFrame, turns: int, edge: int) -> DataFrame:
+    """(a, b): every set b with those that it shares most lists with, among the heads of its lists.
+
+    A list's head is its first set in an order drawn by hash, the same in all lists, and another each
+    turn. The parts of a spread list have a head each; these go with the first head of all parts.
+    """
+    out = None
+    for turn in range(turns):
+        sets = F.transform(
+            F.arrays_zip("members", "sizes"),
+            lambda m: F.struct(
+                F.xxhash64(F.lit(turn), m["members"]).alias("draw"), m["members"].alias("id"), m["sizes"].alias("size")  # noqa: B023
+            ),
+        )
+        drawn = lists.select("key", "spread", F.explode(F.array(sets)).alias("sets"))
+        own = drawn.select(F.array_min("sets").alias("x"), F.explode("sets").alias("y"))
+        heads = drawn.filter("spread").select("key", F.array_min("sets").alias("y"))
+        parts = heads.join(heads.groupBy("key").agg(F.min("y").alias("x")), "key").select("x", "y")
+        pairs = own.unionByName(parts).filter(
+            (F.col("x.id") != F.col("y.id")) & _fit(F.least("x.size", "y.size"), F.greatest("x.size", "y.size"))
+        )
+        shared = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.least("x.size", "y.size")).alias("size")
+        ).filter(F.col("n") * 2 >= _least_shared(F.col("size"), edge))  # a list may have another head
+        best = shared.groupBy("b").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+        out = best if out is None else out.unionByName(best)
+    return out.select("a", "b").distinct()
 
 
-def _open_pairs(lists: DataFrame, found: DataFrame, done: DataFrame) -> DataFrame:
-    """(a, b): candidates of different components that have not been compared yet."""
-    rows = _members(lists).join(found, F.col("m.id") == F.col("node"), "left").select(
-        "key", "m", F.coalesce("component", "m.id").alias("c")
+def _hub_pairs(members: DataFrame, edge: int) -> DataFrame:
+    """(a, b), a < b: hubs that meet in a list where sets of theirs could be a pair by size and prefix.
+
+    members: (key, m, hub). A component counts once in a list, however many sets it has there.
+    """
+    hubs = members.groupBy("key", "hub").agg(
+        F.min("m.size").alias("low"), F.max("m.size").alias("high"), F.bool_or("m.small").alias("small")
     )
-    rows = stored(rows, "list_members")
+    # lists of one component alone are done; minima are combined before the shuffle
     many = stored(
-        rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("key"),
-        "open_lists",
+        hubs.groupBy("key").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).filter("x < y").select("key"), "open_lists"
+    )
+    open_hubs = stored(hubs.join(many, "key", "left_semi"), "open_hubs")
+    x = open_hubs.select("key", F.struct("hub", "low", "high", "small").alias("x"))
+    y = open_hubs.select("key", F.struct("hub", "low", "high", "small").alias("y"))
+    met = x.join(y, "key").filter(
+        (F.col("x.hub") < F.col("y.hub")) & (F.col("x.small") | F.col("y.small"))
+        & _fit(F.col("x.low"), F.col("y.high")) & _fit(F.col("y.low"), F.col("x.high"))
+        & _fit(F.least("x.high", "y.high"), F.greatest("x.low", "y.low"))
     )
-    rows = rows.join(many, "key", "left_semi")
-    x, y = rows.select("key", F.col("m").alias("x"), F.col("c").alias("cx")), rows.select("key", F.col("m").alias("y"), F.col("c").alias("cy"))
-    met = x.join(y, "key").filter((F.col("cx") < F.col("cy")) & _may_link(F.col("x"), F.col("y")))
-    pairs = met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    return pairs.join(done, ["a", "b"], "left_anti")
+    shared = met.groupBy(F.col("x.hub").alias("a"), F.col("y.hub").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.least(F.min("x.low"), F.min("y.low")).alias("size")
+    )
+    return shared.filter(F.col("n") >= _least_shared(F.col("size"), edge)).select("a", "b")
+
+
+def _may_link(x: Column, y: Column) -> Column:
+    """Sizes fit, and the smaller set has the key in its prefix as such; sizes are known to 1 %."""
+    small, large = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
+    first = (
+        F.when(large <= small * 1.01, x["small"] | y["small"]).when(x["size"] < y["size"], x["small"])
+        .otherwise(y["small"])
+    )
+    return _fit(small, large) & first
+
+
+def _set_pairs(members: DataFrame, hubs: DataFrame, edge: int) -> DataFrame:
+    """(a, b): candidates of two components, where the hubs' distance does not rule them out.
+
+    hubs: (a, b, distance); members: (key, m, hub, away), away the distance to the hub. Jaccard distance
+    is a metric, so two sets are at least distance - away - away apart.
+    """
+    x = members.select("key", F.col("hub").alias("a"), F.col("m").alias("x"), F.col("away").alias("dx"))
+    y = members.select("key", F.col("hub").alias("b"), F.col("m").alias("y"), F.col("away").alias("dy"))
+    met = x.join(hubs, "a").join(y, ["key", "b"]).filter(
+        (F.col("distance") - F.col("dx") - F.col("dy") <= 1 - PERCENT / 100 + 1e-9) & _may_link(F.col("x"), F.col("y"))
+    )
+    shared = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.least("x.size", "y.size")).alias("size")
+    )
+    return shared.filter(F.col("n") >= _least_shared(F.col("size"), edge)).select("a", "b")
+
 
+# --- exact comparison
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose texts' sets link."""
-    met = pairs.join(texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(
-        texts.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b"
+
+def _texts(docs: DataFrame, lenders: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(fp, size, packed): compressed texts of one document per set."""
+
+    def run(batches):
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0), pa.array([len(r) for r in raw], pa.int64()),
+                    pa.array([codec.compress(r, asbytes=True) for r in raw], pa.binary()),
+                ],
+                names=["doc_id", "size", "packed"],
+            )
+
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string"))
+    packed = rows.mapInArrow(run, "doc_id bigint, size bigint, packed binary")
+    return packed.join(lenders, "doc_id").select("fp", "size", "packed")
+
+
+def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, both): the pairs' set and intersection sizes, from whole texts.
+
+    texts are bucketed: each b meets its text there. The a's may be hubs of many pairs; theirs is a
+    join of two shuffled sides, whose hot partitions Spark splits.
+    """
+    named = texts.select("fp", F.struct("size", "packed").alias("t"))
+    heads = stored(named.join(pairs.select(F.col("a").alias("fp")).distinct(), "fp"), "heads")
+    met = pairs.join(named.select(F.col("fp").alias("b"), F.col("t").alias("y")), "b").join(
+        heads.select(F.col("fp").alias("a"), F.col("t").alias("x")), "a"
     )
 
     def run(batches):
+        codec = pa.Codec("zstd")
+
+        def own_set(t):
+            raw = codec.decompress(t["packed"], decompressed_size=t["size"], asbytes=True)
+            return next(shingles.sets([raw.decode("utf-8", "surrogatepass")]))
+
+        last, x = None, None
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            kept = []
-            for i, (p, q) in enumerate(zip(shingles.sets(left), shingles.sets(right))):
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= PERCENT * (len(p) + len(q) - both):
-                    kept.append(i)
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+            counts = []
+            for a, left, right in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3))):
+                if a != last:  # pairs of one hub come together
+                    last, x = a, own_set(left)
+                y = own_set(right)
+                counts.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            columns = np.array(counts, dtype=np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *(pa.array(columns[:, c]) for c in range(3))],
+                names=["a", "b", "n_a", "n_b", "both"],
+            )
+
+    out = met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, both bigint")
+    return stored(out, "compared")
+
+
+def _links(compared: DataFrame) -> DataFrame:
+    return compared.filter(f"100 * both >= {PERCENT} * (n_a + n_b - both)").select("a", "b")
+
 
-    return stored(met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "set_links")
+def _distance() -> Column:
+    return 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
+
+
+def _set_groups(lists: DataFrame, texts: DataFrame, edge: int, join: Join) -> DataFrame:
+    """(node, component) of all sets that link with another."""
+    links = _links(_compared(stored(_star_pairs(lists, join.turns, edge), "star_pairs"), texts))
+    found = stored(components(links), "set_groups")
+    # distances of all sets to their component's hub, and of the hubs that meet in a list
+    spokes = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    away = stored(
+        _compared(stored(spokes, "spokes"), texts).select(F.col("b").alias("node"), F.col("a").alias("component"), _distance().alias("d")),
+        "away",
+    )
+    zipped = F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("size"), F.col("small").alias("small"))
+    members = stored(
+        lists.select("key", F.explode(zipped).alias("m")).join(away, F.col("m.id") == F.col("node"), "left")
+        .select("key", "m", F.coalesce("component", "m.id").alias("hub"), F.coalesce("d", F.lit(0.0)).alias("away")),
+        "list_members",
+    )
+    met = _compared(stored(_hub_pairs(members, edge), "hub_pairs"), texts)
+    links = links.unionByName(_links(met))
+    farthest = away.groupBy("component").agg(F.max("d").alias("d"))
+    near = (
+        met.select("a", "b", _distance().alias("distance"))
+        .join(farthest.select(F.col("component").alias("a"), F.col("d").alias("da")), "a", "left")
+        .join(farthest.select(F.col("component").alias("b"), F.col("d").alias("db")), "b", "left")
+        .filter(F.col("distance") > 1 - PERCENT / 100)  # the others are linked
+        .filter(F.coalesce("da", "db").isNotNull())  # two single sets: compared just now
+        .filter(F.col("distance") - F.coalesce("da", F.lit(0.0)) - F.coalesce("db", F.lit(0.0)) <= 1 - PERCENT / 100 + 1e-9)
+        .select("a", "b", "distance")
+    )
+    linked_hubs = stored(components(_links(met)), "hub_groups")
+    group = lambda side: linked_hubs.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    apart = near.join(group("a"), "a", "left").join(group("b"), "b", "left").filter(
+        F.coalesce("ca", "a") != F.coalesce("cb", "b")
+    ).select("a", "b", "distance")
+    rest = _links(_compared(stored(_set_pairs(members, stored(apart, "near_hubs"), edge), "set_pairs"), texts))
+    return stored(components(links.unionByName(rest)), "set_groups")
 
 
 def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
@@ -342,20 +506,14 @@ def similar_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", jo
     summaries = _summaries(docs, doc_id, text, join)
     rows = summaries.filter("chunk IS NULL").select("doc_id", "n", "fp")
     cells = _sketch(summaries, join)
-    lists = _posted(docs, text, _levels(cells), boundary(cells), join)
+    edge = boundary(cells)
+    lists = _posted(docs, text, _levels(cells), edge, join)
     # the least document of every class that is in a list lends its text
     ends = stored(lists.select(F.explode("members").alias("fp")).distinct(), "list_ends")
-    lender = rows.filter("n > 0").join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    lender = stored(lender, "lenders")
-    texts = stored(
-        docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .join(lender, "doc_id"), "set_texts",
-    )
-    stars = stored(_star_pairs(lists), "star_pairs")
-    links = _verified(stars, texts)
-    near = stored(components(links), "set_groups")
-    more = _verified(stored(_open_pairs(lists, near, stars), "open_pairs"), texts)
-    found = stored(components(links.unionByName(more)), "set_groups")
+    lenders = rows.filter("n > 0").join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
+    packed = _texts(docs, stored(lenders, "lenders"), doc_id, text)
+    with bucketed(packed, "fp", "set_texts") as texts:
+        found = _set_groups(lists, texts, edge, join)
     named = rows.join(found, F.col("fp") == F.col("node"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("fp")).alias("set_id"),
         F.when(F.col("n") > 0, F.coalesce("component", "fp")).alias("c"),

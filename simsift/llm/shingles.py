@@ -15,7 +15,7 @@ import numpy as np
 
 WIDTH = 5
 #: Bytes of text hashed at a time; a longer text is a batch of its own.
-BATCH = 1 << 22
+BATCH = 1 << 20
 
 _FOLD = bytes(
     0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)

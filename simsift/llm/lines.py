@@ -8,7 +8,7 @@ similarity of their sets of 8-character shingles is 0.75 or more.
    each bin counts, empty bins take their neighbour's. 12 bands of 4: of two forms with similarity
    s, 1 - (1 - s**4)**12 meet in a band: 99 % at 0.75, 99.9 % at 0.82.
 2. Candidates. Forms of a band are paired with its least form and with the next, never all with all.
-3. Verification by the exact Jaccard similarity of the shingle sets.
+3. Verification by the exact Jaccard similarity of the shingle sets, a shingle being named by 64 bits.
 4. Components of the verified pairs (distributed union-find by labels). A component and all
    its occurrences keep the first line, by (doc_id, line number); every other is dropped.
 
@@ -44,8 +44,16 @@ class Near:
     seed: int = 7
 
 
-def normal_form(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"\s+", " ")))
+def normal_lines(text: Column) -> Column:
+    """Normal forms of a text's lines, but for white space at their ends.
+
+    Plain substring searches spare most texts the pattern.
+    """
+    other = F.lit(False)
+    for space in ("  ", "\t", "\r", "\f", "\x0b"):
+        other = other | F.contains(text, F.lit(space))
+    single = F.when(other, F.regexp_replace(text, r"[^\S\n]{2,}|[\t\x0B\f\r]", " ")).otherwise(text)
+    return F.split(F.lower(single), "\n", -1)
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -56,9 +64,9 @@ def line_table(docs: DataFrame, doc_id: str, text: str, near: Near) -> DataFrame
     """(key, doc_id, line, h, form): the lines that count; h names the form."""
     split = docs.select(
         row_key(doc_id, text).alias("key"), F.col(doc_id).alias("doc_id"),
-        F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "raw"),
+        F.posexplode(normal_lines(F.col(text))).alias("line", "raw"),
     )
-    formed = split.select("key", "doc_id", "line", normal_form(F.col("raw")).alias("form"))
+    formed = split.select("key", "doc_id", "line", F.trim("raw").alias("form"))
     return formed.filter(F.length("form") >= near.shortest).withColumn("h", F.xxhash64("form"))
 
 
@@ -70,11 +78,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_hashes(points: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Hash of the shingle that starts at each place; the last width - 1 places are not valid."""
-    base = np.uint64(0xD1342543DE82EF95 + 2 * seed)
-    out = np.zeros(len(points), dtype=np.uint64)
-    for k in range(width):
-        out *= base
-        out[: len(points) - k] += points[k:]
+    base = (0xD1342543DE82EF95 + 2 * seed) % 2**64
+    out, have = points.copy(), 1  # hash of the first ``have`` characters
+    while have < width:
+        more = min(have, width - have)
+        # polynomial of have + more characters, from two overlapping ones where width is no power of two
+        tail = out[more:].copy()
+        if more < have:
+            out[: len(out) - more] = out[: len(out) - more] * np.uint64(pow(base, have + more, 2**64)) + tail
+        else:
+            out *= np.uint64(pow(base, more, 2**64))
+            out[: len(tail)] += tail
+        have += more
     return _mixed(out)
 
 
@@ -132,9 +147,16 @@ def candidates(lines: DataFrame, near: Near) -> DataFrame:
     return buckets.candidate_pairs(lines.select("h", "form").mapInArrow(run, buckets.ENTRIES))
 
 
-def is_near(a: str, b: str, near: Near) -> bool:
-    x, y = ({s[i : i + near.width] for i in range(len(s) - near.width + 1)} for s in (a, b))
-    return 100 * len(x & y) >= near.percent * len(x | y)
+def form_shingles(form: str, width: int) -> set[str]:
+    return {form[i : i + width] for i in range(len(form) - width + 1)}
+
+
+def form_sets(forms: list[str], near: Near) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of every form's shingles."""
+    points = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    hashed = shingle_hashes(points, near.width, near.seed)
+    ends = np.cumsum([len(f) for f in forms]).tolist()
+    return [np.unique(hashed[b - len(f) : b - near.width + 1]) for f, b in zip(forms, ends)]
 
 
 def near_pairs(lines: DataFrame, near: Near) -> DataFrame:
@@ -143,16 +165,21 @@ def near_pairs(lines: DataFrame, near: Near) -> DataFrame:
     ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line_ends")
     # one text per form: its hash names it
     texts = stored(lines.select("h", "form").join(ends, "h", "left_semi").dropDuplicates(["h"]), "line_texts")
-    met = pairs.join(texts.select(F.col("h").alias("a"), F.col("form").alias("x")), "a").join(
-        texts.select(F.col("h").alias("b"), F.col("form").alias("y")), "b"
+    met = pairs.join(texts.select(F.col("h").alias("b"), F.col("form").alias("y")), "b").join(
+        texts.select(F.col("h").alias("a"), F.col("form").alias("x")), "a"
     )
 
     def run(batches):
         for batch in batches:
-            kept = [
-                i for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-                if is_near(x, y, near)
-            ]
+            kept = []
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                left, right = (form_sets(part.column(c).to_pylist(), near) for c in (2, 3))
+                for i, (x, y) in enumerate(zip(left, right)):
+                    all_ = np.sort(np.concatenate([x, y]))
+                    both = int((all_[1:] == all_[:-1]).sum())
+                    if 100 * both >= near.percent * (len(all_) - both):
+                        kept.append(low + i)
             yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
 
     return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -163,7 +190,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     lines = line_table(docs, doc_id, text, near)
     groups = stored(components(near_pairs(lines, near)), "line_groups")
     place = F.struct("doc_id", "key", "line")
-    seen = lines.select("h", place.alias("at"))
+    seen = stored(lines.select("h", place.alias("at")), "lines")
     # first occurrence and number per form, then per component
     forms = stored(seen.groupBy("h").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")), "forms")
     named = forms.join(groups, F.col("h") == F.col("node"), "left").select(

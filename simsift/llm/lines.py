@@ -99,21 +99,22 @@ def band_keys(forms: list[str], near: Near) -> np.ndarray:
     points = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.array([len(f) for f in forms])
     hashed = shingle_hashes(points, near.width, near.seed)
-    owner = np.repeat(np.arange(len(forms)), lengths)
-    ends = np.cumsum(lengths)
-    valid = np.arange(len(points)) <= (ends - near.width)[owner]
-    hashed, owner = hashed[valid], owner[valid]
+    # the last width - 1 places of a form start no shingle
+    valid = np.ones(len(points), dtype=bool)
+    valid[(np.cumsum(lengths)[:, None] - np.arange(1, near.width)).reshape(-1)] = False
+    hashed, owner = hashed[valid], np.repeat(np.arange(len(forms)), lengths - near.width + 1)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     least = np.full(len(forms) * bins, empty, dtype=np.uint64)
     bin_of = ((hashed >> np.uint64(40)) % np.uint64(bins)).astype(np.int64)
     np.minimum.at(least, owner * bins + bin_of, hashed)
     least = least.reshape(len(forms), bins)
-    for _ in range(bins):  # an empty bin takes the next full one to its right, moved by the distance
-        gap = least == empty
-        if not gap.any():
-            break
-        right = np.roll(least, -1, axis=1)
-        least = np.where(gap & (right != empty), right * np.uint64(3) + np.uint64(1), least)
+    # an empty bin takes the next full one to its right, moved by the distance
+    sparse = np.flatnonzero((least == empty).any(axis=1))
+    some = least[sparse]
+    while (gap := some == empty).any():
+        right = np.roll(some, -1, axis=1)
+        some = np.where(gap & (right != empty), right * np.uint64(3) + np.uint64(1), some)
+    least[sparse] = some
     out = np.empty((len(forms), near.bands), dtype=np.uint64)
     for band in range(near.bands):
         key = np.full(len(forms), band + 1, dtype=np.uint64)

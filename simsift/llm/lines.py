@@ -7,10 +7,14 @@ similarity of their sets of 8-character shingles is 0.75 or more.
 1. Signatures. One-permutation MinHash: a shingle's hash falls into one of 48 bins, the least of
    each bin counts, empty bins take their neighbour's. 12 bands of 4: of two forms with similarity
    s, 1 - (1 - s**4)**12 meet in a band: 99 % at 0.75, 99.9 % at 0.82.
-2. Candidates. Forms of a band are paired with its least form and with the next, never all with all.
+2. First candidates. Forms of a band are paired with its least form and with the next.
 3. Verification by the exact Jaccard similarity of the shingle sets, a shingle being named by 64 bits.
-4. Components of the verified pairs (distributed union-find by labels). A component and all
-   its occurrences keep the first line, by (doc_id, line number); every other is dropped.
+4. Components of the verified pairs (distributed union-find by labels).
+5. A band that still holds several components is open. A component's hub is its least form. Hubs that meet
+   in an open band are compared; as Jaccard distance is a metric, hubs that lie far apart rule out pairs of
+   their forms, and the pairs of a band that they do not rule out are compared too. So all forms that meet in a
+   band are compared, ruled out or of one component.
+6. A component and all its occurrences keep the first line, by (doc_id, line number); every other is dropped.
 
 Between the steps travel 64-bit hashes of the forms; texts only of forms with a candidate.
 
@@ -125,7 +129,7 @@ def band_keys(forms: list[str], near: Near) -> np.ndarray:
 
 
 def candidates(lines: DataFrame, near: Near) -> DataFrame:
-    """(a, b): forms that share a band, by their hashes."""
+    """Meetings of forms in a band, by their hashes."""
     n_buckets = buckets.bucket_count(lines)
 
     def run(batches):
@@ -145,7 +149,7 @@ def candidates(lines: DataFrame, near: Near) -> DataFrame:
                 np.concatenate(keys), np.concatenate(members), n_buckets, TaskContext.get().partitionId()
             )
 
-    return buckets.candidate_pairs(lines.select("h", "form").mapInArrow(run, buckets.ENTRIES))
+    return buckets.meetings(lines.select("h", "form").mapInArrow(run, buckets.ENTRIES))
 
 
 def form_shingles(form: str, width: int) -> set[str]:
@@ -160,36 +164,116 @@ def form_sets(forms: list[str], near: Near) -> list[np.ndarray]:
     return [np.unique(hashed[b - len(f) : b - near.width + 1]) for f, b in zip(forms, ends)]
 
 
-def near_pairs(lines: DataFrame, near: Near) -> DataFrame:
-    """(a, b) with exact similarity at or above the threshold."""
-    pairs = stored(candidates(lines, near), "line_pairs")
-    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line_ends")
-    # one text per form: its hash names it
-    texts = stored(lines.select("h", "form").join(ends, "h", "left_semi").dropDuplicates(["h"]), "line_texts")
+def compared(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """(pairs' columns, distance, linked): exact Jaccard distance of a and b, and whether it is within the threshold."""
+    names = pairs.columns
     met = pairs.join(texts.select(F.col("h").alias("b"), F.col("form").alias("y")), "b").join(
         texts.select(F.col("h").alias("a"), F.col("form").alias("x")), "a"
     )
 
     def run(batches):
         for batch in batches:
-            kept = []
+            counts = []
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                left, right = (form_sets(part.column(c).to_pylist(), near) for c in (2, 3))
-                for i, (x, y) in enumerate(zip(left, right)):
+                left, right = (form_sets(part.column(c).to_pylist(), near) for c in (len(names), len(names) + 1))
+                for x, y in zip(left, right):
                     all_ = np.sort(np.concatenate([x, y]))
                     both = int((all_[1:] == all_[:-1]).sum())
-                    if 100 * both >= near.percent * (len(all_) - both):
-                        kept.append(low + i)
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+                    counts.append((both, len(all_) - both))
+            both, either = np.array(counts, dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(names)], pa.array(1 - both / either), pa.array(100 * both >= near.percent * either)],
+                names=[*names, "distance", "linked"],
+            )
+
+    schema = ", ".join([f"{n} bigint" for n in names] + ["distance double", "linked boolean"])
+    return met.select(*names, "x", "y").mapInArrow(run, schema)
 
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+def _open_members(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, h, hub): the forms of bands that hold several components."""
+    named = stored(
+        members.join(groups, F.col("h") == F.col("node"), "left").select(
+            "key", "h", F.coalesce("component", "h").alias("hub")
+        ),
+        "band_members",
+    )
+    # minima are combined before the shuffle
+    several = named.groupBy("key").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).filter("x < y").select("key")
+    return stored(named.join(stored(several, "open_bands"), "key", "left_semi").distinct(), "open_members")
+
+
+def _between_hubs(members: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
+    """(a, b): hubs whose components link through forms that meet in a band; members: (key, h, hub)."""
+    apart = 1 - near.percent / 100 + 1e-9
+    hubs = stored(members.select("key", "hub").distinct(), "open_hubs")
+    met = hubs.select("key", F.col("hub").alias("a")).join(hubs.select("key", F.col("hub").alias("b")), "key")
+    hub_pairs = stored(met.filter("a < b").select("a", "b").distinct(), "hub_pairs")
+    between = stored(compared(hub_pairs, texts, near), "hub_distances")
+    links = between.filter("linked").select("a", "b")
+    spokes = stored(
+        members.filter("h <> hub").select(F.col("hub").alias("a"), F.col("h").alias("b")).distinct(), "spokes"
+    )
+    away = stored(
+        compared(spokes, texts, near).select(F.col("b").alias("h"), F.col("a").alias("hub"), F.col("distance").alias("away")),
+        "away",
+    )
+    farthest = away.groupBy("hub").agg(F.max("away").alias("far"))
+    linked = stored(components(links), "hub_groups")
+    for side in ("a", "b"):
+        between = between.join(
+            linked.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left"
+        ).join(farthest.select(F.col("hub").alias(side), F.col("far").alias(f"far_{side}")), side, "left")
+    undecided = stored(
+        between.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        .filter(F.coalesce("far_a", "far_b").isNotNull())  # two single forms: compared just now
+        .filter(F.col("distance") - F.coalesce("far_a", F.lit(0.0)) - F.coalesce("far_b", F.lit(0.0)) <= apart)
+        .select("a", "b", "distance"),
+        "near_hubs",
+    )
+    if undecided.isEmpty():
+        return links
+    placed = stored(
+        members.join(away, ["h", "hub"], "left").select("key", "h", "hub", F.coalesce("away", F.lit(0.0)).alias("away")),
+        "placed",
+    )
+    x = placed.select("key", F.col("hub").alias("a"), F.col("h").alias("x"), F.col("away").alias("dx"))
+    y = placed.select("key", F.col("hub").alias("b"), F.col("h").alias("y"), F.col("away").alias("dy"))
+    rest = (
+        x.join(undecided, "a").join(y, ["key", "b"]).filter(F.col("distance") - F.col("dx") - F.col("dy") <= apart)
+        .filter("x <> a OR y <> b")
+        .select(F.col("a").alias("hub_a"), F.col("b").alias("hub_b"), F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    )
+    more = compared(stored(rest, "form_pairs"), texts, near).filter("linked")
+    return links.unionByName(stored(more.select(F.col("hub_a").alias("a"), F.col("hub_b").alias("b")), "form_links"))
+
+
+def line_groups(lines: DataFrame, near: Near) -> DataFrame:
+    """(node, component) of the forms that link with another, by all pairs that meet in a band."""
+    met = stored(candidates(lines, near), "line_meetings")
+    pairs = stored(met.filter("pairs").select("a", "b").distinct(), "line_pairs")
+    # whoever meets another in a band is in a pair
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line_ends")
+    # one text per form: its hash names it
+    texts = stored(lines.select("h", "form").join(ends, "h", "left_semi").dropDuplicates(["h"]), "line_texts")
+    links = compared(pairs, texts, near).filter("linked").select("a", "b")
+    groups = stored(components(links), "line_groups")
+    members = _open_members(met.filter("NOT pairs").select(F.col("a").alias("key"), F.col("b").alias("h")), groups)
+    if members.isEmpty():
+        return groups
+    # components of hubs: a hub is its component's least form, so the least hub is the least form of all
+    joined = stored(components(_between_hubs(members, texts, near)), "joined_hubs")
+    of = joined.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    alone = joined.join(groups, "node", "left_anti")
+    whole = groups.join(of, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    return stored(whole.unionByName(alone), "line_groups")
 
 
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: Near = Near()) -> DataFrame:
     """(key, lines): per document the numbers of the lines that stand elsewhere before."""
     lines = line_table(docs, doc_id, text, near)
-    groups = stored(components(near_pairs(lines, near)), "line_groups")
+    groups = line_groups(lines, near)
     place = F.struct("doc_id", "key", "line")
     seen = stored(lines.select("h", place.alias("at")), "lines")
     # first occurrence and number per form, then per component

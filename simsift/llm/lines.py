@@ -1,8 +1,8 @@
 """Removal of repeated lines, equal or nearly so, across all documents.
 
-A line counts by its normal form (lower case, runs of white space as one space). Forms of
-fewer than ``shortest`` characters are left alone. Two forms are near when the Jaccard
-similarity of their sets of 8-character shingles is 0.75 or more.
+A line counts by its normal form (lower case, runs of white space as one space); empty forms are left
+alone. Two forms are near when the Jaccard similarity of their sets of 8-character shingles is
+0.75 or more. A shorter form is its own and only shingle, so it is near to equal ones alone.
 
 1. Signatures. One-permutation MinHash: a shingle's hash falls into one of 48 bins, the least of
    each bin counts, empty bins take their neighbour's. 12 bands of 4: of two forms with similarity
@@ -40,7 +40,7 @@ from .graph import components
 
 @dataclass(frozen=True)
 class Near:
-    shortest: int = 40
+    shortest: int = 1
     width: int = 8
     percent: int = 75
     bands: int = 12
@@ -149,11 +149,13 @@ def candidates(lines: DataFrame, near: Near) -> DataFrame:
                 np.concatenate(keys), np.concatenate(members), n_buckets, TaskContext.get().partitionId()
             )
 
-    return buckets.meetings(lines.select("h", "form").mapInArrow(run, buckets.ENTRIES))
+    # shorter forms are near to equal ones alone, which have one h
+    long = lines.select("h", "form").filter(F.length("form") >= near.width)
+    return buckets.meetings(long.mapInArrow(run, buckets.ENTRIES))
 
 
 def form_shingles(form: str, width: int) -> set[str]:
-    return {form[i : i + width] for i in range(len(form) - width + 1)}
+    return {form[i : i + width] for i in range(max(1, len(form) - width + 1))}
 
 
 def form_sets(forms: list[str], near: Near) -> list[np.ndarray]:

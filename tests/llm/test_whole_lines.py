@@ -57,3 +57,14 @@ def test_families_around_a_band_equal_brute_force(spark, family, tasks):
     frame = docs(spark, list(enumerate(forms))).repartition(tasks)
     got = lines.without_repeats(frame).select("row.text").collect()
     assert sum(r["text"] != "" for r in got) == banded_groups(forms, lines.Near())
+
+
+def test_short_lines_count_too(spark):
+    rows = [
+        (1, "All rights reserved.\nx\n\n---"), (2, "x\nall  rights reserved.\n\nown text"),
+        (3, "xy\nAll rights reserved!\n---\n "), (4, "seven77\nseven78\nseven77"),
+    ]
+    got = lines.without_repeats(docs(spark, rows).repartition(3)).select("row.doc_id", "row.text", "lines.dropped").collect()
+    # the third is one shingle of 13 off the first: 12 / 14
+    want = [(1, rows[0][1], 0), (2, "\nown text", 2), (3, "xy\n ", 2), (4, "seven77\nseven78", 1)]
+    assert sorted((r["doc_id"], r["text"], r["dropped"]) for r in got) == want

@@ -357,7 +357,6 @@ def _hub_pairs(members: DataFrame, edge: int) -> DataFrame:
     y = open_hubs.select("key", F.struct("hub", "low", "high", "small").alias("y"))
     met = x.join(y, "key").filter(
         (F.col("x.hub") < F.col("y.hub")) & (F.col("x.small") | F.col("y.small"))
-        & _fit(F.col("x.low"), F.col("y.high")) & _fit(F.col("y.low"), F.col("x.high"))
         & _fit(F.least("x.high", "y.high"), F.greatest("x.low", "y.low"))
     )
     shared = met.groupBy(F.col("x.hub").alias("a"), F.col("y.hub").alias("b")).agg(

@@ -292,29 +292,93 @@ def pseudonym(match: Column, kind: Column, key: str) -> Column:
     return out.otherwise(match)
 
 
+def _matches(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"({ANY})"), 0)
+
+
+def _held(match: Column) -> Column:
+    """Length of the longest card or account number that a match of no kind begins with and that ends at a
+    separator; null if there is none."""
+
+    def valid(part: Column) -> Column:
+        return (part.rlike(f"^(?:{PATTERNS['card']})$") & is_card(part)) | (
+            part.rlike(f"^(?:{PATTERNS['iban']})$") & is_iban(part)
+        )
+
+    ends = F.filter(
+        F.reverse(F.sequence(F.lit(1), F.length(match) - 1)),
+        lambda i: F.substr(match, i + 1, F.lit(1)).isin(" ", "-") & _let(F.substr(match, F.lit(1), i), valid),
+    )
+    return F.when(match.rlike("^[A-Z0-9]+[ -][A-Z0-9 -]+$") & kind_of(match).isNull(), F.get(ends, F.lit(0)))
+
+
+def _parts(text: Column) -> Column:
+    """The text cut behind each number that only the beginning of a match holds; what follows is matched anew."""
+
+    def cut(acc: Column) -> Column:
+        rest = acc["rest"]
+
+        def at(held: Column) -> Column:
+            # place of the first such match: gaps and matches before it
+            k = F.array_position(F.transform(held, lambda h: h.isNotNull()), True).cast("int")
+            before = F.concat(
+                F.transform(F.slice(F.split(rest, ANY, -1), F.lit(1), k), F.length),
+                F.transform(F.slice(_matches(rest), F.lit(1), k - 1), F.length),
+            )
+            return F.when(k > 0, F.aggregate(before, F.get(held, k - 1), lambda n, x: n + x))
+
+        def split(n: Column) -> Column:
+            return F.when(
+                n.isNull(), F.struct(F.concat(acc["done"], F.array(rest)).alias("done"), F.lit(None).cast("string").alias("rest"))
+            ).otherwise(
+                F.struct(
+                    F.concat(acc["done"], F.array(F.substr(rest, F.lit(1), n))).alias("done"), F.substr(rest, n + 1).alias("rest")
+                )
+            )
+
+        return F.when(rest.isNull(), acc).otherwise(_let(_let(F.transform(_matches(rest), _held), at), split))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), text.alias("rest"))
+    # a cut is behind 13 characters at least, and the last round ends the text
+    rounds = F.sequence(F.lit(1), F.floor(F.length(text) / 13).cast("int") + 1)
+    return F.aggregate(rounds, start, lambda acc, _: cut(acc), lambda acc: acc["done"])
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(row, found) per document: its columns with the text replaced, and what was replaced in
     the text's order, an array of (kind, value, pseudonym)."""
     t = F.col("t")
-    found = F.transform(
-        F.regexp_extract_all(t, F.lit(f"({ANY})"), 0),
-        lambda m: _let(
-            kind_of(m),
-            lambda k: F.struct(k.alias("kind"), m.alias("value"), pseudonym(m, k, key).alias("pseudonym")),
-        ),
-    )
+
+    def scanned(part: Column) -> Column:
+        return F.transform(
+            _matches(part),
+            lambda m: _let(
+                kind_of(m),
+                lambda k: F.struct(k.alias("kind"), m.alias("value"), pseudonym(m, k, key).alias("pseudonym")),
+            ),
+        )
+
+    cut = F.exists(_matches(t), lambda m: _held(m).isNotNull())
     some = docs.select(F.struct("*").alias("row"), F.col(text).alias("t")).withColumn(
-        "found", F.when(t.rlike("[0-9@=:]"), found)
-    )
-    gaps = F.split(t, ANY, -1)
-    joined = F.concat(
-        F.array_join(
-            F.zip_with(F.slice(gaps, F.lit(1), F.size("found")), "found", lambda g, f: F.concat(g, f["pseudonym"])), ""
-        ),
-        F.element_at(gaps, -1),
-    )
-    return some.select(
-        F.col("row").withField(f"`{text}`", F.when(F.size("found") > 0, joined).otherwise(t)).alias("row"),
+        "parts", F.when(t.rlike("[0-9@=:]"), F.when(cut, _parts(t)).otherwise(F.array(t)))
+    ).withColumn("scans", F.transform("parts", lambda p: F.struct(p.alias("part"), scanned(p).alias("found"))))
+
+    def replaced(scan: Column) -> Column:
+        gaps = F.split(scan["part"], ANY, -1)
+        return F.concat(
+            F.array_join(
+                F.zip_with(
+                    F.slice(gaps, F.lit(1), F.size(scan["found"])), scan["found"], lambda g, f: F.concat(g, f["pseudonym"])
+                ), ""
+            ),
+            F.element_at(gaps, -1),
+        )
+
+    found = some.withColumn("found", F.flatten(F.transform("scans", lambda s: s["found"])))
+    return found.select(
+        F.col("row").withField(
+            f"`{text}`", F.when(F.size("found") > 0, F.array_join(F.transform("scans", replaced), "")).otherwise(t)
+        ).alias("row"),
         F.filter(F.coalesce("found", F.array()), lambda f: f["kind"].isNotNull()).alias("found"),
     )
 

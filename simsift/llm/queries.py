@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import stored
-from . import decontaminate, hostrules, jaccard, langid, lines, packing, pseudonyms, shards, toolcalls, urllists
+from ..session import scratch_path, stored
+from . import (
+    decontaminate, hostrules, jaccard, langid, lines, packing, pseudonyms, shards, tokenfiles, toolcalls, urllists,
+)
 from .registry import QUERIES, query
 from .sql import DECONTAMINATION, HOST_RULES, TOOL_CALLS, URL_LISTS
 
@@ -174,3 +177,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    tokenfiles.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.read_tokens(spark, folder, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

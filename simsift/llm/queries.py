@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
 from . import (
-    decontaminate, hostrules, jaccard, langid, lines, packing, pseudonyms, shards, tokenfiles, toolcalls, urllists,
+    decontaminate, hostrules, jaccard, langid, lines, packing, pseudonyms, resample, shards, tokenfiles, toolcalls,
+    urllists,
 )
 from .registry import QUERIES, query
 from .sql import DECONTAMINATION, HOST_RULES, TOOL_CALLS, URL_LISTS
@@ -179,6 +180,12 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_resampling")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn_rows = resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn_rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 @query("op13_token_files")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")

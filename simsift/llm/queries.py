@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
 from . import (
-    decontaminate, hostrules, jaccard, langid, lines, packing, pseudonyms, resample, shards, tokenfiles, toolcalls,
-    urllists,
+    align, decontaminate, hostrules, jaccard, langid, lines, packing, pseudonyms, resample, shards, tokenfiles,
+    toolcalls, urllists,
 )
 from .registry import QUERIES, query
 from .sql import DECONTAMINATION, HOST_RULES, TOOL_CALLS, URL_LISTS
@@ -186,6 +186,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn_rows.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@query("op12_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairing = align.Pairing(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return align.aligned(table(spark, sf_dir, "documents"), pairing)
+
+
 @query("op13_token_files")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")

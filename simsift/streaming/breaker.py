@@ -6,6 +6,7 @@ order per service is (ts_us, call_id).
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..catalog.formats import STATE_CLOSED, STATE_HALF_OPEN, STATE_OPEN
 from ..catalog.labels import BREAKER_FAILURE_THRESHOLD, BREAKER_RECOVERY_SECONDS
-from ..session import shared_dir
+from ..session import shared_dir, stored
+from . import scan
 from .fold import Breaker, fold_calls
 
 _ORDER = ["service", "ts_us", "call_id"]
@@ -31,54 +33,104 @@ def _runs(services: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(bounds[:-1], bounds[1:], strict=True)
 
 
-def _fold_batches(batches, entries: dict, threshold: int, recovery_us: int):
-    """Fold sorted batches of one partition; yields (batch, outcome arrays, carry)."""
-    service, carry = None, Breaker()
-    for pdf in batches:
-        if pdf.empty:
-            continue
-        names = pdf["service"].to_numpy()
-        ts, ok = pdf["ts_us"].to_numpy(), pdf["ok"].to_numpy().astype(bool)
-        admitted = np.empty(len(pdf), dtype=bool)
-        modes = np.empty(len(pdf), dtype=np.int8)
-        counts = np.empty(len(pdf), dtype=np.int64)
-        for a, b in _runs(names):
-            if service is None:
-                carry = entries.get(int(pdf["chunk"].iloc[0]), Breaker())
-            elif names[a] != service:
-                carry = Breaker()
-            service = names[a]
-            admitted[a:b], modes[a:b], counts[a:b], carry = fold_calls(
-                ts[a:b], ok[a:b], carry, threshold, recovery_us
-            )
-        yield pdf, (admitted, modes, counts), carry
-
-
-def _chunk_edges(threshold: int, recovery_us: int, entries: dict):
-    """Per chunk: its first and last service and the breaker left at its end."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first, edge = None, None
-        for pdf, _, carry in _fold_batches(batches, entries, threshold, recovery_us):
-            first = pdf["service"].iloc[0] if edge is None else first
-            edge = (int(pdf["chunk"].iloc[0]), first, pdf["service"].iloc[-1], *carry)
-        if edge is not None:
-            yield pd.DataFrame(
-                [edge], columns=["chunk", "first", "last", "mode", "failures", "last_failure"]
-            )
-
-    return scan
-
-
-def _entries_from(edges: dict) -> dict[int, Breaker]:
-    """Breaker each chunk starts with: the end of the chunk before, if the service goes on."""
-    entries, before = {}, None
-    for chunk in sorted(edges):
-        row = edges[chunk]
-        if before is not None and before["last"] == row["first"]:
-            entries[chunk] = Breaker(before["mode"], before["failures"], before["last_failure"])
-        before = row
-    return entries
+def _edge_summaries(threshold: int, recovery_us: int):
+    """Summaries of the services that a chunk begins and ends with; others lie within the chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, service, calls, first = None, None, [], True
+
+        def summary() -> pd.DataFrame:
+            ts, ok = (np.concatenate(x) for x in zip(*calls, strict=True))
+            rows = scan.to_rows(chunk, scan.summarise(ts, ok, threshold, recovery_us))
+            return rows.assign(service=service, first=first)
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            names, ts, ok = pdf["service"].to_numpy(), pdf["ts_us"].to_numpy(), pdf["ok"].to_numpy().astype(bool)
+            chunk = int(pdf["chunk"].iloc[0])
+            for a, b in _runs(names):
+                if calls and names[a] != service:
+                    if first:
+                        yield summary()
+                    calls, first = [], False
+                service = names[a]
+                calls.append((ts[a:b], ok[a:b]))
+        if calls:
+            yield summary()
+
+    return run
+
+
+def _chain(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """One summary of the neighbouring stretches of a service."""
+    parts = [scan.from_rows(rows[rows["chunk"] == c]) for c in sorted(rows["chunk"].unique())]
+    return scan.to_rows(key[1], functools.reduce(scan.chained, parts)).assign(service=key[0])
+
+
+def _walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """The breaker that each stretch of a group begins with, from the one that the group begins with."""
+    state, out = Breaker(*map(int, rows[["at_mode", "at_failures", "at_last"]].iloc[0])), []
+    for c in sorted(rows["chunk"].unique()):
+        out.append((c, *state))
+        state = scan.after(state, scan.from_rows(rows[rows["chunk"] == c]))
+    made = pd.DataFrame(out, columns=["chunk", "at_mode", "at_failures", "at_last"])
+    return made.assign(service=key[0])
+
+
+def _entries(edges: DataFrame, kind: str, fan: int) -> DataFrame:
+    """(service, chunk, at_mode, at_failures, at_last): the breaker before every stretch.
+
+    A prefix scan in levels of ``fan``: summaries of neighbours are chained upwards until one group is left, then the
+    states are handed down. The number of jobs follows from the number of chunks alone.
+    """
+    group = F.floor(F.col("chunk") / fan).alias("group")
+    levels = [edges.drop("first")]
+    n = (edges.agg(F.max("chunk")).first()[0] or 0) // fan
+    while n:
+        up = levels[-1].groupBy("service", group).applyInPandas(_chain, f"service {kind}, {scan.TYPES}")
+        levels.append(stored(up, "summaries"))
+        n //= fan
+    before = None
+    for level in reversed(levels):
+        rows = level.withColumn("group", group)
+        if before is None:
+            fresh = zip(("at_mode", "at_failures", "at_last"), Breaker(), strict=True)
+            rows = rows.withColumns({name: F.lit(value) for name, value in fresh})
+        else:
+            rows = rows.join(before.withColumnRenamed("chunk", "group"), ["service", "group"])
+        walked = rows.groupBy("service", "group").applyInPandas(
+            _walk, f"service {kind}, chunk bigint, at_mode bigint, at_failures bigint, at_last bigint"
+        )
+        before = stored(walked, "entries")
+    return before
+
+
+def _emit(threshold: int, recovery_us: int):
+    """Outcomes of a chunk's calls; its first service goes on from the breaker it is given."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        service, carry = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            names = pdf["service"].to_numpy()
+            ts, ok = pdf["ts_us"].to_numpy(), pdf["ok"].to_numpy().astype(bool)
+            admitted = np.empty(len(pdf), dtype=bool)
+            modes = np.empty(len(pdf), dtype=np.int8)
+            counts = np.empty(len(pdf), dtype=np.int64)
+            for a, b in _runs(names):
+                if carry is None:
+                    carry = Breaker(*(int(pdf[c].iloc[0]) for c in ("at_mode", "at_failures", "at_last")))
+                elif names[a] != service:
+                    carry = Breaker()
+                service = names[a]
+                admitted[a:b], modes[a:b], counts[a:b], carry = fold_calls(
+                    ts[a:b], ok[a:b], carry, threshold, recovery_us
+                )
+            yield _outcome(pdf, admitted, modes, counts)
+
+    return run
 
 
 def replay_breaker(
@@ -86,15 +138,19 @@ def replay_breaker(
     threshold: int = BREAKER_FAILURE_THRESHOLD,
     recovery_s: float = BREAKER_RECOVERY_SECONDS,
     chunks: int | None = None,
+    fan: int = 64,
 ) -> DataFrame:
     """Outcome of every call of a table: admitted, state and failure_count after it.
 
     A service may hold a third of all calls, so calls are range-partitioned by
-    (service, time, id): big services span many chunks. Each chunk is folded
-    from an assumed start; where the end of the chunk before differs from that
-    assumption the chunk is folded again, until nothing changes. The result
-    is exactly the sequential fold. The driver only sees one edge per chunk.
-    The chunks are checkpointed, so every pass and every retry reads the same.
+    (service, time, id): big services span many chunks. Each chunk is read once to sum up what
+    it does to any breaker, the summaries are chained in a prefix scan, and each chunk
+    is folded once, from the breaker it really begins with. The result is exactly the sequential fold.
+    The chunks are checkpointed, so both passes and every retry read the same.
+
+    Needed in memory: a chunk's times of one service, and ``fan`` summaries of at most two rows per
+    failure within the recovery time after the chunk's first call. A null ``ok`` is a failure. An empty table gives
+    an empty result.
     """
     spark = calls.sparkSession
     shared_dir(spark)
@@ -109,29 +165,14 @@ def replay_breaker(
         .checkpoint()
     )
     kind = ordered.schema["service"].dataType.simpleString()
-    edge_type = (
-        f"chunk int, first {kind}, last {kind}, mode int, failures bigint, last_failure bigint"
+    edges = stored(
+        ordered.mapInPandas(_edge_summaries(threshold, recovery_us), f"service {kind}, first boolean, {scan.TYPES}"), "edges"
     )
-    edges: dict[int, object] = {}
-    entries: dict[int, Breaker] = {}
-    todo = ordered
-    while True:
-        scan = _chunk_edges(threshold, recovery_us, entries)
-        edges.update({r["chunk"]: r for r in todo.mapInPandas(scan, edge_type).collect()})
-        better = _entries_from(edges)
-        stale = [c for c in better if better[c] != entries.get(c, Breaker())]
-        entries = better
-        # A chunk that ends with another service does not pass its start on.
-        again = [c for c in stale if edges[c]["first"] == edges[c]["last"]]
-        if not again:
-            break
-        todo = ordered.filter(F.col("chunk").isin(again))
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, out, _ in _fold_batches(batches, entries, threshold, recovery_us):
-            yield _outcome(pdf, *out)
-
-    return ordered.mapInPandas(emit, f"service {kind}, {_RESULT}")
+    firsts = edges.filter("first").select("service", "chunk").distinct()
+    entries = _entries(edges, kind, fan).join(firsts, ["service", "chunk"]).drop("service")
+    # one row per chunk, as Spark's driver keeps itself
+    begun = ordered.join(F.broadcast(entries), "chunk")
+    return begun.mapInPandas(_emit(threshold, recovery_us), f"service {kind}, {_RESULT}")
 
 
 def _outcome(pdf: pd.DataFrame, admitted, modes, counts) -> pd.DataFrame:

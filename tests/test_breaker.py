@@ -1,11 +1,13 @@
 """Breaker fold, parallel replay of hot services, stream equals table."""
 
+import functools
 import random
 
 import numpy as np
 import pytest
 
 from simsift.sources.writers import write_jsonl
+from simsift.streaming import scan
 from simsift.streaming.breaker import health, replay_breaker, route, stream_breaker
 from simsift.streaming.fold import CLOSED, HALF_OPEN, OPEN, Breaker, fold_calls
 
@@ -97,6 +99,60 @@ def test_replay_of_a_hot_service(spark, chunks, recovery):
     assert {r["call_id"]: (r["admitted"], r["state"], r["failure_count"]) for r in got} == expected(rows, 3, recovery)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_replay_over_many_levels(spark, fan):
+    rows = make_calls(2000, 31)
+    calls = spark.createDataFrame(rows, CALLS).repartition(5)
+    got = replay_breaker(calls, 4, 45, 24, fan).collect()
+    assert {r["call_id"]: (r["admitted"], r["state"], r["failure_count"]) for r in got} == expected(rows, 4, 45)
+
+
+def test_jobs_do_not_grow_with_the_chunks_of_a_healthy_service(spark):
+    """One call in 10,000 fails: each chunk's end depends on the one before, through all of them."""
+    rows = [("one", i, i * 1_000_000, i % 10_000 != 77) for i in range(60_000)]
+    calls = spark.createDataFrame(rows, CALLS).repartition(4).persist()
+    jobs = {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for chunks in (8, 200):
+            spark.sparkContext.setJobGroup(f"replay{chunks}", "")
+            got = replay_breaker(calls, 3, 600, chunks).filter("state != 'CLOSED' OR NOT ok").collect()
+            jobs[chunks] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"replay{chunks}"))
+            want = {k: v for k, v in expected(rows, 3, 600).items() if v[1] != "CLOSED" or k % 10_000 == 77}
+            assert {r["call_id"]: (r["admitted"], r["state"], r["failure_count"]) for r in got} == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.sparkContext.setJobGroup("", "")
+        calls.unpersist()
+    assert jobs[200] <= 2 * jobs[8]  # one level more of 64
+
+
+def test_summaries_chain_like_the_calls_themselves():
+    rng = random.Random(3)
+    for _ in range(1500):
+        n, p = rng.randint(1, 60), rng.choice([0.02, 0.3, 0.6, 0.95])
+        ts = np.cumsum([rng.choice([0, 1, 5, 10, 11]) for _ in range(n)]).astype(np.int64)
+        ok = np.array([rng.random() > p for _ in range(n)])
+        threshold, recovery = rng.randint(0, 5), rng.choice([0, 5, 10, 30, 100])
+        bounds = [0, *sorted(rng.sample(range(1, n), min(n - 1, rng.randint(0, 6)))), n]
+        parts = [scan.summarise(ts[a:b], ok[a:b], threshold, recovery) for a, b in zip(bounds, bounds[1:])]
+        whole = scan.from_rows(scan.to_rows(1, functools.reduce(scan.chained, parts)).sample(frac=1, random_state=1))
+        opened = Breaker(OPEN, max(threshold, 1) + rng.randint(0, 3), int(ts[0]) - rng.choice([0, 1, 3, 9, 40, 200]))
+        for start in (opened, *(Breaker(CLOSED, c, -1) for c in range(max(threshold, 1)))):
+            *_, want = fold_calls(ts, ok, start, threshold, recovery)
+            for end in (scan.after(start, whole), functools.reduce(scan.after, parts, start)):
+                assert (end.mode, end.failures) == (want.mode, want.failures)
+                assert end.mode == CLOSED or end.last_failure == want.last_failure
+
+
+def test_a_summary_is_small_where_failures_are_rare():
+    ts = np.arange(100_000, dtype=np.int64) * 1000
+    ok = np.ones(len(ts), dtype=bool)
+    ok[::1000] = False
+    summary = scan.summarise(ts, ok, 5, 20_000_000)  # the recovery time holds 20 failures
+    assert len(summary.bounds) <= 2 * 20 + 3
+
+
 def test_replay_of_nothing(spark):
     assert replay_breaker(spark.createDataFrame([], CALLS)).count() == 0
 

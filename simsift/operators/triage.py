@@ -27,9 +27,38 @@ def with_model_verdict(rows: DataFrame, log: str = "log", text: str = "generated
     )
 
 
-def join_generated(rows: DataFrame, generated: DataFrame, key: str = "id") -> DataFrame:
-    """Left join of precomputed model output (unique ids)."""
-    return rows.join(generated.select(key, "generated_text"), key, "left")
+def judged(requests: DataFrame, key: str = "id", log: str = "log", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``_long``, ``_rules``): the size check and the rules' verdict on the cut log, without the text.
+
+    What is joined afterwards are these narrow rows; a log never takes part in an exchange.
+    """
+    text = F.col(log)
+    rows = requests.select(
+        key, *keep, too_long(text).alias("_long"), F.when(~too_long(text), keep_tail(text)).alias("_cut")
+    )
+    return with_verdict(rows, "_cut", "_rules").select(key, *keep, "_long", "_rules")
+
+
+def model_or_rules(logs: DataFrame, generated: DataFrame, key: str = "id", log: str = "log") -> DataFrame:
+    """(key, verdict): the generated JSON where there is a complete one for the key, else the rules on the log."""
+    rules = with_verdict(logs.select(key, F.col(log).alias("_log")), "_log", "_rules").select(key, "_rules")
+    rows = rules.join(generated.select(key, "generated_text"), key, "left")
+    return rows.select(key, F.coalesce(strict_verdict(F.col("generated_text")), F.col("_rules")).alias("verdict"))
+
+
+def answered(rows: DataFrame, threshold: float = CONFIDENCE_THRESHOLD, key: str = "id") -> DataFrame:
+    """Answers from judged rows with ``route``, ``status`` and ``generated_text`` (null: the rules answer)."""
+    model = strict_verdict(F.when(F.col("route") == "model", F.col("generated_text")))
+    status = F.when(F.col("_long"), 400).otherwise(F.coalesce("status", F.lit(200)))
+    chosen = rows.withColumns({"_chosen": F.coalesce(model, F.col("_rules")), "_status": status})
+    answer = F.when(F.col("_status") == 200, gate(F.col("_chosen"), threshold)).cast(RESULT_TYPE)
+    detail = (
+        F.when(F.col("_status") == 400, F.lit(TOO_LONG_DETAIL))
+        .when(F.col("_status") == 503, F.lit(BREAKER_OPEN_DETAIL))
+        .when(F.col("_status") == 502, F.lit("Call to the model failed"))
+    )
+    gated = once(chosen, "_answer", answer)
+    return gated.select(key, F.col("_status").alias("status"), "_answer.*", detail.alias("detail"))
 
 
 def triage(
@@ -45,33 +74,12 @@ def triage(
     ``routed(key, route, status)`` says who answers each request and
     ``generated(key, generated_text)`` holds the model's text.
     """
-    rows = requests.withColumns(
-        {
-            "_rejected": too_long(F.col("log")),
-            "_cut": F.when(~too_long(F.col("log")), keep_tail(F.col("log"))),
-        }
-    )
+    rows = judged(requests, key)
     if routed is None or generated is None:
-        rows = rows.withColumns({"route": F.lit("rules"), "status": F.lit(200)})
-        rows = rows.withColumn("generated_text", F.lit(None).cast("string"))
-    else:
-        rows = join_generated(rows.join(routed.select(key, "route", "status"), key, "left"), generated, key)
-        rows = rows.withColumns(
-            {"route": F.coalesce("route", F.lit("rules")), "status": F.coalesce("status", F.lit(200))}
-        )
-        rows = rows.withColumn(
-            "generated_text", F.when(F.col("route") == "model", F.col("generated_text"))
-        )
-    status = F.when(F.col("_rejected"), 400).otherwise(F.col("status"))
-    judged = with_model_verdict(rows, "_cut").withColumn("status", status)
-    answer = F.when(F.col("status") == 200, gate(F.col("verdict"), threshold)).cast(RESULT_TYPE)
-    gated = once(judged, "_answer", answer)
-    detail = (
-        F.when(F.col("status") == 400, F.lit(TOO_LONG_DETAIL))
-        .when(F.col("status") == 503, F.lit(BREAKER_OPEN_DETAIL))
-        .when(F.col("status") == 502, F.lit("Call to the model failed"))
-    )
-    return gated.select(key, "status", "_answer.*", detail.alias("detail"))
+        nothing = {"route": F.lit(None).cast("string"), "status": F.lit(None).cast("int"), "generated_text": F.lit(None).cast("string")}
+        return answered(rows.withColumns(nothing), threshold, key)
+    rows = rows.join(routed.select(key, "route", "status"), key, "left")
+    return answered(rows.join(generated.select(key, "generated_text"), key, "left"), threshold, key)
 
 
 def accepted(triaged: DataFrame) -> DataFrame:

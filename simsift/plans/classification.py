@@ -242,7 +242,7 @@ SELECT id, CASE WHEN m_ok THEN m_label ELSE v_label END AS label, CASE WHEN m_ok
   CASE WHEN m_ok THEN m_conf ELSE v_conf END AS confidence FROM cls""")
 def model_or_rules(spark, sf):
     logs = D.sim_logs(spark, sf)
-    return _verdict_columns(OT.with_model_verdict(OT.join_generated(logs, D.generated(logs))), "id")
+    return _verdict_columns(OT.model_or_rules(logs, D.generated(logs)), "id")
 
 
 _CHOSEN = """SELECT *, CASE WHEN use_model AND m_ok THEN m_label ELSE v_label END AS c_label,
@@ -251,7 +251,7 @@ _CHOSEN = """SELECT *, CASE WHEN use_model AND m_ok THEN m_label ELSE v_label EN
 _c = S.gated(0.7, "c_label", "c_text", "c_conf")
 
 
-@query("cls4_full_triage", "CLS-4 PRJ-1 PRJ-2 PRJ-3 STR-4", f"""WITH RECURSIVE {_MODEL.split(', j AS')[0]}, {S.breaker(5, RECOVERY_S)},
+FULL_TRIAGE = f"""WITH RECURSIVE {_MODEL.split(', j AS')[0]}, {S.breaker(5, RECOVERY_S)},
   req AS (SELECT id, label, log FROM sim UNION ALL SELECT -1 - doc_id, NULL, log FROM
     (SELECT id AS doc_id, log FROM ({f'WITH {S._LONG} SELECT * FROM long'}))),
   j AS (SELECT req.id, length(log) > 100000 AS too_long, CASE WHEN length(log) <= 100000 THEN {S.cut('log')} END AS log,
@@ -262,14 +262,20 @@ _c = S.gated(0.7, "c_label", "c_text", "c_conf")
   o AS (SELECT *, CASE WHEN too_long THEN 400 ELSE st END AS status FROM ch)
 SELECT id, status, CASE WHEN status = 200 THEN {_c[0]} END AS label, CASE WHEN status = 200 THEN {_c[1]} END AS explanation,
   CASE WHEN status = 200 THEN {_c[2]} END AS confidence,
-  CASE status WHEN 400 THEN {S.q(FM.TOO_LONG_DETAIL)} WHEN 503 THEN 'Circuit breaker OPEN' WHEN 502 THEN 'Call to the model failed' END AS detail FROM o""")
-def full_triage(spark, sf):
-    logs = D.sim_logs(spark, sf)
+  CASE status WHEN 400 THEN {S.q(FM.TOO_LONG_DETAIL)} WHEN 503 THEN 'Circuit breaker OPEN' WHEN 502 THEN 'Call to the model failed' END AS detail FROM o"""
+
+
+def requests(spark, sf):
+    """(id, log): all logs, and texts of lengths around the limits that no call belongs to."""
     longs = D.long_logs(spark, sf).select((-1 - F.col("id")).alias("id"), "log")
+    return D.sim_logs(spark, sf).select("id", "log").unionByName(longs)
+
+
+@query("cls4_full_triage", "CLS-4 PRJ-1 PRJ-2 PRJ-3 STR-4", FULL_TRIAGE)
+def full_triage(spark, sf):
     routed = route(replay_breaker(D.calls(spark, sf), 5, RECOVERY_S), fallback=False)
     return OT.triage(
-        logs.select("id", "log").unionByName(longs),
-        routed.withColumnRenamed("call_id", "id"), D.generated(logs),
+        requests(spark, sf), routed.withColumnRenamed("call_id", "id"), D.generated(D.sim_logs(spark, sf))
     )
 
 

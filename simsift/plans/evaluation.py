@@ -134,7 +134,7 @@ SELECT s.id, s.label AS expected, CASE WHEN m_ok THEN m_label ELSE v_label END A
 FROM sim s JOIN mod USING (id) JOIN cls ON cls.id = s.id""")
 def joined_predictions(spark, sf):
     logs = D.sim_logs(spark, sf)
-    model = OT.with_model_verdict(OT.join_generated(logs, D.generated(logs)))
+    model = OT.model_or_rules(logs, D.generated(logs))
     predicted = model.select("id", F.col("verdict.label").alias("predicted"))
     return EV.join_predictions(logs.select("id", F.col("label").alias("expected")), predicted)
 

@@ -9,9 +9,10 @@ from ..operators import triage as OT
 from ..session import scratch_path
 from ..sources import writers as W
 from ..streaming import breaker as B
-from ..streaming.triage import request_stream, start_triage
+from ..streaming.triage import request_stream, routed_triage, start_triage
 from . import derived as D
 from . import oracle as S
+from .classification import FULL_TRIAGE, requests
 from .registry import query
 
 THRESHOLD, RECOVERY_S = 5, 6 * 3600
@@ -57,15 +58,47 @@ def breaker_replay(spark, sf):
     return B.replay_breaker(D.calls(spark, sf), THRESHOLD, RECOVERY_S)
 
 
+STEPS = 5
+#: Beyond all times of the tables; a row of that time ends a feed, so that the watermark passes all others.
+CLOSING_US = 9_000_000_000_000_000
+
+
+def _feed(rows, name: str, closing: dict) -> tuple[str, str]:
+    """(folder, delay): rows with ``ts_us`` as JSON files that arrive in steps, out of order by up to two steps.
+
+    Each row falls in the step of its time or the next one, by its hash; within a step there is no order.
+    """
+    spark, folder = rows.sparkSession, scratch_path(rows.sparkSession, name)
+    low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
+    low, width = low or 0, ((high or 0) - (low or 0)) // (STEPS - 1) + 1
+    late = F.pmod(F.xxhash64(*rows.columns), F.lit(width))
+    dealt = rows.withColumn("_step", F.floor((F.col("ts_us") - low + late) / width)).repartition(4, F.xxhash64(*rows.columns))
+    for step in range(STEPS + 1):
+        W.write_jsonl(dealt.filter(F.col("_step") == step).drop("_step"), f"{folder}/{step}")
+    last = spark.range(1).select(*[F.lit(closing.get(c)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
+    W.write_jsonl(last.withColumn("ts_us", F.lit(CLOSING_US)), f"{folder}/last")
+    return f"{folder}/*", f"{2 * width // 1_000_000 + 1} seconds"
+
+
+def _run(rows, name: str):
+    """All of a stream into Parquet, in as many batches as it takes."""
+    spark = rows.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, "state")
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
+def _read_feed(spark, folder: str, schema: str):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).json(folder)
+
+
 def _stream_calls(spark, sf):
-    """The calls as a stream: one JSON feed, read in one available-now run."""
-    feed, out, state = (scratch_path(spark, n) for n in ("calls", "outcomes", "state"))
-    W.write_jsonl(D.calls(spark, sf), feed)
-    calls = spark.readStream.schema("service bigint, call_id bigint, ts_us bigint, ok boolean").json(feed)
-    B.stream_breaker(calls, THRESHOLD, RECOVERY_S).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", state
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(out)
+    """The calls as a stream of unordered files, in several batches."""
+    folder, delay = _feed(D.calls(spark, sf), "calls", {"service": 0, "call_id": -1, "ok": True})
+    calls = _read_feed(spark, folder, "service bigint, call_id bigint, ts_us bigint, ok boolean")
+    return _run(B.stream_breaker(calls, THRESHOLD, RECOVERY_S, delay, RECOVERY_S), "outcomes")
 
 
 @query("str2_breaker_stream", "STR-2",
@@ -110,3 +143,24 @@ def rejects(spark, sf):
         logs.select("id", "log"), routed.withColumnRenamed("call_id", "id"), D.generated(logs)
     )
     return OT.rejected(answered)
+
+
+@query("str1_routed_triage", "STR-1 CLS-4", FULL_TRIAGE)
+def routed_triage_stream(spark, sf):
+    """Requests and the outcomes of their calls as two unordered streams, joined within the watermark."""
+    replayed = B.replay_breaker(D.calls(spark, sf), THRESHOLD, RECOVERY_S)
+    routed = B.route(replayed, False).select(F.col("call_id").alias("id"), "ts_us", "route", "status")
+    outcomes, slow = _feed(routed, "outcomes", {"id": -(2**62)})
+    times = D.calls(spark, sf).select(F.col("call_id").alias("id"), "ts_us")
+    first = times.agg(F.min("ts_us")).first()[0] or 0
+    asked = requests(spark, sf).join(times, "id", "left").withColumn(
+        "ts_us", F.coalesce("ts_us", F.lit(first) - F.col("id") * 1_000_000)
+    )
+    asked, delay = _feed(asked, "requests", {"id": 2**62})
+    at = F.timestamp_micros("ts_us").alias("at")
+    answers = routed_triage(
+        _read_feed(spark, asked, "id bigint, ts_us bigint, log string").select("id", at, "log"),
+        _read_feed(spark, outcomes, "id bigint, ts_us bigint, route string, status int").select("id", at, "route", "status"),
+        max(delay, slow, key=lambda d: int(d.split()[0])), "1 HOUR", D.generated(D.sim_logs(spark, sf)),
+    )
+    return _run(answers, "answers")

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..catalog.formats import STATE_CLOSED, STATE_HALF_OPEN, STATE_OPEN
 from ..catalog.labels import BREAKER_FAILURE_THRESHOLD, BREAKER_RECOVERY_SECONDS
@@ -189,35 +189,84 @@ def _outcome(pdf: pd.DataFrame, admitted, modes, counts) -> pd.DataFrame:
     )
 
 
+class _OrderedCalls(StatefulProcessor):
+    """A service's calls on a stream: kept by time slot until the watermark has passed the slot, then folded.
+
+    State: the breaker, and per open slot the calls of each frame that brought some. What is
+    held at once is one arriving frame, or the calls of one slot.
+    """
+
+    def __init__(self, threshold: int, recovery_us: int, slot_us: int):
+        self.threshold, self.recovery_us, self.slot_us = threshold, recovery_us, slot_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.breaker = handle.getValueState("breaker", "mode int, failures bigint, last_failure bigint")
+        self.sizes = handle.getMapState("sizes", "slot bigint", "parts int")
+        self.parts = handle.getMapState(
+            "parts", "slot bigint, part int", "ts array<bigint>, ids array<bigint>, ok array<boolean>"
+        )
+
+    def _due(self, slot: int) -> int:
+        """Milliseconds at which no call of the slot can come any more."""
+        return -(-(slot + 1) * self.slot_us // 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for pdf in rows:
+            for slot, part in pdf.groupby(pdf["ts_us"] // self.slot_us):
+                slot = int(slot)
+                if self._due(slot) <= passed:
+                    continue  # later than the watermark allows
+                n = self.sizes.getValue((slot,))[0] if self.sizes.containsKey((slot,)) else 0
+                if n == 0:
+                    self.handle.registerTimer(self._due(slot))
+                ok = part["ok"].fillna(False).astype(bool)
+                self.parts.updateValue((slot, n), (part["ts_us"].tolist(), part["call_id"].tolist(), ok.tolist()))
+                self.sizes.updateValue((slot,), (n + 1,))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        slot = expiredTimerInfo.getExpiryTimeInMs() * 1000 // self.slot_us - 1
+        frames = []
+        for part in range(self.sizes.getValue((slot,))[0]):
+            frames.append(pd.DataFrame(dict(zip(("ts_us", "call_id", "ok"), self.parts.getValue((slot, part))))))
+            self.parts.removeKey((slot, part))
+        self.sizes.removeKey((slot,))
+        pdf = pd.concat(frames).sort_values(["ts_us", "call_id"], kind="stable").assign(service=key[0])
+        breaker = Breaker(*self.breaker.get()) if self.breaker.exists() else Breaker()
+        *out, end = fold_calls(
+            pdf["ts_us"].to_numpy(), pdf["ok"].to_numpy().astype(bool), breaker, self.threshold, self.recovery_us
+        )
+        self.breaker.update(tuple(map(int, end)))
+        yield _outcome(pdf, *out)
+
+
 def stream_breaker(
     calls: DataFrame,
     threshold: int = BREAKER_FAILURE_THRESHOLD,
     recovery_s: float = BREAKER_RECOVERY_SECONDS,
+    delay: str = "10 minutes",
+    slot_s: float = 60.0,
 ) -> DataFrame:
-    """The same fold on a stream, with one small state row per service.
+    """The same fold on a stream: calls count in (time, id) order, however they arrive.
 
-    Calls of a micro-batch are folded in (time, id) order; a call that arrives
-    in a later batch is folded then. One service's calls of one micro-batch go
-    to one task, so bound the batch with the source's ``maxFilesPerTrigger``.
+    A call may come later than others by ``delay``; then its outcome is that of the table's replay. Calls that come
+    later still are dropped, as Spark's watermark has it. Outcomes of a slot of ``slot_s`` seconds (whole milliseconds)
+    follow when the watermark has passed its end, slot by slot.
+
+    Needs Spark's RocksDB state store, which is set for the session's queries from here on.
     """
-    recovery_us = int(round(recovery_s * 1_000_000))
+    spark = calls.sparkSession
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    recovery_us, slot_us = int(round(recovery_s * 1_000_000)), 1000 * int(round(slot_s * 1000))
     kind = calls.schema["service"].dataType.simpleString()
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        breaker = Breaker(*state.get) if state.exists else Breaker()
-        pdf = pd.concat(list(batches)).sort_values(["ts_us", "call_id"], kind="stable")
-        pdf["service"] = key[0]
-        ok = pdf["ok"].fillna(False).to_numpy().astype(bool)
-        *out, end = fold_calls(pdf["ts_us"].to_numpy(), ok, breaker, threshold, recovery_us)
-        state.update(tuple(end))
-        yield _outcome(pdf.assign(ok=ok), *out)
-
-    return calls.groupBy("service").applyInPandasWithState(
-        step,
-        f"service {kind}, {_RESULT}",
-        "mode int, failures bigint, last_failure bigint",
-        "append",
-        GroupStateTimeout.NoTimeout,
+    timed = calls.select("service", "call_id", "ts_us", "ok", F.timestamp_micros("ts_us").alias("_at")).withWatermark("_at", delay)
+    return timed.groupBy("service").transformWithStateInPandas(
+        _OrderedCalls(threshold, recovery_us, slot_us), f"service {kind}, {_RESULT}", "Append", "EventTime"
     )
 
 

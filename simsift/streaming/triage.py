@@ -1,11 +1,13 @@
-"""Continuous triage: the batch operator on a stream of requests."""
+"""Continuous triage: the batch operator on streams of requests and of call outcomes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.triage import triage
+from ..catalog.labels import CONFIDENCE_THRESHOLD
+from ..operators.triage import answered, judged, triage
 
 
 def request_stream(
@@ -29,3 +31,29 @@ def start_triage(requests: DataFrame, out: str, checkpoint: str, **trigger) -> S
         .trigger(**(trigger or {"processingTime": "10 seconds"}))
         .start()
     )
+
+
+def routed_triage(
+    requests: DataFrame,
+    outcomes: DataFrame,
+    delay: str,
+    wait: str,
+    generated: DataFrame | None = None,
+    threshold: float = CONFIDENCE_THRESHOLD,
+    key: str = "id",
+) -> DataFrame:
+    """Answers to a stream of requests (key, at, log) with a stream of their calls' outcomes (key, at, route, status).
+
+    A request takes the outcome of its call, if that lies within ``wait`` of it. One without a call is answered by
+    the rules as soon as the watermarks, ``delay`` behind each stream's latest time, say that no outcome
+    can come any more. The rules judge a request when it arrives, so the join's state
+    holds verdicts and no logs. ``generated`` (key, generated_text) is a table, or the text comes with the outcomes.
+    """
+    kept = F.col("at").alias("_at"), F.col(key).alias("_key"), *(F.col(c) for c in ("route", "status", "generated_text") if c in outcomes.columns)
+    timed = requests.withWatermark("at", delay)
+    called = outcomes.withWatermark("at", delay).select(*kept)
+    near = F.expr(f"_key = {key} AND _at >= at - INTERVAL {wait} AND _at <= at + INTERVAL {wait}")
+    rows = judged(timed, key, keep=("at",)).join(called, near, "left").drop("_key", "_at")
+    if generated is not None:
+        rows = rows.join(generated.select(key, "generated_text"), key, "left")
+    return answered(rows, threshold, key)

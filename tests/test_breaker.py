@@ -4,9 +4,11 @@ import functools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from simsift.sources.writers import write_jsonl
+from simsift.streaming import breaker as breaker_module
 from simsift.streaming import scan
 from simsift.streaming.breaker import health, replay_breaker, route, stream_breaker
 from simsift.streaming.fold import CLOSED, HALF_OPEN, OPEN, Breaker, fold_calls
@@ -157,19 +159,82 @@ def test_replay_of_nothing(spark):
     assert replay_breaker(spark.createDataFrame([], CALLS)).count() == 0
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    rows = make_calls(1200, 5)
-    for part in range(3):  # three micro-batches in time order
-        chunk = spark.createDataFrame(rows[part * 400:(part + 1) * 400], CALLS).coalesce(1)
-        write_jsonl(chunk, str(tmp_path / f"in/{part}"))
-    files = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in/*"))
-    stream_breaker(files, 3, 30).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-        "checkpointLocation", str(tmp_path / "state")
-    ).trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
+def streamed(spark, rows, folder, delay_s, slot_s, parts):
+    """Outcomes of a stream that gets ``parts`` file by file, then a mark that closes it."""
+    for i, part in enumerate([*parts, [("close", -1, 10**15, True)]]):
+        write_jsonl(spark.createDataFrame(part, CALLS).coalesce(1), f"{folder}/in/{i:02}")
+    files = spark.readStream.schema(CALLS).option("maxFilesPerTrigger", 1).json(f"{folder}/in/*")
+    run = stream_breaker(files, 3, 30, f"{delay_s} seconds", slot_s).writeStream.format("parquet").option(
+        "path", f"{folder}/out"
+    ).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = spark.read.parquet(f"{folder}/out").collect()
+    batches = [p["numInputRows"] for p in run.recentProgress if p["numInputRows"]]
+    return got, batches
+
+
+@pytest.mark.parametrize("slot_s", [20, 3600])
+def test_unordered_stream_equals_replay(spark, tmp_path, slot_s):
+    rows, rng = make_calls(900, 5), random.Random(slot_s)
+    width = max(r[2] for r in rows) / 4
+    parts = [[] for _ in range(6)]
+    for r in rows:  # in the file of its time or one later
+        parts[int(r[2] / width + rng.random())].append(r)
+    for part in parts:
+        rng.shuffle(part)
+    parts = [p for p in parts if p]
+    got, batches = streamed(spark, rows, str(tmp_path), int(2 * width / 1e6) + 1, slot_s, parts)
+    assert len(batches) >= 5 and len(got) == len(rows)
     assert {r["call_id"]: (r["admitted"], r["state"], r["failure_count"]) for r in got} == expected(rows, 3, 30)
 
 
+def test_calls_beyond_the_delay_are_dropped(spark, tmp_path):
+    on_time = [("a", i, i * 10_000_000, i % 2 == 0) for i in range(1, 41)]
+    got, _ = streamed(spark, on_time, str(tmp_path), 5, 1, [on_time[:20], on_time[20:], [("a", 99, 1, False)]])
+    assert {r["call_id"]: (r["admitted"], r["state"], r["failure_count"]) for r in got} == expected(on_time, 3, 30)
+
+
+def test_a_frame_holds_one_slot():
+    """The processor on a state of its own: parts are stored as they come, a timer reads its slot's alone."""
+
+    class Map(dict):
+        containsKey, getValue, updateValue, removeKey = dict.__contains__, dict.__getitem__, dict.__setitem__, dict.pop
+
+    class Handle:
+        timers, maps = [], {}
+
+        def getValueState(self, *_):
+            held = Map()
+            held.exists, held.get, held.update = (lambda: 0 in held), (lambda: held[0]), (lambda v: held.__setitem__(0, v))
+            return held
+
+        def getMapState(self, name, *_):
+            return self.maps.setdefault(name, Map())
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class At:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    handle, rng = Handle(), random.Random(1)
+    processor = breaker_module._OrderedCalls(3, 30_000_000, 60_000_000)
+    processor.init(handle)
+    rows = [("s", i, i * 1_000_000, rng.random() > 0.4) for i in range(600)]
+    shuffled = rng.sample(rows, len(rows))
+    for a in range(0, 600, 50):
+        frame = pd.DataFrame(shuffled[a : a + 50], columns=["service", "call_id", "ts_us", "ok"])
+        assert all(f.empty for f in processor.handleInputRows(("s",), iter([frame]), At))
+    assert sorted(handle.timers) == [60_000 * k for k in range(1, 11)]
+    out = []
+    for at in sorted(handle.timers):
+        expired = type("Expired", (), {"getExpiryTimeInMs": lambda self, at=at: at})()
+        out += [f for f in processor.handleExpiredTimer(("s",), At, expired)]
+    assert [len(f) for f in out] == [60] * 10 and not handle.maps["parts"] and not handle.maps["sizes"]
+    got = pd.concat(out)
+    assert {r.call_id: (r.admitted, r.state, r.failure_count) for r in got.itertuples()} == expected(rows, 3, 30)
+
+
 def test_health_and_routes(spark):
     calls = spark.createDataFrame([("m", 0, 0, False), ("m", 1, 1, True)], CALLS)
     outcomes = replay_breaker(calls, 1, 3600)
@@ -182,11 +247,7 @@ def test_health_and_routes(spark):
 
 def test_health_of_a_stream(spark, tmp_path):
     rows = make_calls(200, 9)
-    write_jsonl(spark.createDataFrame(rows, CALLS), str(tmp_path / "in"))
-    calls = spark.readStream.schema(CALLS).json(str(tmp_path / "in"))
-    stream_breaker(calls, 3, 30).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-        "checkpointLocation", str(tmp_path / "s1")
-    ).trigger(availableNow=True).start().awaitTermination()
+    streamed(spark, rows, str(tmp_path), 60, 3600, [rows])
     outcomes = spark.readStream.schema(spark.read.parquet(str(tmp_path / "out")).schema).parquet(str(tmp_path / "out"))
     health(outcomes).writeStream.format("memory").queryName("health_now").outputMode("complete").option(
         "checkpointLocation", str(tmp_path / "s2")

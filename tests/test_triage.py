@@ -11,6 +11,7 @@ from simsift.functions import triage as TR
 from simsift.functions.textforms import fixed, percent
 from simsift.operators import triage as OT
 from simsift.operators.pairs import training_pairs
+from simsift.streaming.triage import routed_triage
 
 
 def column(spark, values, kind, fn):
@@ -106,3 +107,58 @@ def test_classify_files(spark, tmp_path):
     (tmp_path / "a.log").write_text("first\nparity error\n")
     row = OT.classify_files(spark, str(tmp_path)).first()
     assert row["file"].endswith("a.log") and row["label"] == L.PARITY
+
+
+def exchanged_columns(df):
+    """Columns that any exchange of the plan takes in."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    found, here = set(), False
+    for line in plan.splitlines():
+        if line.startswith("("):
+            here = "Exchange" in line
+        elif here and line.startswith("Input"):
+            found |= {c.split("#")[0].strip() for c in line.split(": [", 1)[1].rstrip("]").split(",")}
+    return found
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_logs_stay_out_of_exchanges(spark, no_broadcast):
+    requests = spark.range(50).selectExpr("id", "concat('log ', id) AS log")
+    routed = spark.range(50).selectExpr("id", "'model' AS route", "200 AS status")
+    generated = spark.range(50).selectExpr("id", "'{}' AS generated_text")
+    for df in (OT.triage(requests, routed, generated), OT.model_or_rules(requests, generated)):
+        columns = exchanged_columns(df)
+        assert "id" in columns and "_rules" in columns  # the join does shuffle
+        assert not {c for c in columns if c in ("log", "_log", "_cut") or "folded" in c}
+        assert df.count() == 50
+
+
+def test_streamed_routes_equal_the_batch(spark, tmp_path):
+    """Requests with, without and with late outcomes, in unordered files."""
+    logs = [(i, 1_000_000 * (i + 1), ["count mismatch", "x" * 100_001, "no rule fits", None][i % 4]) for i in range(80)]
+    outcomes = [(i, 1_000_000 * i + 6_000_000, ["model", "error", "error"][i % 3], [200, 502, 503][i % 3]) for i in range(80) if i % 5]
+    texts = spark.createDataFrame([(i, f'{{"label": "L{i}", "explanation": "e", "confidence": 0.9}}') for i in range(0, 80, 2)], "id int, generated_text string")
+    kinds = {"asked": (logs, "id int, us bigint, log string"), "outcomes": (outcomes, "id int, us bigint, route string, status int")}
+    tables, streams = {}, {}
+    for name, (rows, schema) in kinds.items():
+        tables[name] = spark.createDataFrame(rows, schema)
+        closing = [(-len(name), 9_000_000_000_000_000, *[None] * (len(rows[0]) - 2))]
+        for i, part in enumerate([rows[20:50], rows[:20], rows[50:], closing]):
+            spark.createDataFrame(part, schema).coalesce(1).write.json(f"{tmp_path}/{name}/{i}")
+        files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/{name}/*")
+        streams[name] = files.withColumn("at", F.timestamp_micros("us")).drop("us")
+    answers = routed_triage(streams["asked"], streams["outcomes"], "1 HOUR", "10 SECONDS", texts)
+    answers.writeStream.format("parquet").option("path", f"{tmp_path}/out").option(
+        "checkpointLocation", f"{tmp_path}/state"
+    ).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(answers.schema).parquet(f"{tmp_path}/out").collect()
+    want = OT.triage(tables["asked"], tables["outcomes"], texts).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got) == 80
+    # what the join keeps are verdicts
+    assert "log" not in " ".join(l for l in answers._jdf.queryExecution().analyzed().toString().splitlines() if l.strip(" :+-").startswith("Join"))

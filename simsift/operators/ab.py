@@ -1,17 +1,33 @@
 """A/B time statistics on exact order statistics that scale with the data.
 
-An exact rank is found in two aggregations: an approximate quantile gives a
-narrow bracket around the rank (its error bound is part of Spark's contract),
-then only values inside the bracket are counted one by one; everything below
-it is one number. No group is ever sorted or held as a whole.
+A rank is found by narrowing a range of values: each round counts the values of the range in at
+most 1,024 sections, an aggregation that combines map-side, and goes on with the section that holds the rank. Doubles are compared
+as whole numbers in the same order, so a round settles ten of at most 64 bits, whatever the distribution, and a
+range ends early where its section holds one value. No group is ever sorted or held as a whole.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 10_000
+from ..session import stored
+
+_BITS = 10
+_MAGNITUDE = 2**63 - 1
+
+
+def _as_order(x: Column) -> Column:
+    """Whole number whose order is that of the doubles (-0.0 as 0.0, NaN last)."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), x + F.lit(0.0)).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(_MAGNITUDE)).otherwise(bits)
+
+
+def _as_double(order: Column) -> Column:
+    bits = F.when(order < 0, order.bitwiseXOR(_MAGNITUDE)).otherwise(order)
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
 
 
 def _rank_index(name: str, n: Column) -> Column:
@@ -25,64 +41,57 @@ def _rank_index(name: str, n: Column) -> Column:
     return F.least(last, near)
 
 
-_RANKS = {"mid_low": 0.5, "mid_high": 0.5, "p95": 0.95}
+_RANKS = ("mid_low", "mid_high", "p95")
 
 
-def order_statistics(
-    values: DataFrame, by: list[str], value: str = "x", few_groups: bool = False,
-    accuracy: int = ACCURACY,
-) -> DataFrame:
-    """(by..., n, median, p95) per group, exact.
+def _narrowed(values: DataFrame, wanted: DataFrame, by: list[str], few_groups: bool) -> DataFrame:
+    """wanted (by, rank, n, at, low, high, below) with each range cut to the section that holds its rank."""
+    renamed = wanted.select(*[F.col(c).alias(f"_{c}") for c in wanted.columns])
+    same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    near = same & F.col("_x").between(F.col("_low"), F.col("_high"))
+    inside = values.join(F.broadcast(renamed) if few_groups else renamed, near).drop(*by)
+    # the ten highest bits in which the range's ends differ
+    shift = F.greatest(F.lit(0), F.length(F.bin(F.col("_low").bitwiseXOR(F.col("_high")))) - _BITS)
+    section = F.expr("shiftright(_x, _shift)") - F.expr("shiftright(_low, _shift)")
+    counted = inside.withColumn("_shift", shift).groupBy(*renamed.columns, section.alias("_section")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most")
+    )
+    upto = Window.partitionBy(*[f"_{c}" for c in (*by, "rank")]).orderBy("_section")  # at most 1,024 rows
+    reached = counted.withColumn("_cum", F.col("_below") + F.sum("_c").over(upto)).filter("_cum > _at")
+    first = reached.groupBy(*renamed.columns).agg(
+        F.min_by(F.struct("_least", "_most", (F.col("_cum") - F.col("_c")).alias("_before")), "_section").alias("_to")
+    )
+    kept = [F.col(f"_{c}").alias(c) for c in (*by, "rank", "n", "at")]
+    return first.select(
+        *kept, F.col("_to._least").alias("low"), F.col("_to._most").alias("high"), F.col("_to._before").alias("below")
+    )
+
+
+def order_statistics(values: DataFrame, by: list[str], value: str = "x", few_groups: bool = False) -> DataFrame:
+    """(by..., n, median, p95) per group, exact; null values do not count, a null key is a group of its own.
 
     ``few_groups`` says that the number of groups is a known small constant,
-    so the bracket table may be broadcast; otherwise Spark decides by size.
+    so the table of ranges may be broadcast; otherwise Spark decides by size.
     """
-    values = values.select(*by, F.col(value).cast("double").alias("_x")).filter("_x IS NOT NULL")
-    margin = 2.0 / accuracy
-    brackets = values.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_x").alias("_min"), F.max("_x").alias("_max"),
-        *[
-            F.percentile_approx("_x", [p - margin, min(1.0, p + margin)], accuracy).alias(f"_q{int(p * 100)}")
-            for p in (0.5, 0.95)
-        ],
+    keys = by or ["_all"]
+    if not by:
+        values = values.withColumn("_all", F.lit(0))
+    number = F.col(value).cast("double")
+    values = stored(values.filter(number.isNotNull()).select(*keys, _as_order(number).alias("_x")), "values")
+    spans = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("low"), F.max("_x").alias("high"))
+    ranks = [F.struct(F.lit(r).alias("rank"), _rank_index(r, F.col("n")).alias("at")) for r in _RANKS]
+    wanted = stored(
+        spans.select(*keys, F.inline(F.array(*ranks)), "n", "low", "high", F.lit(0).cast("bigint").alias("below"))
+        .select(*keys, "rank", "n", "at", "low", "high", "below"), "ranges",
     )
-    n, small = F.col("n"), F.col("n") <= accuracy
-
-    def bracket(name: str, p: float) -> Column:
-        q = F.col(f"_q{int(p * 100)}")
-        return F.struct(
-            F.lit(name).alias("rank"),
-            _rank_index(name, n).alias("at"),
-            F.when(small, F.col("_min")).otherwise(q[0]).alias("low"),
-            F.when(small, F.col("_max")).otherwise(q[1]).alias("high"),
+    while not (still := wanted.filter("low < high")).isEmpty():
+        wanted = stored(
+            wanted.filter("low = high").unionByName(_narrowed(values, still, keys, few_groups)), "ranges"
         )
-
-    wanted = brackets.select(
-        *by, "n", F.inline(F.array(*[bracket(name, p) for name, p in _RANKS.items()]))
-    )
-    small_side = F.broadcast(wanted) if few_groups else wanted
-    inside = values.join(small_side, by).filter(F.col("_x") <= F.col("high"))
-    counted = inside.groupBy(
-        *by, "rank", "n", "at", F.when(F.col("_x") >= F.col("low"), F.col("_x")).alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*by, "rank").orderBy(F.col("_v").asc_nulls_first())
-    reached = counted.withColumn("_cum", F.sum("_c").over(upto)).filter(F.col("_cum") > F.col("at"))
-    found = reached.groupBy(*by, "rank", "n").agg(
-        F.min_by("_v", "_cum").alias("_v")
-    )
-    # a rank below the bracket has a null value, one above it no row at all: both are errors, not nulls
-    missed = F.raise_error(F.lit("rank outside its bracket")).cast("double")
-    exact = F.when(F.col("_v").isNull(), missed).otherwise(F.col("_v"))
-    keys = [*by, "rank"]
-    hit = found.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(keys)], "_v")
-    same = F.lit(True)
-    for i, c in enumerate(keys):
-        same = same & F.col(c).eqNullSafe(F.col(f"_f{i}"))
-    found = wanted.select(*keys, "n").join(hit, same, "left")
-    pick = lambda r: F.max(F.when(F.col("rank") == r, exact))
-    return found.groupBy(*by, "n").agg(
-        ((pick("mid_low") + pick("mid_high")) / F.lit(2.0)).alias("median"), pick("p95").alias("p95")
-    )
+    found = wanted.groupBy(*keys, "n").agg(*[F.max(F.when(F.col("rank") == r, F.col("low"))).alias(r) for r in _RANKS])
+    value = {r: _as_double(F.col(r)) for r in _RANKS}
+    median = (value["mid_low"] + value["mid_high"]) / F.lit(2.0)
+    return found.select(*by, "n", median.alias("median"), value["p95"].alias("p95"))
 
 
 def _arms(samples: DataFrame, by: list[str]) -> DataFrame:

@@ -48,17 +48,40 @@ def test_three_samples(spark):
     assert AB.ab_report(zero).first()["time_reduction_p50"] == 0.0
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_order_statistics_equal_sorting(spark, accuracy):
-    rng = random.Random(accuracy)
-    groups = defaultdict(list)
-    for name, n in (("one", 1), ("two", 2), ("mid", 23), ("hot", 4000), ("ties", 900)):
-        groups[name] = [float(rng.randint(0, 3)) if name == "ties" else rng.uniform(-5, 5) for _ in range(n)]
-    rows = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double").repartition(6)
-    got = {r["g"]: r for r in AB.order_statistics(rows, ["g"], accuracy=accuracy).collect()}
+def test_order_statistics_equal_sorting(spark):
+    rng = random.Random(20)
+    wide = [s * 10.0 ** rng.randint(-320, 308) for s in (-1, 1) for _ in range(300)]
+    groups = {
+        "one": [3.5], "two": [1.0, 2.0], "mid": [rng.uniform(-5, 5) for _ in range(23)],
+        "hot": [rng.uniform(-5, 5) for _ in range(4000)], "ties": [float(rng.randint(0, 3)) for _ in range(900)],
+        "wide": [*wide, 0.0, -0.0, float("inf"), float("-inf")], "close": [1.0 + k * 2.0**-52 for k in range(500)],
+        None: [7.0, 8.0, 9.0], "equal": [2.5] * 3000,
+    }
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("two", None)] * 5
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "g string, x double").repartition(6)
+    got = {r["g"]: r for r in AB.order_statistics(df, ["g"]).collect()}
+    assert got.keys() == groups.keys()
     for name, xs in groups.items():
         at = min(len(xs) - 1, int(round(0.95 * (len(xs) - 1))))
         assert (got[name]["n"], got[name]["median"], got[name]["p95"]) == (len(xs), median(xs), sorted(xs)[at])
+    whole = sorted(x for _, x in rows if x is not None)
+    assert tuple(AB.order_statistics(df, []).first())[1] == median(whole)
+    assert AB.order_statistics(df.limit(0), ["g"]).count() == 0
+
+
+def test_rounds_of_narrowing_are_bounded(spark, monkeypatch):
+    """Seven rounds settle 64 bits; a round's window sees sections, not values."""
+    rounds = []
+    narrowed = AB._narrowed
+    monkeypatch.setattr(AB, "_narrowed", lambda *a: rounds.append(1) or narrowed(*a))
+    values = [s * 2.0**e * (1 + k / 7) for s in (-1, 1) for e in range(-1000, 1000, 50) for k in range(7)]
+    df = spark.createDataFrame([("g", x) for x in values], "g string, x double")
+    AB.order_statistics(df, ["g"]).collect()
+    assert 1 <= len(rounds) <= 7
+    rounds.clear()
+    few = spark.range(20_000).selectExpr("'g' AS g", "double(id % 50) AS x")  # 50 values
+    assert tuple(AB.order_statistics(few, ["g"]).first()) == ("g", 20_000, 24.5, 47.0)
+    assert len(rounds) <= 2
 
 
 def test_dashboard(spark):

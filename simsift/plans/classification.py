@@ -13,6 +13,7 @@ from ..functions import triage as TR
 from ..functions.classify import classify_log, with_verdict
 from ..functions.draws import fill, with_draws
 from ..functions.logparser import with_parsed_label
+from ..functions.sqlfunction import create_classifier
 from ..functions.textforms import fixed, percent
 from ..operators import triage as OT
 from ..operators.pairs import training_pairs
@@ -282,7 +283,13 @@ def full_triage(spark, sf):
 @query("cls5_rules_only_triage", "CLS-5 UDF-2", f"""WITH {S._SIM}, {S.verdicts('sim')}
 SELECT id, v_label AS label, v_text AS explanation, v_conf AS confidence FROM cls""")
 def rules_only_triage(spark, sf):
-    D.sim_logs(spark, sf).withColumn("verdict", classify_log(F.col("log"))).createOrReplaceTempView("classified_logs")
-    return spark.sql(
-        "SELECT id, verdict.label, verdict.explanation, verdict.confidence FROM classified_logs"
-    )
+    rows = D.sim_logs(spark, sf).select("id", classify_log(F.col("log")).alias("verdict"))
+    return spark.sql("SELECT id, verdict.label, verdict.explanation, verdict.confidence FROM {rows}", rows=rows)
+
+
+@query("udf2_sql_function", "UDF-2", f"""WITH u AS (SELECT doc_id AS id, text AS log FROM documents), {S.verdicts('u')}
+SELECT id AS doc_id, v_label AS label, v_text AS explanation, v_conf AS confidence FROM cls""")
+def sql_function(spark, sf):
+    create_classifier(spark)
+    judged = spark.sql("SELECT doc_id, classify_log(text) AS verdict FROM {docs}", docs=D.table(spark, sf, "documents"))
+    return _verdict_columns(judged, "doc_id")

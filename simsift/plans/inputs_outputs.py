@@ -63,25 +63,19 @@ def optional_report(spark, sf):
     return rows
 
 
-@query("src5_source_files", "SRC-5", """SELECT 'p' || page_id::VARCHAR AS module, length(html) + 1 AS n_chars, true AS found FROM pages
-UNION ALL SELECT 'b' || item_id::VARCHAR, 0, false FROM benchmark""")
+@query("src5_source_files", "SRC-5", """SELECT 'p' || page_id::VARCHAR AS module, md5(html || chr(10)) AS text_md5, true AS found FROM pages
+UNION ALL SELECT 'b' || item_id::VARCHAR, NULL, false FROM benchmark""")
 def source_files(spark, sf):
     path = scratch_path(spark, "sources")
-    name = F.concat(F.lit("p"), F.col("page_id").cast("string"))
-    D.table(spark, sf, "pages").select(name.alias("module"), F.col("html").alias("value")).write.partitionBy(
-        "module"
-    ).text(path)
-    found = R.read_log_files(spark, f"{path}/*").select(
-        F.regexp_extract("file", r"module=(\w+)", 1).alias("module"), F.col("log").alias("text")
-    )
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("module")
+    W.write_text_per_row(D.table(spark, sf, "pages").select(name, "html"), "html", path, ("module",))
+    found = R.read_sources(spark, f"{path}/*")
     other = F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("module")
-    configured = D.table(spark, sf, "pages").select(name.alias("module")).unionByName(
-        D.table(spark, sf, "benchmark").select(other)
-    )
+    configured = D.table(spark, sf, "pages").select(name).unionByName(D.table(spark, sf, "benchmark").select(other))
     skipped = R.missing_modules(configured, found)
-    return found.select("module", F.length("text").alias("n_chars"), F.lit(True).alias("found")).unionByName(
-        skipped.select("module", F.lit(0).alias("n_chars"), F.lit(False).alias("found"))
-    )
+    return found.select(
+        "module", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.lit(True).alias("found")
+    ).unionByName(skipped.select("module", F.lit(None).cast("string").alias("text_md5"), F.lit(False).alias("found")))
 
 
 @query("snk1_jsonl_text", "SNK-1", """SELECT doc_id, lang = 'en' AS has_lang, position('\\u' IN '') > 0 AS escaped,
@@ -128,10 +122,10 @@ def text_per_row(spark, sf):
     path = scratch_path(spark, "mutants")
     rows = MU.mutate(D.sources(spark, sf), ids=_TWO)
     W.write_text_per_row(rows.withColumn("module", F.col("source_id")), "mutated_source", path)
-    files = R.read_log_files(spark, f"{path}/*/*")
+    files = R.read_log_files(spark, f"{path}/*")
     return files.select(
-        F.regexp_extract("file", r"module=(\d+)", 1).cast("bigint").alias("source_id"),
-        F.regexp_extract("file", r"mutation_id=(\w+)", 1).alias("mutation_id"),
+        F.regexp_extract("file", r"/(\d+)_\w+\.log$", 1).cast("bigint").alias("source_id"),
+        F.regexp_extract("file", r"/\d+_(\w+)\.log$", 1).alias("mutation_id"),
         F.md5(F.col("log").cast("binary")).alias("file_md5"),
     )
 

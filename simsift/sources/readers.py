@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # --- fixed values: field names and types of the row formats -----------------
 LABELLED_ROW = (
@@ -32,9 +33,17 @@ def read_log_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str = AB_SAMPLE) -> DataFrame:
-    """Rows of JSON-array documents (one small document per file)."""
-    return (
-        spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """Rows of JSON documents, each an array of objects or one object; many documents per task.
+
+    Documents are taken apart as variants. A broken document or a value that is not of its
+    column's type fails the query; a missing member is null.
+    """
+    document = F.parse_json(F.col("value"))
+    members = F.coalesce(F.try_variant_get(document, "$", "array<variant>"), F.array(document))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(members).alias("row"))
+    fields = StructType.fromDDL(schema).fields
+    return rows.select(
+        *[F.variant_get("row", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in fields]
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .logfiles import LogFiles
+
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     """JSON lines; null fields are left out, non-ASCII text stays as it is."""
@@ -26,14 +27,17 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(report_document(report)).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_text_per_row(rows: DataFrame, text: str, path: str) -> None:
-    """Texts below ``module=.../mutation_id=...`` folders, so that no name clashes.
+def write_text_per_row(rows: DataFrame, text: str, path: str, names: tuple[str, ...] = ("module", "mutation_id")) -> None:
+    """One file per row, by default named ``{module}_{mutation_id}.log``, many per task, in one folder per task.
 
-    The text writer ends every text with one line break.
+    Each text ends with one line break. A null text is an empty one, a null name an empty part of
+    the file's. Two rows of one name in a task, or a name that holds a slash, are errors.
     """
-    rows.select("module", "mutation_id", F.col(text).alias("value")).write.mode(
+    rows.sparkSession.dataSource.register(LogFiles)
+    name = F.concat_ws("_", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    rows.select(name.alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text")).write.format(LogFiles.name()).mode(
         "overwrite"
-    ).partitionBy("module", "mutation_id").text(path)
+    ).save(path)
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
@@ -41,19 +45,8 @@ def write_lines(lines: DataFrame, path: str) -> None:
     lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
 
 
-def write_json_arrays(rows: DataFrame, path: str) -> None:
-    """One JSON-array document per partition, written as a stream of rows."""
-
-    def documents(batches):
-        mark = "["
-        for pdf in batches:
-            texts = []
-            for text in pdf["value"]:
-                texts.append(mark + text)
-                mark = ","
-            yield pdf.assign(value=texts)
-        yield pd.DataFrame({"value": ["[]" if mark == "[" else "]"]})
-
-    rows.select(report_document(rows)).mapInPandas(documents, "value string").write.mode(
-        "overwrite"
-    ).text(path)
+def write_json_arrays(rows: DataFrame, path: str, per_document: int = 10_000) -> None:
+    """JSON-array documents of at most ``per_document`` rows, one per file."""
+    numbered = rows.select(F.struct(*rows.columns).alias("row"), F.monotonically_increasing_id().alias("n"))
+    parts = numbered.groupBy(F.floor(F.col("n") / per_document).alias("document")).agg(F.collect_list("row").alias("rows"))
+    parts.select(F.to_json("rows").alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)

@@ -8,6 +8,7 @@ from pyspark.ml.feature import IDF, HashingTF, IndexToString, RegexTokenizer, St
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .split import stratified_split
 
 
@@ -30,8 +31,11 @@ def fit_classifier(train: DataFrame, features: int = 1 << 12, iterations: int =
 
 
 def fit_and_score(rows: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
-    """(split, total, correct, accuracy): trained on train, scored on all splits."""
-    parts = stratified_split(rows, key, seed=seed)
+    """(split, total, correct, accuracy): trained on train, scored on all splits.
+
+    The split is stored first: the passes of the fit and the scoring read its few columns and not the input again.
+    """
+    parts = stored(stratified_split(rows.select(*key, "log", "label"), key, seed=seed), "parts")
     model = fit_classifier(parts.filter("split = 'train'"))
     hit = F.col("predicted") == F.col("label")
     return model.transform(parts).groupBy("split").agg(

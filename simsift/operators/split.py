@@ -6,6 +6,10 @@ third of all rows, so no task ever sorts a whole label: rows are counted per
 counts, and only the narrow keys of those prefixes are ranked. The result is
 one small row of cut keys per label; the wide rows then just compare their own
 key with it.
+
+Prefixes are as long as a label's count asks for, so that a range has at most about a quarter of ``limit``
+rows on average and, as md5 spreads evenly, hardly ever more than ``limit``. The rows before a
+range are summed up in a tree of three digits a level: no window sees more than 4,096 ranges.
 """
 
 from __future__ import annotations
@@ -15,8 +19,11 @@ from pyspark.sql import functions as F
 
 from ..catalog.labels import UNKNOWN
 from ..session import stored
+from .positions import with_position
 
-PREFIX_DIGITS = 3  # 4096 hash ranges per label
+#: Rows a window may hold, but for rows that share one key.
+LIMIT = 1 << 16
+_STEP = 3  # digits of a level: 4,096 ranges below each
 
 
 def shuffle_key(key: list[str], seed: int) -> Column:
@@ -37,35 +44,41 @@ def split_sizes(n: Column, train_ratio: float, val_ratio: float) -> dict[str, Co
     }
 
 
-def _keys(rows: DataFrame, key: list[str], label: str, seed: int, digits: int) -> DataFrame:
-    order = shuffle_key(key, seed)
-    return rows.select(
-        F.coalesce(F.col(label), F.lit(UNKNOWN)).alias("_label"), order.alias("_order")
-    ).withColumn("_range", F.substring("_order", 1, digits))
-
-
-def _range_offsets(keys: DataFrame) -> DataFrame:
-    """Rows before each (label, range), and rows per label. At most 16^digits rows per label."""
-    counts = keys.groupBy("_label", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("_label").orderBy("_range")
-    return counts.withColumns(
-        {
-            "_before": F.sum("_n").over(upto) - F.col("_n"),
-            "_total": F.sum("_n").over(Window.partitionBy("_label")),
-        }
+def _keyed(rows: DataFrame, key: list[str], label: str, seed: int, limit: int, *keep: str) -> tuple[DataFrame, int]:
+    """(_label, _order, _range, _total, keep...) of each row, and the digits of the longest range."""
+    keys = rows.select(F.coalesce(F.col(label), F.lit(UNKNOWN)).alias("_label"), shuffle_key(key, seed).alias("_order"), *keep)
+    fold = F.log(16.0, F.col("_total") / F.lit(limit / 4))
+    totals = stored(
+        keys.groupBy("_label").agg(F.count(F.lit(1)).alias("_total"))
+        .withColumn("_digits", F.greatest(F.lit(0), F.ceil(fold)).cast("int")), "totals",
     )
+    digits = totals.agg(F.max("_digits")).first()[0] or 0
+    ranged = keys.join(totals, "_label").withColumn("_range", F.expr("substring(_order, 1, _digits)"))
+    return ranged.drop("_digits"), digits
+
+
+def _range_offsets(counts: DataFrame, digits: int) -> DataFrame:
+    """counts (_label, _range, _n) with ``_before``, the rows of the label in lower ranges."""
+    if digits == 0:
+        return counts.withColumn("_before", F.lit(0).cast("bigint"))
+    upper = F.expr(f"substring(_range, 1, greatest(0, length(_range) - {_STEP}))").alias("_upper")
+    levelled = counts.withColumn("_upper", upper)
+    above = _range_offsets(
+        levelled.groupBy("_label", F.col("_upper").alias("_range")).agg(F.sum("_n").alias("_n")), max(0, digits - _STEP)
+    ).select("_label", F.col("_range").alias("_upper"), F.col("_before").alias("_above"))
+    upto = Window.partitionBy("_label", "_upper").orderBy("_range")
+    inside = levelled.withColumn("_inside", F.sum("_n").over(upto) - F.col("_n"))
+    before = F.col("_above") + F.col("_inside")
+    return inside.join(above, ["_label", "_upper"]).withColumn("_before", before).drop("_upper", "_above", "_inside")
 
 
 def label_ranks(
-    rows: DataFrame, key: list[str], label: str = "label", seed: int = 42,
-    digits: int = PREFIX_DIGITS,
+    rows: DataFrame, key: list[str], label: str = "label", seed: int = 42, limit: int = LIMIT,
 ) -> DataFrame:
     """Seeded shuffle inside each label: (label, key..., rank from 1), narrow columns only."""
-    order = shuffle_key(key, seed)
-    keyed = rows.select(
-        F.coalesce(F.col(label), F.lit(UNKNOWN)).alias("_label"), order.alias("_order"), *key
-    ).withColumn("_range", F.substring("_order", 1, digits))
-    offsets = _range_offsets(keyed).select("_label", "_range", "_before")
+    keyed, digits = _keyed(rows, key, label, seed, limit, *key)
+    counts = keyed.groupBy("_label", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _range_offsets(counts, digits).select("_label", "_range", "_before")
     local = F.row_number().over(Window.partitionBy("_label", "_range").orderBy("_order"))
     ranked = keyed.withColumn("_local", local).join(offsets, ["_label", "_range"])
     return ranked.select(
@@ -73,9 +86,10 @@ def label_ranks(
     )
 
 
-def _cut_keys(keys: DataFrame, train_ratio: float, val_ratio: float) -> DataFrame:
+def _cut_keys(keys: DataFrame, digits: int, train_ratio: float, val_ratio: float) -> DataFrame:
     """Per label the order keys of the last train row and of the last val row."""
-    offsets = _range_offsets(keys)
+    counts = keys.groupBy("_label", "_range").agg(F.count(F.lit(1)).alias("_n"), F.max("_total").alias("_total"))
+    offsets = _range_offsets(counts, digits)
     sizes = split_sizes(F.col("_total"), train_ratio, val_ratio)
     cuts = offsets.withColumns(sizes).select(
         "_label", "_range", "_before", "_n",
@@ -120,7 +134,7 @@ def stratified_split(
     train_ratio: float = 0.70,
     val_ratio: float = 0.15,
     seed: int = 42,
-    digits: int = PREFIX_DIGITS,
+    limit: int = LIMIT,
 ) -> DataFrame:
     """Add ``split`` (train/val/test): an exact partition of the rows per label.
 
@@ -128,7 +142,7 @@ def stratified_split(
     label, whose file size Spark knows when it plans. So it broadcasts them and the wide rows
     stay where they are; only with very many labels it shuffles, and splits a hot one (AQE).
     """
-    cuts = stored(_cut_keys(_keys(rows, key, label, seed, digits), train_ratio, val_ratio), "cuts")
+    cuts = stored(_cut_keys(*_keyed(rows, key, label, seed, limit), train_ratio, val_ratio), "cuts")
     out = rows.withColumn("_order", shuffle_key(key, seed)).withColumn(
         "_label", F.coalesce(F.col(label), F.lit(UNKNOWN))
     )
@@ -139,5 +153,6 @@ def stratified_split(
 
 
 def shuffled(rows: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
-    """Final order of each split: global sort on (split, seeded key), for sinks only."""
-    return rows.orderBy("split", shuffle_key(key, seed))
+    """Final order of each split: rows sorted by (split, seeded key), with their ``position`` from 1 in the whole table."""
+    ordered = with_position(rows.withColumn("_order", shuffle_key(key, seed)), ["split", "_order"])
+    return ordered.drop("_order")

@@ -285,9 +285,10 @@ def small_groups(spark, sf):
 
 
 @query("srt1_split_order", "SRT-1", _KEYED + """
-SELECT split, id, md5(concat_ws(':', '42', id::VARCHAR)) AS sort_key FROM spl""")
+SELECT split, id, md5(concat_ws(':', '42', id::VARCHAR)) AS sort_key,
+  row_number() OVER (ORDER BY split, md5(concat_ws(':', '42', id::VARCHAR))) AS position FROM spl""")
 def split_order(spark, sf):
     rows = SP.stratified_split(D.sim_logs(spark, sf), ["id"], seed=SEED)
     return SP.shuffled(rows, ["id"], SEED).select(
-        "split", "id", F.substring(SP.shuffle_key(["id"], SEED), 1, 32).alias("sort_key")
+        "split", "id", F.substring(SP.shuffle_key(["id"], SEED), 1, 32).alias("sort_key"), "position"
     )

@@ -78,8 +78,8 @@ def source_files(spark, sf):
     ).unionByName(skipped.select("module", F.lit(None).cast("string").alias("text_md5"), F.lit(False).alias("found")))
 
 
-@query("snk1_jsonl_text", "SNK-1", """SELECT doc_id, lang = 'en' AS has_lang, position('\\u' IN '') > 0 AS escaped,
-  length(text) AS n_chars FROM documents""")
+@query("snk1_jsonl_text", "SNK-1", """SELECT doc_id, lang = 'en' AS has_lang,
+  length(regexp_replace(text, '[\x00-\x7f]', '', 'g')) AS n_beyond_ascii, md5(text) AS text_md5 FROM documents""")
 def jsonl_text(spark, sf):
     path = scratch_path(spark, "documents")
     rows = D.table(spark, sf, "documents").select(
@@ -90,9 +90,9 @@ def jsonl_text(spark, sf):
     body = F.from_json("value", "doc_id bigint, text string")
     return back.select(
         body["doc_id"].alias("doc_id"), F.contains("value", F.lit('"lang":')).alias("has_lang"),
-        # A letter beyond ASCII must be there as itself, not as an escape.
-        F.col("value").rlike(r"(?<!\\)\\u00[c-f][0-9a-f]").alias("escaped"),
-        F.length(body["text"]).alias("n_chars"),
+        # counted in the line itself: a character written as an escape would be missing
+        F.length(F.regexp_replace("value", r"[\x00-\x7f]", "")).alias("n_beyond_ascii"),
+        F.md5(body["text"].cast("binary")).alias("text_md5"),
     )
 
 

@@ -38,11 +38,11 @@ def continuous_triage(spark, sf):
     return spark.read.parquet(out)
 
 
-@query("src6_request_feed", "SRC-6", f"WITH {S._SIM} SELECT id::VARCHAR AS id, length(log) AS n_chars FROM sim")
+@query("src6_request_feed", "SRC-6", f"WITH {S._SIM} SELECT id::VARCHAR AS id, md5(log) AS log_md5 FROM sim")
 def request_feed(spark, sf):
     feed, out, state = (scratch_path(spark, n) for n in ("feed", "read", "state"))
     W.write_jsonl(D.sim_logs(spark, sf).select(F.col("id").cast("string").alias("id"), "log"), feed)
-    rows = request_stream(spark, feed).select("id", F.length("log").alias("n_chars"))
+    rows = request_stream(spark, feed).select("id", F.md5(F.col("log").cast("binary")).alias("log_md5"))
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(
         availableNow=True
     ).start().awaitTermination()

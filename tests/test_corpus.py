@@ -11,6 +11,8 @@ from simsift.catalog.mutations import SPECS
 from simsift.catalog.templates import log_templates
 from simsift.operators import generate as GN
 from simsift.operators.augment import augment
+from simsift.operators import split as split_module
+from simsift.operators.positions import with_position
 from simsift.operators.split import label_ranks, shuffled, split_sizes, stratified_split
 
 BASE = [
@@ -105,18 +107,18 @@ def test_split_sizes(spark):
     assert {r["n"]: (r["n_train"], r["n_val"]) for r in rows.collect()} == {n: s[:2] for n, s in SIZES.items()}
 
 
-@pytest.mark.parametrize("digits", [1, 3])
-def test_split_is_an_exact_partition(spark, digits):
+@pytest.mark.parametrize("limit", [1, 16, 1 << 16])
+def test_split_is_an_exact_partition(spark, limit):
     data = [(f"{n}-{i}", f"L{n}" if n != 6 else None) for n in SIZES for i in range(n)]
     rows = spark.createDataFrame(data, "id string, label string").repartition(5)
-    out = stratified_split(rows, ["id"], digits=digits).collect()
+    out = stratified_split(rows, ["id"], limit=limit).collect()
     assert sorted(r["id"] for r in out) == sorted(d[0] for d in data)
     counts = Counter((r["label"], r["split"]) for r in out)
     for n, sizes in SIZES.items():
         label = f"L{n}" if n != 6 else None
         assert tuple(counts[(label, s)] for s in ("train", "val", "test")) == sizes
     # The split follows the seeded ranks.
-    ranks = {r["id"]: r["rank"] for r in label_ranks(rows, ["id"], digits=digits).collect()}
+    ranks = {r["id"]: r["rank"] for r in label_ranks(rows, ["id"], limit=limit).collect()}
     for r in out:
         n = int(r["id"].split("-")[0])
         train, val, _ = SIZES[n]
@@ -133,6 +135,29 @@ def test_split_with_one_hot_label(spark):
     assert hot["train"] == round(n * 0.7) and hot["val"] == round(n * 0.15)
 
 
+def test_windows_stay_small_with_one_label(spark):
+    rows, limit = spark.range(30_000).select("id", F.lit("L").alias("label")), 64
+    keyed, digits = split_module._keyed(rows, ["id"], "label", 42, limit)
+    counts = [r["count"] for r in keyed.groupBy("_label", "_range").count().collect()]
+    assert digits > 2 and max(counts) <= limit  # rows of a ranking window
+    siblings = keyed.select("_range").distinct().groupBy(F.substring("_range", 1, max(0, digits - 3)).alias("p")).count()
+    assert siblings.agg(F.max("count")).first()[0] <= 4096  # ranges of a summing window
+    ranks = {r["id"]: r["rank"] for r in label_ranks(rows, ["id"], limit=limit).collect()}
+    keys = {r["id"]: r["k"] for r in rows.select("id", split_module.shuffle_key(["id"], 42).alias("k")).collect()}
+    assert [ranks[i] for i in sorted(keys, key=keys.get)] == list(range(1, 30_001))
+    sizes = {r["split"]: r["count"] for r in stratified_split(rows, ["id"], limit=limit).groupBy("split").count().collect()}
+    assert sizes == {"train": 21_000, "val": 4_500, "test": 4_500}
+
+
+def test_positions_of_ties_and_nulls(spark):
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 7, IF(id % 5 = 0, NULL, id)) AS k", "id")
+    got = with_position(rows, ["k"]).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(1, 3001))
+    keys = [(r["k"] is not None, r["k"] or 0) for r in got]
+    assert keys == sorted(keys)
+    assert with_position(rows.limit(0), ["k"]).count() == 0
+
+
 def test_ambiguous_key_is_refused(spark):
     rows = spark.createDataFrame([("same", "L")] * 10, "id string, label string")
     with pytest.raises(Exception, match="not unique"):
@@ -147,5 +172,5 @@ def test_ratios_above_one(spark):
 
 def test_final_order_is_seeded(spark):
     rows = stratified_split(spark.range(50).select("id", F.lit("L").alias("label")), ["id"])
-    order = lambda s: [r["id"] for r in shuffled(rows, ["id"], s).collect()]
+    order = lambda s: [r["id"] for r in shuffled(rows, ["id"], s).orderBy("position").collect()]
     assert order(1) == order(1) != order(2)

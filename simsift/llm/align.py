@@ -19,6 +19,7 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -30,12 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .tables import small_batches
 from .vocabulary import blocks, encoder
 
 ALIGNED = (
     "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
     "a array<int>, b array<int>"
 )
+#: Links a task looks up at once, but for a longer document.
+AT_ONCE = 1 << 20
 OVERLAPS = (
     "doc_id bigint, a_index bigint, b_index bigint, a_id int, b_id int, a_start bigint, a_end bigint, b_start bigint, "
     "b_end bigint"
@@ -62,17 +66,19 @@ class _Sides:
         self.a = encoder(pairing.a, plain_marks=True)
         vocabulary = self.a.library.get_vocab()
         names = {i: name for name, i in vocabulary.items()}
-        self.a_bytes = [_byte_level(names.get(i, "")) for i in range(max(names) + 1)]
+        self.a_bytes = pa.array([_byte_level(names.get(i, "")) for i in range(max(names) + 1)], pa.large_binary())
         self.b = sentencepiece.SentencePieceProcessor(model_file=pairing.b)
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.b_bytes = pa.array([self._piece(i) for i in range(self.b.get_piece_size())], pa.large_binary())
         # what a token adds to the text of the groups: within its group, and as the last of its side there
-        self.said = [
-            form % i
-            for n, forms in ((len(self.a_bytes), (b"%d,", b"%d|")), (len(self.b_bytes), (b"%d,", b"%d;")))
-            for i in range(n)
-            for form in forms
-        ]
+        self.said = pa.array(
+            [
+                form % i
+                for n, forms in ((len(self.a_bytes), (b"%d,", b"%d|")), (len(self.b_bytes), (b"%d,", b"%d;")))
+                for i in range(n)
+                for form in forms
+            ],
+            pa.large_binary(),
+        )
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -83,16 +89,28 @@ class _Sides:
     def tokens(self, texts: list[bytes]) -> tuple[pd.DataFrame, pd.DataFrame]:
         """Tokens of the texts that both sides spell: doc, id, start, end; places count over all of them."""
         spaced = [b" " + t for t in texts]
-        flat, bounds = self.a.ids(spaced)
-        a_ids = [flat[x:y].tolist() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        b_ids = self.b.encode([t.decode() for t in texts], num_threads=1) if texts else []
-        spelt = [
-            len(t) > 1
-            and b"".join(map(self.a_bytes.__getitem__, a)) == t
-            and b"".join(map(self.b_bytes.__getitem__, b)) == t
-            for t, a, b in zip(spaced, a_ids, b_ids, strict=True)
-        ]
-        return _frame(a_ids, spelt, self.a_sizes), _frame(b_ids, spelt, self.b_sizes)
+        a_ids, a_bounds = self.a.ids(spaced)
+        lists = self.b.encode([t.decode() for t in texts], num_threads=1) if texts else []
+        b_bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        b_ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, b_bounds[-1])
+        spelt = np.array([len(t) > 1 for t in spaced])
+        ends = []
+        for table, ids, bounds in ((self.a_bytes, a_ids, a_bounds), (self.b_bytes, b_ids, b_bounds)):
+            at, data = _concatenated(table, ids)
+            ends.append(at[1:])
+            doc_at = at[bounds].tolist()
+            spelt &= [data[x:y] == t for x, y, t in zip(doc_at[:-1], doc_at[1:], spaced, strict=True)]
+        return tuple(
+            _frame(ids, bounds, end, spelt)
+            for ids, bounds, end in ((a_ids.astype(np.int64), a_bounds, ends[0]), (b_ids, b_bounds, ends[1]))
+        )
+
+
+def _concatenated(table: pa.Array, index: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """(where each entry begins and the last ends, the table's entries at ``index`` one after the other)."""
+    taken = table.take(pa.array(index))
+    at = np.frombuffer(taken.buffers()[1], dtype=np.int64)[: len(index) + 1] if len(index) else np.zeros(1, dtype=np.int64)
+    return at, taken.buffers()[2].to_pybytes() if len(index) else b""
 
 
 def _byte_level(token: str) -> bytes:
@@ -113,12 +131,16 @@ def _sides(pairing: Pairing) -> _Sides:
     return _Sides(pairing)
 
 
-def _frame(ids: list[list[int]], used: list[bool], sizes: np.ndarray) -> pd.DataFrame:
-    kept = [np.array(x if use else [], dtype=np.int64) for x, use in zip(ids, used)]
-    flat = np.concatenate([*kept, np.zeros(0, dtype=np.int64)])
-    end = np.cumsum(sizes[flat])
-    doc = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
-    return pd.DataFrame({"doc": doc, "start": end - sizes[flat], "end": end, "id": flat, "at": np.arange(len(flat))})
+def _frame(ids: np.ndarray, bounds: np.ndarray, ends: np.ndarray, used: np.ndarray) -> pd.DataFrame:
+    """Tokens of the used texts; both sides spell these in the same bytes, so their places agree."""
+    n = np.diff(bounds)
+    kept = np.repeat(used, n)
+    size = np.diff(ends, prepend=0)[kept]
+    end = np.cumsum(size)
+    return pd.DataFrame(
+        {"doc": np.repeat(np.arange(len(n)), n)[kept], "start": end - size, "end": end, "id": ids[kept], "at": np.arange(len(end))},
+        copy=False,
+    )
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
@@ -127,32 +149,33 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     Of two that overlap one starts inside the other, or both start together; the
     second direction leaves the latter out, as the first has them.
     """
-    a, b = (t[["doc", "start", "end", "at"]] for t in (a, b))
-    covered_by_b = pd.merge_asof(a, b, on="start", by="doc", suffixes=("_a", "_b"))
-    covered_by_a = pd.merge_asof(b, a.assign(first=a["start"]), on="start", by="doc", suffixes=("_b", "_a"))
-    covered_by_a = covered_by_a[covered_by_a["first"] != covered_by_a["start"]]
-    both = pd.concat([covered_by_b, covered_by_a])
-    return both.rename(columns={"at_a": "a_at", "at_b": "b_at", "end_a": "a_end", "end_b": "b_end"})[
-        ["a_at", "b_at", "a_end", "b_end"]
-    ]
+    starts = [t[["doc", "start", "at"]] for t in (a, b)]
+    under = pd.merge_asof(*starts, on="start", by="doc")
+    over = pd.merge_asof(*reversed(starts), on="start", by="doc")
+    a_at, b_at = over["at_y"].to_numpy(), over["at_x"].to_numpy()
+    inside = a["start"].to_numpy()[a_at] != b["start"].to_numpy()[b_at]
+    a_at = np.concatenate([under["at_x"].to_numpy(), a_at[inside]])
+    b_at = np.concatenate([under["at_y"].to_numpy(), b_at[inside]])
+    return pd.DataFrame(
+        {"a_at": a_at, "b_at": b_at, "a_end": a["end"].to_numpy()[a_at], "b_end": b["end"].to_numpy()[b_at]}, copy=False
+    )
 
 
-def _digests(sides: _Sides, a: pd.DataFrame, b: pd.DataFrame, cut: np.ndarray, n_docs: int) -> list[str]:
-    """sha256 of each document's groups as text, '' without tokens; ``cut``: ascending places where groups end."""
-    a_group, b_group = (np.searchsorted(cut, t["end"].to_numpy()) for t in (a, b))
+def _digests(sides: _Sides, a: pd.DataFrame, b: pd.DataFrame, a_cut: np.ndarray, b_cut: np.ndarray, n_docs: int) -> list[str]:
+    """sha256 of each document's groups as text, '' without tokens; the cuts are the last tokens of the groups."""
     codes = np.empty(len(a) + len(b), dtype=np.int64)
-    for group, other, side, ids, first in (
-        (a_group, b_group, "left", a["id"].to_numpy(), 0),
-        (b_group, a_group, "right", b["id"].to_numpy(), 2 * len(sides.a_bytes)),
+    # within a group A's tokens come first: each token's place follows from how many of the other side come before it
+    for tokens, own, other, first in (
+        (a, a_cut, np.append(0, b_cut + 1), 0), (b, b_cut, np.append(a_cut + 1, 0), 2 * len(sides.a_bytes)),
     ):
-        last = np.append(group[1:] != group[:-1], True)[: len(group)]
-        codes[np.arange(len(group)) + np.searchsorted(other, group, side)] = first + 2 * ids + last
+        last = np.zeros(len(tokens), dtype=np.int64)
+        last[own] = 1
+        group = np.cumsum(last) - last
+        codes[np.arange(len(tokens)) + other[group]] = first + 2 * tokens["id"].to_numpy() + last
     n = sum(np.bincount(t["doc"], minlength=n_docs) for t in (a, b))
-    ends = np.cumsum(n).tolist()
-    said = list(map(sides.said.__getitem__, codes.tolist()))
-    return [
-        hashlib.sha256(b"".join(said[y - k : y])[:-1]).hexdigest() if k else "" for y, k in zip(ends, n.tolist())
-    ]
+    at, said = _concatenated(sides.said, codes)
+    doc_at = at[np.concatenate([[0], np.cumsum(n)])].tolist()
+    return [hashlib.sha256(said[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(doc_at[:-1], doc_at[1:])]
 
 
 # ---- tables -----------------------------------------------------------------------
@@ -161,7 +184,7 @@ def _per_block(docs: DataFrame, pairing: Pairing, make: Callable, schema: str, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = _sides(pairing)
         for batch in batches:
-            for rows, texts in blocks(batch, 2, 1 << 21):
+            for rows, texts in blocks(batch, 2, 1 << 20):
                 a, b = sides.tokens(texts)
                 yield make(sides, rows, a, b, overlaps(a, b))
 
@@ -174,16 +197,15 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
 
 
 def _aligned(sides: _Sides, rows: pa.RecordBatch, a: pd.DataFrame, b: pd.DataFrame, found: pd.DataFrame) -> pa.RecordBatch:
-    links = found[found["a_end"] == found["b_end"]].sort_values("a_end")
-    a_at, b_at = links["a_at"].to_numpy(), links["b_at"].to_numpy()
+    links = found["a_end"].to_numpy() == found["b_end"].to_numpy()
+    a_at, b_at = (np.sort(found[c].to_numpy()[links]) for c in ("a_at", "b_at"))  # both rise with the common end
     n_a, n_b = (np.bincount(t["doc"], minlength=len(rows)) for t in (a, b))
     n_links = np.bincount(a["doc"].to_numpy()[a_at], minlength=len(rows))
-    cut = np.unique(links["a_end"].to_numpy())
-    n_groups = np.diff(np.searchsorted(cut, np.concatenate([[0], np.cumsum(_sizes(a, len(rows)))]), "right"))
     return pa.RecordBatch.from_arrays(
         [
-            rows.column(0), rows.column(1), *(pa.array(n, pa.int64()) for n in (n_a, n_b, n_groups, n_links)),
-            pa.array(_digests(sides, a, b, cut, len(rows)), pa.string()),
+            # no token is empty, so one of each side ends with a group: a group and a link each
+            rows.column(0), rows.column(1), *(pa.array(n, pa.int64()) for n in (n_a, n_b, n_links, n_links)),
+            pa.array(_digests(sides, a, b, a_at, b_at, len(rows)), pa.string()),
             _lists(a["id"].to_numpy()[a_at], n_links), _lists(b["id"].to_numpy()[b_at], n_links),
         ],
         names=[c.split(" ")[0] for c in ALIGNED.split(", ")],
@@ -232,21 +254,30 @@ def _with_known(aligned: DataFrame, known: pd.DataFrame) -> DataFrame:
     keys = np.append(keys[order], np.iinfo(np.int64).max)
     n, best = np.append(known["n"].to_numpy(np.int64)[order], 0), np.append(known["best"].to_numpy(bool)[order], False)
 
+    def looked_up(rows: pa.RecordBatch) -> pa.RecordBatch:
+        *heads, a_lists, b_lists = rows.columns
+        a, b = (x.flatten().to_numpy().astype(np.int64) for x in (a_lists, b_lists))
+        doc = np.repeat(np.arange(len(rows)), np.diff(a_lists.offsets.to_numpy()))
+        pair = (a << 32) | b
+        at = np.searchsorted(keys, pair)
+        is_known = keys[at] == pair
+        sums = np.zeros((2, len(rows)), dtype=np.int64)
+        for out, values in zip(sums, (best, n), strict=True):
+            np.add.at(out, doc[is_known], values[at[is_known]])
+        left = np.bincount(doc[~is_known], minlength=len(rows))
+        return pa.RecordBatch.from_arrays(
+            [*heads, *(pa.array(s) for s in sums), _lists(a[~is_known], left), _lists(b[~is_known], left)],
+            names=[*rows.schema.names[:-2], "n_best", "count_sum", "a", "b"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *heads, a_lists, b_lists = batch.columns
-            a, b = (x.flatten().to_numpy().astype(np.int64) for x in (a_lists, b_lists))
-            doc = np.repeat(np.arange(len(batch)), np.diff(a_lists.offsets.to_numpy()))
-            at = np.searchsorted(keys, (a << 32) | b)
-            is_known = keys[at] == (a << 32) | b
-            sums = np.zeros((2, len(batch)), dtype=np.int64)
-            for out, values in zip(sums, (best, n), strict=True):
-                np.add.at(out, doc[is_known], values[at[is_known]])
-            left = np.bincount(doc[~is_known], minlength=len(batch))
-            yield pa.RecordBatch.from_arrays(
-                [*heads, *(pa.array(s) for s in sums), _lists(a[~is_known], left), _lists(b[~is_known], left)],
-                names=[*(f.name for f in list(batch.schema)[:-2]), "n_best", "count_sum", "a", "b"],
-            )
+            upto = batch.column(-1).offsets.to_numpy()
+            first = 0
+            while first < len(batch):
+                last = max(first + 1, int(np.searchsorted(upto, upto[first] + AT_ONCE, "right")) - 1)
+                yield looked_up(batch.slice(first, last - first))
+                first = last
 
     schema = ALIGNED.replace("a array<int>, b array<int>", "n_best bigint, count_sum bigint, a array<int>, b array<int>")
     return aligned.mapInArrow(run, schema)
@@ -254,12 +285,15 @@ def _with_known(aligned: DataFrame, known: pd.DataFrame) -> DataFrame:
 
 def aligned(docs: DataFrame, pairing: Pairing, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    links = stored(_per_block(docs, pairing, _aligned, ALIGNED, doc_id, text), "links")
+    spark = docs.sparkSession
+    with small_batches(spark):
+        links = stored(_per_block(docs, pairing, _aligned, ALIGNED, doc_id, text), "links")
     pairs = stored(pair_counts(links), "pair_counts")
     total = pairs.agg(F.sum("n")).first()[0] or 0
     # n * known >= total: at most ``known`` pairs
     known = pairs.filter(F.col("n") * pairing.known >= total).toPandas()
-    half = stored(_with_known(links, known), "known")
+    with small_batches(spark):
+        half = stored(_with_known(links, known), "known")
     rest = (
         half.select("row", F.inline(F.arrays_zip("a", "b"))).join(pairs, ["a", "b"])
         .groupBy("row").agg(F.sum(F.col("best").cast("bigint")).alias("_best"), F.sum("n").alias("_sum"))

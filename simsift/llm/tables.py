@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
@@ -26,3 +26,17 @@ def bucketed(df: DataFrame, key: str, name: str) -> Iterator[DataFrame]:
         yield spark.table(table)
     finally:
         spark.sql(f"DROP TABLE {table}")
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> Iterator[None]:
+    """Actions inside the block hand wide rows to Python in batches of this size; rows stay whole."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in wanted}
+    try:
+        for name, value in wanted.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks a worker remembers, some 200 bytes each; ids do not depend on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _SPACES = bytes([*range(0x09, 0x0E), 0x20])
 _WORD = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])

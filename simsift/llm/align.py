@@ -19,7 +19,6 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .tables import small_batches
-from .vocabulary import blocks, encoder
+from .vocabulary import blocks, encoder, piece_encoder
 
 ALIGNED = (
     "row bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -61,14 +60,12 @@ class _Sides:
     """Both vocabularies: ids of texts, and per id the bytes it stands for."""
 
     def __init__(self, pairing: Pairing):
-        import sentencepiece
-
         self.a = encoder(pairing.a, plain_marks=True)
         vocabulary = self.a.library.get_vocab()
         names = {i: name for name, i in vocabulary.items()}
         self.a_bytes = pa.array([_byte_level(names.get(i, "")) for i in range(max(names) + 1)], pa.large_binary())
-        self.b = sentencepiece.SentencePieceProcessor(model_file=pairing.b)
-        self.b_bytes = pa.array([self._piece(i) for i in range(self.b.get_piece_size())], pa.large_binary())
+        self.b = piece_encoder(pairing.b)
+        self.b_bytes = pa.array([self._piece(i) for i in range(self.b.library.get_piece_size())], pa.large_binary())
         # what a token adds to the text of the groups: within its group, and as the last of its side there
         self.said = pa.array(
             [
@@ -81,8 +78,8 @@ class _Sides:
         )
 
     def _piece(self, i: int) -> bytes:
-        piece = self.b.id_to_piece(i)
-        if self.b.is_byte(i):
+        piece = self.b.library.id_to_piece(i)
+        if self.b.library.is_byte(i):
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
@@ -90,9 +87,7 @@ class _Sides:
         """Tokens of the texts that both sides spell: doc, id, start, end; places count over all of them."""
         spaced = [b" " + t for t in texts]
         a_ids, a_bounds = self.a.ids(spaced)
-        lists = self.b.encode([t.decode() for t in texts], num_threads=1) if texts else []
-        b_bounds = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-        b_ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, b_bounds[-1])
+        b_ids, b_bounds = self.b.ids(spaced)
         spelt = np.array([len(t) > 1 for t in spaced])
         ends = []
         for table, ids, bounds in ((self.a_bytes, a_ids, a_bounds), (self.b_bytes, b_ids, b_bounds)):
@@ -102,7 +97,7 @@ class _Sides:
             spelt &= [data[x:y] == t for x, y, t in zip(doc_at[:-1], doc_at[1:], spaced, strict=True)]
         return tuple(
             _frame(ids, bounds, end, spelt)
-            for ids, bounds, end in ((a_ids.astype(np.int64), a_bounds, ends[0]), (b_ids, b_bounds, ends[1]))
+            for ids, bounds, end in ((a_ids, a_bounds, ends[0]), (b_ids, b_bounds, ends[1]))
         )
 
 
@@ -138,7 +133,7 @@ def _frame(ids: np.ndarray, bounds: np.ndarray, ends: np.ndarray, used: np.ndarr
     size = np.diff(ends, prepend=0)[kept]
     end = np.cumsum(size)
     return pd.DataFrame(
-        {"doc": np.repeat(np.arange(len(n)), n)[kept], "start": end - size, "end": end, "id": ids[kept], "at": np.arange(len(end))},
+        {"doc": np.repeat(np.arange(len(n)), n)[kept], "start": end - size, "end": end, "id": ids[kept].astype(np.int64), "at": np.arange(len(end))},
         copy=False,
     )
 

@@ -17,7 +17,7 @@ padding is that of the cuts and one open window per partition.
 
 Each id of a document lies in exactly one piece. A null text is an empty one and has
 the end token alone. Equal rows are packed each. Empty tables give an empty result.
-Texts hold ordinary text only: what looks like a special token is encoded as its characters.
+Ids are those of the tokenizers library's plain call: a special token's string in a text is that token.
 """
 
 from __future__ import annotations
@@ -34,21 +34,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .vocabulary import blocks, encoder
+
 SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
     "sequence_id bigint, offset bigint"
 )
 _PART_BITS = 33
-#: A run of one kind of characters beyond this goes through the slower library, which bounds its own steps.
-LONG_TEXT = 1_000_000
 
 
 @dataclass(frozen=True)
 class Packing:
-    """vocabulary: a ranks file; reference: the same vocabulary as a tokenizer file."""
+    """vocabulary: a byte-level file of the tokenizers library."""
 
     vocabulary: str
-    reference: str
     window: int = 2048
     end_id: int = 1
     truncation: int = 8
@@ -59,37 +58,13 @@ class Packing:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str):
-    """(encode function, per id: does a sentence end after it)."""
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    coder = tiktoken.Encoding(
-        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-    )
-    ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
-    for piece, i in ranks.items():
-        ends[i] = piece[-1:] in (b".", b"!", b"?") or b"\n" in piece
-    return coder.encode_ordinary, ends
-
-
-@lru_cache(maxsize=2)
-def _reference(path: str):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-
-
-def token_ids(text: str, packing: Packing) -> np.ndarray:
-    """Ids of a whole text, the same from either library."""
-    encode = _encoder(packing.vocabulary)[0] if len(text) < LONG_TEXT else _reference(packing.reference)
-    return np.array(encode(text) + [packing.end_id], dtype=np.uint32)
+def _sentence_ends(path: str) -> np.ndarray:
+    """Per id: does a sentence end after it?"""
+    names = encoder(path).library.get_vocab()
+    ends = np.zeros(max(names.values()) + 1, dtype=bool)
+    for token, i in names.items():
+        ends[i] = token[-1:] in (".", "!", "?") or "Ċ" in token  # the byte-level alphabet's line break
+    return ends
 
 
 def places(ids: np.ndarray, doc_ends: np.ndarray, ends: np.ndarray, packing: Packing) -> tuple[np.ndarray, np.ndarray]:
@@ -141,12 +116,12 @@ class _Stream:
 
     def __init__(self, packing: Packing, first_sequence: int):
         self.packing, self.sequence = packing, first_sequence
-        self.ends = _encoder(packing.vocabulary)[1]
+        self.ends = _sentence_ends(packing.vocabulary)
         self.docs: list[tuple] = []  # (doc_id, ids from here on, ids before, ids in all)
         self.size = 0
 
-    def add(self, doc_id, text: str | None) -> None:
-        ids = token_ids(text or "", self.packing)
+    def add(self, doc_id, ids: np.ndarray) -> None:
+        ids = np.append(ids, np.uint32(self.packing.end_id))
         self.docs.append((doc_id, ids, 0, len(ids)))
         self.size += len(ids)
 
@@ -201,10 +176,12 @@ def pack(docs: DataFrame, packing: Packing, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = _Stream(packing, TaskContext.get().partitionId() << _PART_BITS)
         for batch in batches:
-            for key, value in zip(batch.column(0), batch.column(1)):
-                stream.add(key.as_py(), value.as_py())
-                if stream.size >= packing.block:
-                    yield stream.cut(last=False)
+            for rows, texts in blocks(batch, 1):
+                flat, at = encoder(packing.vocabulary).ids(texts)
+                for key, a, b in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    stream.add(key, flat[a:b])
+                    if stream.size >= packing.block:
+                        yield stream.cut(last=False)
         rest = stream.cut(last=True)
         if rest is not None:
             yield rest
@@ -216,4 +193,4 @@ def public_packing(**options) -> Packing:
     """Packing with the public byte-level vocabulary installed on every node."""
     import public_tokenizers as P
 
-    return Packing(P.path("byte_bpe_50k.tiktoken"), P.path("byte_bpe_50k.json"), **options)
+    return Packing(P.path("byte_bpe_50k.json"), **options)

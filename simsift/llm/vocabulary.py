@@ -10,6 +10,8 @@ to the library, and those already seen in the worker come from a bounded memory:
 
 Ids are those of the library's plain call (a test holds them against it). A text
 with the string of a special token goes to the library as a whole.
+
+A sentencepiece model is used in the same way, with cuts before runs of spaces.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks a worker remembers, some 200 bytes each; ids do not depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 _SPACES = bytes([*range(0x09, 0x0E), 0x20])
 _WORD = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
@@ -63,8 +65,58 @@ def cuts(data: bytes, doc_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(meet)
 
 
-class Encoder:
-    """ids of texts; ``plain_marks`` takes the strings of special tokens as ordinary text."""
+class _Chunked:
+    """Ids of texts by chunks; a vocabulary says where it cuts and how it encodes chunks not seen before."""
+
+    def __init__(self, marks: list[bytes]):
+        self.marks, self.seen = marks, dict[bytes, bytes]()
+
+    def _whole(self, text: bytes) -> bytes:
+        """Ids of a text with a mark, which chunks do not suit."""
+        raise NotImplementedError
+
+    def _cuts(self, data: bytes, doc_starts: np.ndarray) -> np.ndarray:
+        return cuts(data, doc_starts)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        raise NotImplementedError
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's ids begin and the last's end)."""
+        marked = {i: self._whole(t) for i, t in enumerate(texts) if any(m in t for m in self.marks)}
+        flat, bounds = self._by_chunks([b"" if i in marked else t for i, t in enumerate(texts)])
+        if not marked:
+            return flat, bounds
+        whole = [
+            np.frombuffer(marked[i], dtype="<u4") if i in marked else flat[a:b]
+            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+        ]
+        return np.concatenate(whole), np.concatenate([[0], np.cumsum([len(w) for w in whole])])
+
+    def _by_chunks(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        sizes, data = np.array([len(t) for t in texts], dtype=np.int64), b"".join(texts)
+        ends = np.cumsum(sizes)
+        at = self._cuts(data, ends - sizes)
+        chunks = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]
+        ).dictionary_encode()
+        ends_at = np.frombuffer(chunks.dictionary.buffers()[1], dtype=np.int64)[: len(chunks.dictionary) + 1].tolist()
+        named = chunks.dictionary.buffers()[2].to_pybytes() if len(at) else b""
+        distinct = [named[a:b] for a, b in zip(ends_at[:-1], ends_at[1:])]
+        if len(distinct) + len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        self._learn([c for c in distinct if c not in self.seen])
+        parts = [self.seen[c] for c in distinct]
+        index = chunks.indices.to_numpy()
+        flat, n = gathered(np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4, index)
+        # ids before each chunk, then before each text
+        before = np.concatenate([[0], np.cumsum(n)])
+        starts = before[np.searchsorted(at, ends - sizes)]
+        return flat, np.append(starts, before[-1])
+
+
+class Encoder(_Chunked):
+    """Ids by a file of the tokenizers library; ``plain_marks`` takes the strings of special tokens as ordinary text."""
 
     def __init__(self, path: str, plain_marks: bool = False):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -76,10 +128,10 @@ class Encoder:
             raise ValueError(f"{path} is no byte-level vocabulary without a normaliser")
         if not split.use_regex or split.add_prefix_space:
             raise ValueError(f"{path} cuts texts in another way")
-        self.marks = [] if plain_marks else [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        marks = self.library.get_added_tokens_decoder().values()
+        super().__init__([] if plain_marks else [t.content.encode() for t in marks])
         self.size = self.library.get_vocab_size()
         self.line_break = self.library.encode("\n", add_special_tokens=False).ids[0]
-        self.seen: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> bytes:
         ids = self.library.encode(text.decode(), add_special_tokens=False).ids
@@ -97,36 +149,37 @@ class Encoder:
             a = b + 4
         self.seen.update((c, self._whole(c)) for c in chunks if c not in self.seen)
 
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, where each text's ids begin and the last's end)."""
-        marked = {i: self._whole(t) for i, t in enumerate(texts) if any(m in t for m in self.marks)}
-        sizes = np.array([0 if i in marked else len(t) for i, t in enumerate(texts)], dtype=np.int64)
-        data = b"".join(t for i, t in enumerate(texts) if i not in marked)
-        ends = np.cumsum(sizes)
-        at = cuts(data, ends - sizes)
-        chunks = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)), pa.py_buffer(data)]
-        ).dictionary_encode()
-        ends_at = np.frombuffer(chunks.dictionary.buffers()[1], dtype=np.int64)[: len(chunks.dictionary) + 1].tolist()
-        named = chunks.dictionary.buffers()[2].to_pybytes() if len(at) else b""
-        distinct = [named[a:b] for a, b in zip(ends_at[:-1], ends_at[1:])]
-        if len(distinct) + len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        self._learn([c for c in distinct if c not in self.seen])
-        parts = [self.seen[c] for c in distinct]
-        index = chunks.indices.to_numpy()
-        flat, n = gathered(np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4, index)
-        # ids before each chunk, then before each text
-        before = np.concatenate([[0], np.cumsum(n)])
-        starts = before[np.searchsorted(at, ends - sizes)]
-        bounds = np.append(starts, before[-1])
-        if not marked:
-            return flat, bounds
-        whole = [
-            np.frombuffer(marked[i], dtype="<u4") if i in marked else flat[a:b]
-            for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
-        ]
-        return np.concatenate(whole), np.concatenate([[0], np.cumsum([len(w) for w in whole])])
+
+class PieceEncoder(_Chunked):
+    """Ids by a sentencepiece model of texts that begin with the space the model puts before a text.
+
+    Its pieces hold spaces in front only, so none lies across the beginning of a run of spaces.
+    That space alone, an empty text's, is the piece of a space.
+    """
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        super().__init__(["▁".encode()])
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        if any("▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError(f"{path} has pieces with a space inside")
+        self.space = np.array([self.library.piece_to_id("▁")], dtype="<u4").tobytes()
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.library.encode(text[1:].decode()), dtype="<u4").tobytes()
+
+    def _cuts(self, data: bytes, doc_starts: np.ndarray) -> np.ndarray:
+        space = np.frombuffer(data, dtype=np.uint8) == 0x20
+        space[1:] &= ~space[:-1].copy()
+        space[doc_starts[doc_starts < len(data)]] = True
+        return np.flatnonzero(space)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        found = self.library.encode([c[1:].decode() for c in chunks], num_threads=1) if chunks else []
+        self.seen.update((c, np.array(ids, dtype="<u4").tobytes()) for c, ids in zip(chunks, found, strict=True))
+        self.seen[b" "] = self.space  # the call's text would be empty
 
 
 def gathered(values: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,6 +196,12 @@ def encoder(path: str, plain_marks: bool = False) -> Encoder:
     return Encoder(path, plain_marks)
 
 
+@lru_cache(maxsize=4)
+def piece_encoder(path: str) -> PieceEncoder:
+    """The worker's encoder of a sentencepiece model."""
+    return PieceEncoder(path)
+
+
 def blocks(batch: pa.RecordBatch, text: int, limit: int = 1 << 23) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of a batch of about ``limit`` bytes of text, with their texts; a null text is empty."""
     column = batch.column(text)

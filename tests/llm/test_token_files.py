@@ -8,11 +8,13 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from simsift.llm import tokenfiles as TF
 from simsift.llm import vocabulary as V
 
+PIECE_BPE = P.path("piece_bpe_32k.model")
 BYTE_BPE = P.path("byte_bpe_50k.json")
 SCHEMA = "doc_id bigint, text string, start string, ids int"
 PIECES = [
@@ -50,6 +52,18 @@ def test_ids_around_every_character(library):
     assert all(flat[bounds[i] : bounds[i + 1]].tolist() == w.ids for i, w in enumerate(wanted))
 
 
+def test_pieces_equal_the_plain_call():
+    draw, model = random.Random(6), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    coder = V.PieceEncoder(PIECE_BPE)
+    texts = ["".join(draw.choices([*PIECES, "▁", "<s>", "<0x0A>", "   "], k=draw.randint(1, 30))) for _ in range(5000)] + [" ", "  ", "a "]
+    texts += [f"a{chr(c)} {chr(c)}b  {chr(c)}" for c in range(0x3400) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(texts), 2000):
+        part = texts[a : a + 2000]
+        flat, bounds = coder.ids([b" " + t.encode() for t in part])
+        for i, wanted in enumerate(model.encode(part)):
+            assert flat[bounds[i] : bounds[i + 1]].tolist() == wanted, part[i]
+
+
 def brute(rows, library):
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):

@@ -16,6 +16,7 @@ from ..functions.logparser import with_parsed_label
 from ..functions.sqlfunction import create_classifier
 from ..functions.textforms import fixed, percent
 from ..operators import triage as OT
+from ..operators.defaults import with_defaults
 from ..operators.pairs import training_pairs
 from ..streaming.breaker import replay_breaker, route
 from . import derived as D
@@ -78,6 +79,26 @@ def missing_defaults(spark, sf):
     )
 
 
+_GAPS = """SELECT event_id, event_id AS n, CASE WHEN event_type <> 'click' THEN event_type END AS label,
+  CASE WHEN user_id % 3 > 0 THEN props END AS log, CASE WHEN user_id % 4 > 0 THEN user_id::VARCHAR END AS id,
+  CASE WHEN user_id % 5 > 0 THEN value END AS confidence FROM events"""
+_IDS = {"natural": "coalesce(id, 'unknown')", "evaluation": "coalesce(id, 'test_' || idx)", "benchmark": "idx::VARCHAR"}
+
+
+@query("prj4_defaults_by_use", "PRJ-4", f"WITH g AS (SELECT *, row_number() OVER (ORDER BY n) - 1 AS idx FROM ({_GAPS}))"
+       + " UNION ALL ".join(f""" SELECT {S.q(use)} AS use, event_id, {i} AS id, coalesce(label, 'Unknown') AS label,
+  coalesce(log, '') AS log, coalesce(confidence, 0.0) AS confidence FROM g""" for use, i in _IDS.items()))
+def defaults_by_use(spark, sf):
+    user = F.col("user_id")
+    rows = D.table(spark, sf, "events").select(
+        "event_id", F.when(F.col("event_type") != "click", F.col("event_type")).alias("label"),
+        F.when(user % 3 > 0, F.col("props")).alias("log"), F.when(user % 4 > 0, user.cast("string")).alias("id"),
+        F.when(user % 5 > 0, F.col("value")).alias("confidence"),
+    )
+    parts = [with_defaults(rows, use, ["event_id"]).withColumn("use", F.lit(use)) for use in _IDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 _PROMPT = f"{S.q(FM.PROMPT_HEAD)} || log || {S.q(FM.PROMPT_TAIL)}"
 _TARGET = """'{"label":"' || label || '","explanation":"' || v_text || '","confidence":' || v_conf || '}'"""
 

@@ -10,6 +10,7 @@ from simsift.functions import generated as G
 from simsift.functions import triage as TR
 from simsift.functions.textforms import fixed, percent
 from simsift.operators import triage as OT
+from simsift.operators.defaults import USES, with_defaults
 from simsift.operators.pairs import training_pairs
 from simsift.streaming.triage import routed_triage
 
@@ -54,6 +55,23 @@ def test_target_defaults(spark):
     }
 
 
+def test_defaults_by_use(spark):
+    rows = spark.createDataFrame(
+        [(0, None, None, None, None), (1, 7, "L", "A", 0.5), (2, None, "", None, None)],
+        "n int, id int, log string, label string, confidence double",
+    )
+    found = {u: [tuple(r)[1:] for r in with_defaults(rows, u, ["n"]).orderBy("n").collect()] for u in USES}
+    assert found["natural"] == [("unknown", "", "Unknown", 0.0), ("7", "L", "A", 0.5), ("unknown", "", "Unknown", 0.0)]
+    assert found["evaluation"] == [("test_0", "", "Unknown", 0.0), ("7", "L", "A", 0.5), ("test_2", "", "Unknown", 0.0)]
+    assert [r[0] for r in found["benchmark"]] == ["0", "1", "2"]
+    assert found["training"] == [(None, "", "Unknown", 1.0), (7, "L", "A", 0.5), (None, "", "Unknown", 1.0)]
+    plain = spark.createDataFrame([(None,)], "explanation string")
+    assert with_defaults(plain, "training").first()[0] == "No explanation available."
+    with pytest.raises(ValueError, match="order"):
+        with_defaults(rows, "evaluation")
+    assert with_defaults(rows.limit(0), "evaluation", ["n"]).count() == 0
+
+
 GOOD = '{"label": "A", "explanation": "e", "confidence": 0.9}'
 
 

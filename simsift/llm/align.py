@@ -47,11 +47,12 @@ OVERLAPS = (
 
 @dataclass(frozen=True)
 class Pairing:
-    """a: file of the tokenizers library; b: file of a sentencepiece model."""
+    """a: file of the tokenizers library; b: file of a sentencepiece model; remembered: chunks a worker keeps of each."""
 
     a: str
     b: str
     known: int = 1 << 17
+    remembered: int = 300_000
 
 
 # ---- tokens of both sides -------------------------------------------------------
@@ -60,11 +61,11 @@ class _Sides:
     """Both vocabularies: ids of texts, and per id the bytes it stands for."""
 
     def __init__(self, pairing: Pairing):
-        self.a = encoder(pairing.a, plain_marks=True)
+        self.a = encoder(pairing.a, True, pairing.remembered)
         vocabulary = self.a.library.get_vocab()
         names = {i: name for name, i in vocabulary.items()}
         self.a_bytes = pa.array([_byte_level(names.get(i, "")) for i in range(max(names) + 1)], pa.large_binary())
-        self.b = piece_encoder(pairing.b)
+        self.b = piece_encoder(pairing.b, pairing.remembered)
         self.b_bytes = pa.array([self._piece(i) for i in range(self.b.library.get_piece_size())], pa.large_binary())
         # what a token adds to the text of the groups: within its group, and as the last of its side there
         self.said = pa.array(

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks a worker remembers, some 200 bytes each; ids do not depend on it.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 _SPACES = bytes([*range(0x09, 0x0E), 0x20])
 _WORD = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
@@ -68,8 +68,8 @@ def cuts(data: bytes, doc_starts: np.ndarray) -> np.ndarray:
 class _Chunked:
     """Ids of texts by chunks; a vocabulary says where it cuts and how it encodes chunks not seen before."""
 
-    def __init__(self, marks: list[bytes]):
-        self.marks, self.seen = marks, dict[bytes, bytes]()
+    def __init__(self, marks: list[bytes], remembered: int):
+        self.marks, self.remembered, self.seen = marks, remembered, dict[bytes, bytes]()
 
     def _whole(self, text: bytes) -> bytes:
         """Ids of a text with a mark, which chunks do not suit."""
@@ -103,7 +103,7 @@ class _Chunked:
         ends_at = np.frombuffer(chunks.dictionary.buffers()[1], dtype=np.int64)[: len(chunks.dictionary) + 1].tolist()
         named = chunks.dictionary.buffers()[2].to_pybytes() if len(at) else b""
         distinct = [named[a:b] for a, b in zip(ends_at[:-1], ends_at[1:])]
-        if len(distinct) + len(self.seen) > REMEMBERED:
+        if len(distinct) + len(self.seen) > self.remembered:
             self.seen.clear()
         self._learn([c for c in distinct if c not in self.seen])
         parts = [self.seen[c] for c in distinct]
@@ -118,7 +118,7 @@ class _Chunked:
 class Encoder(_Chunked):
     """Ids by a file of the tokenizers library; ``plain_marks`` takes the strings of special tokens as ordinary text."""
 
-    def __init__(self, path: str, plain_marks: bool = False):
+    def __init__(self, path: str, plain_marks: bool = False, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
@@ -129,7 +129,7 @@ class Encoder(_Chunked):
         if not split.use_regex or split.add_prefix_space:
             raise ValueError(f"{path} cuts texts in another way")
         marks = self.library.get_added_tokens_decoder().values()
-        super().__init__([] if plain_marks else [t.content.encode() for t in marks])
+        super().__init__([] if plain_marks else [t.content.encode() for t in marks], remembered)
         self.size = self.library.get_vocab_size()
         self.line_break = self.library.encode("\n", add_special_tokens=False).ids[0]
 
@@ -157,10 +157,10 @@ class PieceEncoder(_Chunked):
     That space alone, an empty text's, is the piece of a space.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         import sentencepiece
 
-        super().__init__(["▁".encode()])
+        super().__init__(["▁".encode()], remembered)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in pieces):
@@ -191,15 +191,15 @@ def gathered(values: np.ndarray, lengths: np.ndarray, index: np.ndarray) -> tupl
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, plain_marks: bool = False) -> Encoder:
+def encoder(path: str, plain_marks: bool = False, remembered: int = REMEMBERED) -> Encoder:
     """The worker's encoder of a vocabulary file."""
-    return Encoder(path, plain_marks)
+    return Encoder(path, plain_marks, remembered)
 
 
 @lru_cache(maxsize=4)
-def piece_encoder(path: str) -> PieceEncoder:
+def piece_encoder(path: str, remembered: int = REMEMBERED) -> PieceEncoder:
     """The worker's encoder of a sentencepiece model."""
-    return PieceEncoder(path)
+    return PieceEncoder(path, remembered)
 
 
 def blocks(batch: pa.RecordBatch, text: int, limit: int = 1 << 23) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:

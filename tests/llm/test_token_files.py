@@ -29,11 +29,10 @@ def library():
 
 
 @pytest.mark.parametrize("plain_marks", [False, True])
-def test_ids_equal_the_plain_call(library, plain_marks, monkeypatch):
-    monkeypatch.setattr(V, "REMEMBERED", 3000)  # cleared many times on the way
+def test_ids_equal_the_plain_call(library, plain_marks):
     draw = random.Random(5)
     texts = ["".join(draw.choices(PIECES, k=draw.randint(0, 40))) for _ in range(6000)]
-    coder = V.Encoder(BYTE_BPE, plain_marks)
+    coder = V.Encoder(BYTE_BPE, plain_marks, 3000)  # cleared many times on the way
     library.encode_special_tokens = plain_marks
     for a in range(0, len(texts), 500):
         flat, bounds = coder.ids([t.encode() for t in texts[a : a + 500]])

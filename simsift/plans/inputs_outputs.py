@@ -33,8 +33,8 @@ def log_files(spark, sf):
     D.table(spark, sf, "benchmark").select(
         F.lit("log").alias("module"), F.col("item_id").alias("mutation_id"), "text"
     ).transform(lambda rows: W.write_text_per_row(rows, "text", path) or rows)
-    files = R.read_log_files(spark, f"{path}/module=log/*")
-    item = F.regexp_extract("file", r"mutation_id=(\d+)", 1).cast("bigint")
+    files = R.read_log_files(spark, f"{path}/*")
+    item = F.regexp_extract("file", r"/log_(\d+)\.log$", 1).cast("bigint")
     return with_verdict(files).select(
         item.alias("id"), F.length("log").alias("n_chars"),
         F.md5(F.col("log").cast("binary")).alias("log_md5"), F.col("verdict.label").alias("label"),

@@ -14,19 +14,6 @@ from ..functions.triage import gate, keep_tail, too_long
 from ..sources.readers import read_log_files
 
 
-def with_model_verdict(rows: DataFrame, log: str = "log", text: str = "generated_text") -> DataFrame:
-    """Add ``verdict``: the generated JSON where it is complete, else the rules on the log."""
-    model = F.col("_model")
-    read = rows.withColumn("_model", strict_verdict(F.col(text)))
-    # The rules only see logs that have no model verdict.
-    read = read.withColumn("_unread", F.when(model.isNull(), F.col(log)).otherwise(""))
-    return (
-        with_verdict(read, "_unread", "_rules")
-        .withColumn("verdict", F.when(model.isNotNull(), model).otherwise(F.col("_rules")))
-        .drop("_rules", "_model", "_unread")
-    )
-
-
 def judged(requests: DataFrame, key: str = "id", log: str = "log", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, ``_long``, ``_rules``): the size check and the rules' verdict on the cut log, without the text.
 

@@ -16,6 +16,8 @@ from .classification import FULL_TRIAGE, requests
 from .registry import query
 
 THRESHOLD, RECOVERY_S = 5, 6 * 3600
+#: How feeds of logs are written: compressed, and in files small enough for a task each.
+PACKED = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 20_000}
 
 _g = S.gated(0.7)
 _STREAMED = f"""WITH {S._SIM}, r AS (SELECT id::VARCHAR AS id, log FROM sim UNION ALL
@@ -32,7 +34,7 @@ def continuous_triage(spark, sf):
     feed, out, state = (scratch_path(spark, n) for n in ("feed", "answers", "state"))
     logs = D.sim_logs(spark, sf).select(F.col("id").cast("string").alias("id"), "log")
     longs = D.long_logs(spark, sf).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("id"), "log")
-    W.write_jsonl(logs.unionByName(longs), feed)
+    W.write_jsonl(logs.unionByName(longs), feed, **PACKED)
     done = start_triage(request_stream(spark, feed), out, state, availableNow=True)
     done.awaitTermination()
     return spark.read.parquet(out)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .logfiles import LogFiles
 
 
-def write_jsonl(rows: DataFrame, path: str) -> None:
+def write_jsonl(rows: DataFrame, path: str, **options) -> None:
     """JSON lines; null fields are left out, non-ASCII text stays as it is."""
-    rows.write.mode("overwrite").json(path)
+    rows.write.mode("overwrite").options(**options).json(path)
 
 
 def write_splits(rows: DataFrame, path: str) -> None:

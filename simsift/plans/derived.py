@@ -57,10 +57,14 @@ def _numbered(text: Column, n: Column) -> Column:
     return text
 
 
-def sim_logs(spark: SparkSession, sf_dir: str, *extra: Column) -> DataFrame:
-    """(id, module, mutation_id, label, log, extra...): one log per event, four textual forms."""
+def sim_logs(spark: SparkSession, sf_dir: str, *extra: Column, rows: DataFrame | None = None) -> DataFrame:
+    """(id, module, mutation_id, label, log, extra...): one log per event, four textual forms.
+
+    ``rows``: the events with the columns that ``extra`` names, in place of the table.
+    """
     n = F.col("event_id")
-    events = table(spark, sf_dir, "events").select("event_id", "event_type").withColumns(
+    given = table(spark, sf_dir, "events").select("event_id", "event_type") if rows is None else rows
+    events = given.withColumns(
         {
             "mutation_id": pick([s.mutation_id for s in SPECS], n % 9),
             "own_label": pick([s.label for s in SPECS], n % 9),
@@ -150,15 +154,17 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 LONG_TARGETS = (49_999, 50_000, 50_001, 99_999, 100_000, 100_001) + (0,) * 10
 
 
-def long_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, log): documents, some repeated up to lengths around the limits."""
+def long_logs(spark: SparkSession, sf_dir: str, *extra: Column, rows: DataFrame | None = None) -> DataFrame:
+    """(id, log, extra...): documents, some repeated up to lengths around the limits; ``rows`` as in ``sim_logs``."""
     target = pick(LONG_TARGETS, F.col("doc_id") % 16)
     times = (F.ceil(target / F.greatest(F.length("text"), F.lit(1)))).cast("int")
     # a text beyond its target stays whole
     longer = F.left(F.repeat(F.col("text"), times), F.greatest(target, F.length("text")))
-    return table(spark, sf_dir, "documents").select(
+    given = table(spark, sf_dir, "documents") if rows is None else rows
+    return given.select(
         F.col("doc_id").alias("id"),
         F.when((target > 0) & (F.length("text") > 0), longer).otherwise(F.col("text")).alias("log"),
+        *extra,
     )
 
 

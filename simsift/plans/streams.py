@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..catalog import formats as FM
 from ..operators import triage as OT
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import writers as W
 from ..streaming import breaker as B
 from ..streaming.triage import request_stream, routed_triage, start_triage
 from . import derived as D
 from . import oracle as S
-from .classification import FULL_TRIAGE, requests
+from .classification import FULL_TRIAGE
 from .registry import query
 
 THRESHOLD, RECOVERY_S = 5, 6 * 3600
@@ -65,18 +65,22 @@ STEPS = 5
 CLOSING_US = 9_000_000_000_000_000
 
 
-def _feed(rows, name: str, closing: dict) -> tuple[str, str]:
+def _feed(rows, name: str, closing: dict, wide: tuple[str, ...] = ()) -> tuple[str, str]:
     """(folder, delay): rows with ``ts_us`` as JSON files that arrive in steps, out of order by up to two steps.
 
     Each row falls in the step of its time or the next one, by its hash; within a step there is no order.
+    Rows with ``wide`` columns are written where they are, and their step follows from the other columns, so that
+    a wide value is made in the step that writes it alone and is in no exchange.
     """
     spark, folder = rows.sparkSession, scratch_path(rows.sparkSession, name)
     low, high = rows.agg(F.min("ts_us"), F.max("ts_us")).first()
     low, width = low or 0, ((high or 0) - (low or 0)) // (STEPS - 1) + 1
-    late = F.pmod(F.xxhash64(*rows.columns), F.lit(width))
-    dealt = rows.withColumn("_step", F.floor((F.col("ts_us") - low + late) / width)).repartition(4, F.xxhash64(*rows.columns))
+    digest = F.xxhash64(*[c for c in rows.columns if c not in wide])
+    dealt = rows.withColumn("_step", F.floor((F.col("ts_us") - low + F.pmod(digest, F.lit(width))) / width))
+    if not wide:
+        dealt = dealt.repartition(4, digest)
     for step in range(STEPS + 1):
-        W.write_jsonl(dealt.filter(F.col("_step") == step).drop("_step"), f"{folder}/{step}")
+        W.write_jsonl(dealt.filter(F.col("_step") == step).drop("_step"), f"{folder}/{step}", **PACKED)
     last = spark.range(1).select(*[F.lit(closing.get(c)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
     W.write_jsonl(last.withColumn("ts_us", F.lit(CLOSING_US)), f"{folder}/last")
     return f"{folder}/*", f"{2 * width // 1_000_000 + 1} seconds"
@@ -93,7 +97,9 @@ def _run(rows, name: str):
 
 
 def _read_feed(spark, folder: str, schema: str):
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).json(folder)
+    """A feed as a stream of about a batch per step; the last file closes it."""
+    files = len(spark.read.schema(schema).json(folder).inputFiles()) - 1
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(4, -(-files // (STEPS + 1)))).json(folder)
 
 
 def _stream_calls(spark, sf):
@@ -147,18 +153,32 @@ def rejects(spark, sf):
     return OT.rejected(answered)
 
 
+def _timed_requests(spark, sf):
+    """(id, ts_us, log): the requests with the times of their calls, those without one at a time by their id.
+
+    The times are joined to what the logs are made from: narrow events, and documents, of which few or none have
+    a call. Those times are stored, so Spark broadcasts them by their size and no text is in an exchange.
+    """
+    times = D.calls(spark, sf).select(F.col("call_id").alias("id"), "ts_us")
+    first = times.agg(F.min("ts_us")).first()[0] or 0
+    at = F.coalesce("ts_us", F.lit(first) - F.col("id") * 1_000_000).alias("ts_us")
+    events = D.table(spark, sf, "events").select("event_id", "event_type", F.col("event_id").alias("id"))
+    events = stored(events.join(times, "id", "left").select("event_id", "event_type", at), "timed_events")
+    docs = D.table(spark, sf, "documents").select("doc_id", "text", (-1 - F.col("doc_id")).alias("id"))
+    called = stored(times.join(docs.select("id"), "id", "left_semi"), "timed_documents")
+    docs = docs.join(called, "id", "left").select("doc_id", "text", at)
+    logs = D.sim_logs(spark, sf, F.col("ts_us"), rows=events).select("id", "ts_us", "log")
+    longs = D.long_logs(spark, sf, F.col("ts_us"), rows=docs).select((-1 - F.col("id")).alias("id"), "ts_us", "log")
+    return logs.unionByName(longs)
+
+
 @query("str1_routed_triage", "STR-1 CLS-4", FULL_TRIAGE)
 def routed_triage_stream(spark, sf):
     """Requests and the outcomes of their calls as two unordered streams, joined within the watermark."""
     replayed = B.replay_breaker(D.calls(spark, sf), THRESHOLD, RECOVERY_S)
     routed = B.route(replayed, False).select(F.col("call_id").alias("id"), "ts_us", "route", "status")
-    outcomes, slow = _feed(routed, "outcomes", {"id": -(2**62)})
-    times = D.calls(spark, sf).select(F.col("call_id").alias("id"), "ts_us")
-    first = times.agg(F.min("ts_us")).first()[0] or 0
-    asked = requests(spark, sf).join(times, "id", "left").withColumn(
-        "ts_us", F.coalesce("ts_us", F.lit(first) - F.col("id") * 1_000_000)
-    )
-    asked, delay = _feed(asked, "requests", {"id": 2**62})
+    outcomes, slow = _feed(stored(routed, "routed"), "outcomes", {"id": -(2**62)})
+    asked, delay = _feed(_timed_requests(spark, sf), "requests", {"id": 2**62}, wide=("log",))
     at = F.timestamp_micros("ts_us").alias("at")
     answers = routed_triage(
         _read_feed(spark, asked, "id bigint, ts_us bigint, log string").select("id", at, "log"),

@@ -14,10 +14,15 @@ Two documents link when 100 * |A & B| >= 75 * |A | B|. Result: a component per d
 4. Keys of one set alone are dropped. In a few turns each set is compared with one other, that
    among the heads of its lists with which it shares most lists; the pair is verified on the texts, and
    components are formed. So near copies cost a few comparisons each, however many there are.
-5. A list that still holds several components is open. Each component has a hub, all its sets a
-   known distance to it. Hubs that meet in an open list are compared; as Jaccard distance is a metric, that
-   rules out most pairs of their sets, and the pairs it does not rule out are compared too. So what is
-   missing after step 4 is found here, and no pair is left out by a cap.
+5. A list that still holds several components is open. The sets of long open lists are dealt to new lists, one per
+   shingle of their prefixes, with k = 1 and the order by exact counts among these sets: what a near copy alone
+   has comes first, so the lists of what all copies share stay short. An entry says by its place in the order
+   how large a set can be to which it may link. Sets that meet in short lists, or in a list's
+   head, are compared first, and components are formed again.
+6. In the short lists, and the new ones, that are still open each component has a hub, all its sets there a known distance to it. Hubs that
+   meet in an open list are compared; as Jaccard distance is a metric, that rules out most pairs of their
+   sets, and the pairs it does not rule out are compared too. So what is missing after the steps before is
+   found here, and no pair is left out by a cap.
 
 A key that is frequent by the sketch is spread over buckets by task. Between tasks travel
 16 bytes per key and set; texts only of documents with a candidate. Classes are named by a
@@ -46,13 +51,15 @@ from .tables import bucketed
 
 _U = np.uint64
 PERCENT = 75
+ONE_LIST = 1 << 40  # of no set's size: sets below share one list at least, if they link
 
 
 @dataclass(frozen=True)
 class Join:
     """cells: of the sketch, 2**cells; chunk: of it, as it is sent; spread: sketch level from
     which a key is dealt to several buckets; entries: keys that a task holds before it sends them;
-    turns: of comparing each set with one other, before all open pairs are compared.
+    turns: of comparing each set with one other, before all open pairs are compared; short: sets of a
+    list whose pairs are all compared at once.
     """
 
     cells: int = 22
@@ -60,6 +67,7 @@ class Join:
     chunk: int = 1 << 18
     entries: int = 1 << 21
     turns: int = 2
+    short: int = 16
 
 
 def least_overlap(small: int, large: int) -> int:
@@ -299,14 +307,6 @@ def _posted(docs: DataFrame, text: str, levels: np.ndarray, edge: int, join: Joi
 # --- pairs
 
 
-def _may_link(x: Column, y: Column) -> Column:
-    """Sizes fit, and the smaller set has the key in its prefix as such; sizes are known to 1 %."""
-    small, large = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
-    equal = large <= small * 1.01
-    first = F.when(equal, x["small"] | y["small"]).when(x["size"] < y["size"], x["small"]).otherwise(y["small"])
-    return (small * 1.01 >= large * (PERCENT / 100)) & first
-
-
 def _fit(small: Column, large: Column) -> Column:
     return small * 1.01 >= large * (PERCENT / 100)
 
@@ -340,41 +340,86 @@ def _star_pairs(lists: DataFrame, turns: int, edge: int) -> DataFrame:
     return out.select("a", "b").distinct()
 
 
+def _reach(size: Column, place: Column) -> Column:
+    """The largest set that may link by a shingle at this place (from 0) of a set's order, and share none before."""
+    return F.floor((size - place) * (100 + PERCENT) / PERCENT + 1e-9) - size
+
+
+def _rare_lists(own: DataFrame) -> DataFrame:
+    """(key, m): lists of the sets in the order of exact counts, one per shingle of a prefix; m: (id, size, reach).
+
+    own: (fp, shingles). A pair that links shares the first shingle that both have, and each one's size is
+    within the other's reach there. Shingles of one set alone come first and make no list.
+    """
+    rows = own.select("fp", F.size("shingles").cast("bigint").alias("size"), F.explode("shingles").alias("key"))
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    kept = rows.join(counts, "key").groupBy("fp", "size").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("own"))
+    alone = F.col("size") - F.size("own")
+    entries = kept.select("fp", "size", alone.alias("alone"), F.posexplode("own").alias("i", "x")).select(
+        F.col("x.key").alias("key"),
+        F.struct(F.col("fp").alias("id"), "size", _reach(F.col("size"), F.col("alone") + F.col("i")).alias("reach")).alias("m"),
+    ).filter(F.col("m.reach") * 100 >= F.col("m.size") * PERCENT)
+    entries = stored(entries, "rare_entries")
+    least = entries.groupBy("key").agg(F.min("m.size").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return stored(entries.join(least, "key").filter("m.reach >= least").select("key", "m"), "rare_lists")
+
+
+def _within(x: Column, y: Column) -> Column:
+    return (x["size"] <= y["reach"]) & (y["size"] <= x["reach"])
+
+
+def _with_hubs(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, m, hub, n) of the lists that hold several components; n: sets in the list."""
+    named = lists.join(found, F.col("m.id") == F.col("node"), "left").select(
+        "key", "m", F.coalesce("component", "m.id").alias("hub")
+    )
+    named = stored(named, "list_members")
+    # combined before the shuffle
+    several = named.groupBy("key").agg(F.min("hub").alias("x"), F.max("hub").alias("y"), F.count(F.lit(1)).alias("n"))
+    return stored(named.join(several.filter("x < y").select("key", "n"), "key"), "open_members")
+
+
+def _first_pairs(members: DataFrame, short: int, turns: int) -> DataFrame:
+    """(a, b): sets of different components that meet in a short list, or as a list's head and another.
+
+    members: (key, m, hub, n). Short lists hold ``short`` sets at most; a head is drawn anew each turn.
+    """
+    draws = [F.min(F.struct(F.xxhash64(F.lit(t), "m.id"), "m", "hub")).alias(f"head{t}") for t in range(turns)]
+    heads = members.groupBy("key").agg(*draws)
+    named = stored(members.join(heads, "key"), "rare_heads")
+    few = named.filter(F.col("n") <= short).select("key", "m", "hub")
+    x, y = (few.select("key", F.struct("m", "hub").alias(side)) for side in ("x", "y"))
+    out = x.join(y, "key").filter((F.col("x.m.id") < F.col("y.m.id")) & (F.col("x.hub") != F.col("y.hub")))
+    out = out.filter(_within(F.col("x.m"), F.col("y.m"))).select(F.col("x.m.id").alias("a"), F.col("y.m.id").alias("b"))
+    for t in range(turns):
+        head = F.col(f"head{t}")
+        far = named.filter((F.col("n") > short) & (head["hub"] != F.col("hub"))).filter(_within(head["m"], F.col("m")))
+        out = out.unionByName(far.select(head["m"]["id"].alias("a"), F.col("m.id").alias("b")))
+    return out.distinct()
+
+
 def _hub_pairs(members: DataFrame, edge: int) -> DataFrame:
-    """(a, b), a < b: hubs that meet in a list where sets of theirs could be a pair by size and prefix.
+    """(a, b), a < b: hubs that meet in a list where sets of theirs could be a pair by size and place.
 
     members: (key, m, hub). A component counts once in a list, however many sets it has there.
+    Without ``m.reach``, sizes alone decide; they are known to 1 % then.
     """
-    hubs = members.groupBy("key", "hub").agg(
-        F.min("m.size").alias("low"), F.max("m.size").alias("high"), F.bool_or("m.small").alias("small")
-    )
+    reach = F.col("m.reach") if "reach" in members.schema["m"].dataType.names else F.col("m.size") * (101 / PERCENT)
+    hubs = members.groupBy("key", "hub").agg(F.min("m.size").alias("size"), F.max(reach).alias("reach"))
     # lists of one component alone are done; minima are combined before the shuffle
     many = stored(
         hubs.groupBy("key").agg(F.min("hub").alias("x"), F.max("hub").alias("y")).filter("x < y").select("key"), "open_lists"
     )
     open_hubs = stored(hubs.join(many, "key", "left_semi"), "open_hubs")
-    x = open_hubs.select("key", F.struct("hub", "low", "high", "small").alias("x"))
-    y = open_hubs.select("key", F.struct("hub", "low", "high", "small").alias("y"))
-    met = x.join(y, "key").filter(
-        (F.col("x.hub") < F.col("y.hub")) & (F.col("x.small") | F.col("y.small"))
-        & _fit(F.least("x.high", "y.high"), F.greatest("x.low", "y.low"))
-    )
+    x = open_hubs.select("key", F.struct("hub", "size", "reach").alias("x"))
+    y = open_hubs.select("key", F.struct("hub", "size", "reach").alias("y"))
+    met = x.join(y, "key").filter((F.col("x.hub") < F.col("y.hub")) & _within(F.col("x"), F.col("y")))
     shared = met.groupBy(F.col("x.hub").alias("a"), F.col("y.hub").alias("b")).agg(
-        F.count(F.lit(1)).alias("n"), F.least(F.min("x.low"), F.min("y.low")).alias("size")
+        F.count(F.lit(1)).alias("n"), F.least(F.min("x.size"), F.min("y.size")).alias("size")
     )
     return shared.filter(F.col("n") >= _least_shared(F.col("size"), edge)).select("a", "b")
 
 
-def _may_link(x: Column, y: Column) -> Column:
-    """Sizes fit, and the smaller set has the key in its prefix as such; sizes are known to 1 %."""
-    small, large = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
-    first = (
-        F.when(large <= small * 1.01, x["small"] | y["small"]).when(x["size"] < y["size"], x["small"])
-        .otherwise(y["small"])
-    )
-    return _fit(small, large) & first
-
-
 def _set_pairs(members: DataFrame, hubs: DataFrame, edge: int) -> DataFrame:
     """(a, b): candidates of two components, where the hubs' distance does not rule them out.
 
@@ -384,7 +429,7 @@ def _set_pairs(members: DataFrame, hubs: DataFrame, edge: int) -> DataFrame:
     x = members.select("key", F.col("hub").alias("a"), F.col("m").alias("x"), F.col("away").alias("dx"))
     y = members.select("key", F.col("hub").alias("b"), F.col("m").alias("y"), F.col("away").alias("dy"))
     met = x.join(hubs, "a").join(y, ["key", "b"]).filter(
-        (F.col("distance") - F.col("dx") - F.col("dy") <= 1 - PERCENT / 100 + 1e-9) & _may_link(F.col("x"), F.col("y"))
+        (F.col("distance") - F.col("dx") - F.col("dy") <= 1 - PERCENT / 100 + 1e-9) & _within(F.col("x"), F.col("y"))
     )
     shared = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.least("x.size", "y.size")).alias("size")
@@ -452,6 +497,26 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(out, "compared")
 
 
+def _own_shingles(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(fp, shingles) of the sets, from their texts."""
+
+    def run(batches):
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            packed = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            raw = [codec.decompress(data, decompressed_size=size, asbytes=True) for size, data in packed]
+            own = list(shingles.sets([r.decode("utf-8", "surrogatepass") for r in raw]))
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            values = np.concatenate(own).view(np.int64) if own else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))],
+                names=["fp", "shingles"],
+            )
+
+    rows = texts.join(sets, "fp", "left_semi").select("fp", "size", "packed")
+    return stored(rows.mapInArrow(run, "fp bigint, shingles array<bigint>"), "open_shingles")
+
+
 def _links(compared: DataFrame) -> DataFrame:
     return compared.filter(f"100 * both >= {PERCENT} * (n_a + n_b - both)").select("a", "b")
 
@@ -460,23 +525,45 @@ def _distance() -> Column:
     return 1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))
 
 
+def _members(lists: DataFrame) -> DataFrame:
+    """(key, m) of the lists; sizes are known to 1 %, and only the smaller set's prefix reaches larger ones."""
+    zipped = F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("size"), F.col("small").alias("small"))
+    m = F.col("m")
+    reach = m["size"] * F.when(m["small"], 101 / PERCENT).otherwise(1.01)
+    return lists.select("key", F.explode(zipped).alias("m")).select(
+        "key", F.struct(m["id"].alias("id"), m["size"].cast("double").alias("size"), reach.alias("reach")).alias("m")
+    )
+
+
 def _set_groups(lists: DataFrame, texts: DataFrame, edge: int, join: Join) -> DataFrame:
     """(node, component) of all sets that link with another."""
     links = _links(_compared(stored(_star_pairs(lists, join.turns, edge), "star_pairs"), texts))
     found = stored(components(links), "set_groups")
-    # distances of all sets to their component's hub, and of the hubs that meet in a list
-    spokes = found.filter("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    opened = _with_hubs(_members(lists), found)
+    # two sets that share too few short lists share a long one: both are in the new lists
+    short, long = opened.filter(F.col("n") <= join.short).drop("n"), opened.filter(F.col("n") > join.short)
+    rare = _rare_lists(_own_shingles(texts, stored(long.select(F.col("m.id").alias("fp")).distinct(), "open_sets")))
+    first = _first_pairs(_with_hubs(rare, found), join.short, join.turns)
+    links = links.unionByName(_links(_compared(stored(first, "first_pairs"), texts)))
+    found = stored(components(links), "set_groups")
+    short, rare = (_with_hubs(x.select("key", "m"), found).drop("n") for x in (short, rare))
+    # distances of these sets to their component's hub, and of the hubs that meet in a list
+    spokes = short.select("m.id", "hub").unionByName(rare.select("m.id", "hub")).filter("id <> hub")
+    spokes = spokes.select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     away = stored(
         _compared(stored(spokes, "spokes"), texts).select(F.col("b").alias("node"), F.col("a").alias("component"), _distance().alias("d")),
         "away",
     )
-    zipped = F.arrays_zip(F.col("members").alias("id"), F.col("sizes").alias("size"), F.col("small").alias("small"))
-    members = stored(
-        lists.select("key", F.explode(zipped).alias("m")).join(away, F.col("m.id") == F.col("node"), "left")
-        .select("key", "m", F.coalesce("component", "m.id").alias("hub"), F.coalesce("d", F.lit(0.0)).alias("away")),
-        "list_members",
+    short, rare = (
+        stored(
+            x.join(away.select("node", "d"), F.col("m.id") == F.col("node"), "left")
+            .select("key", "m", "hub", F.coalesce("d", F.lit(0.0)).alias("away")),
+            "placed",
+        )
+        for x in (short, rare)
     )
-    met = _compared(stored(_hub_pairs(members, edge), "hub_pairs"), texts)
+    hubs = _hub_pairs(short, edge).unionByName(_hub_pairs(rare, ONE_LIST)).distinct()
+    met = _compared(stored(hubs, "hub_pairs"), texts)
     links = links.unionByName(_links(met))
     farthest = away.groupBy("component").agg(F.max("d").alias("d"))
     near = (
@@ -493,7 +580,9 @@ def _set_groups(lists: DataFrame, texts: DataFrame, edge: int, join: Join) -> Da
     apart = near.join(group("a"), "a", "left").join(group("b"), "b", "left").filter(
         F.coalesce("ca", "a") != F.coalesce("cb", "b")
     ).select("a", "b", "distance")
-    rest = _links(_compared(stored(_set_pairs(members, stored(apart, "near_hubs"), edge), "set_pairs"), texts))
+    apart = stored(apart, "near_hubs")
+    rest = _set_pairs(short, apart, edge).unionByName(_set_pairs(rare, apart, ONE_LIST)).distinct()
+    rest = _links(_compared(stored(rest, "set_pairs"), texts))
     return stored(components(links.unionByName(rest)), "set_groups")
 
 

@@ -43,6 +43,10 @@ SCHEMA = (
 _PART_BITS = 33
 
 
+#: Bytes of text that a worker takes at a time; ids and pieces do not depend on it. 8 MB took 696 MB of a worker, 2 MB 533.
+TEXT_BLOCK = 1 << 21
+
+
 @dataclass(frozen=True)
 class Packing:
     """vocabulary: a byte-level file of the tokenizers library."""
@@ -176,7 +180,7 @@ def pack(docs: DataFrame, packing: Packing, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream = _Stream(packing, TaskContext.get().partitionId() << _PART_BITS)
         for batch in batches:
-            for rows, texts in blocks(batch, 1):
+            for rows, texts in blocks(batch, 1, TEXT_BLOCK):
                 flat, at = encoder(packing.vocabulary).ids(texts)
                 for key, a, b in zip(rows.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                     stream.add(key, flat[a:b])

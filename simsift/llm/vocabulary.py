@@ -23,8 +23,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-#: Chunks a worker remembers, some 200 bytes each; ids do not depend on it.
-REMEMBERED = 1_000_000
+#: Chunks a worker remembers, some 200 bytes each, in two halves; ids do not depend on it. A worker
+#: that waits for another stage's tasks keeps them, beside that stage's own memory.
+REMEMBERED = 500_000
 
 _SPACES = bytes([*range(0x09, 0x0E), 0x20])
 _WORD = bytes([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
@@ -70,6 +71,7 @@ class _Chunked:
 
     def __init__(self, marks: list[bytes], remembered: int):
         self.marks, self.remembered, self.seen = marks, remembered, dict[bytes, bytes]()
+        self.older = dict[bytes, bytes]()  # the half before; what is still used moves over
 
     def _whole(self, text: bytes) -> bytes:
         """Ids of a text with a mark, which chunks do not suit."""
@@ -103,9 +105,11 @@ class _Chunked:
         ends_at = np.frombuffer(chunks.dictionary.buffers()[1], dtype=np.int64)[: len(chunks.dictionary) + 1].tolist()
         named = chunks.dictionary.buffers()[2].to_pybytes() if len(at) else b""
         distinct = [named[a:b] for a, b in zip(ends_at[:-1], ends_at[1:])]
-        if len(distinct) + len(self.seen) > self.remembered:
-            self.seen.clear()
-        self._learn([c for c in distinct if c not in self.seen])
+        if 2 * (len(distinct) + len(self.seen)) > self.remembered:
+            self.older, self.seen = self.seen, {}
+        fresh = [c for c in distinct if c not in self.seen]
+        self.seen.update((c, self.older[c]) for c in fresh if c in self.older)
+        self._learn([c for c in fresh if c not in self.seen])
         parts = [self.seen[c] for c in distinct]
         index = chunks.indices.to_numpy()
         flat, n = gathered(np.frombuffer(b"".join(parts), dtype="<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4, index)

@@ -25,6 +25,7 @@ first. Empty tables give an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import settled, stored
 from . import buckets
 from .graph import components
 
@@ -161,9 +162,46 @@ def form_shingles(form: str, width: int) -> set[str]:
 def form_sets(forms: list[str], near: Near) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of every form's shingles."""
     points = np.frombuffer("".join(forms).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    hashed = shingle_hashes(points, near.width, near.seed)
-    ends = np.cumsum([len(f) for f in forms]).tolist()
-    return [np.unique(hashed[b - len(f) : b - near.width + 1]) for f, b in zip(forms, ends)]
+    hashed, out, end = shingle_hashes(points, near.width, near.seed), [], 0
+    for form in forms:
+        end += len(form)
+        own = hashed[end - len(form) : end - near.width + 1]
+        own.sort()  # in place: no two forms share a place
+        new = own[1:] != own[:-1]
+        out.append(own if new.all() else np.append(own[:1], own[1:][new]))
+    return out
+
+
+#: Characters whose shingles a comparing worker hashes at once, 8 bytes each; a longer form is alone.
+COMPARED = 1 << 20
+
+
+def _overlaps(x: pa.Array, y: pa.Array, near: Near) -> Iterator[tuple[int, int]]:
+    """(shingles in both, in either) of the forms of every pair.
+
+    A form that stands in many pairs is hashed and sorted once for each run of pairs: hubs meet many forms.
+    """
+    named = pa.concat_arrays([x, y]).dictionary_encode()
+    forms, index = named.dictionary.to_pylist(), named.indices.to_numpy()
+    left, right, sizes = index[: len(x)].tolist(), index[len(x) :].tolist(), list(map(len, forms))
+    low = 0
+    while low < len(left):
+        own, size, high = {}, 0, low
+        while high < len(left):
+            fresh = {k for k in (left[high], right[high]) if k not in own}
+            size += sum(sizes[k] for k in fresh)
+            if size > COMPARED and high > low:
+                break
+            own.update(dict.fromkeys(sorted(fresh)))
+            high += 1
+        own.update(zip(own, form_sets([forms[k] for k in own], near)))
+        for a, b in zip(left[low:high], right[low:high]):
+            a, b = own[a], own[b]
+            all_ = np.concatenate((a, b))
+            all_.sort(kind="stable")  # merges the two runs
+            both = int(np.count_nonzero(all_[1:] == all_[:-1]))
+            yield both, len(all_) - both
+        low = high
 
 
 def compared(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
@@ -175,14 +213,7 @@ def compared(pairs: DataFrame, texts: DataFrame, near: Near) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            counts = []
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                left, right = (form_sets(part.column(c).to_pylist(), near) for c in (len(names), len(names) + 1))
-                for x, y in zip(left, right):
-                    all_ = np.sort(np.concatenate([x, y]))
-                    both = int((all_[1:] == all_[:-1]).sum())
-                    counts.append((both, len(all_) - both))
+            counts = list(_overlaps(batch.column(len(names)), batch.column(len(names) + 1), near))
             both, either = np.array(counts, dtype=np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(names)], pa.array(1 - both / either), pa.array(100 * both >= near.percent * either)],
@@ -293,7 +324,7 @@ def without_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", near: Near = Near()
 ) -> DataFrame:
     """(row, lines) per document: its columns with the text less repeated lines, and struct (n, dropped)."""
-    gone = stored(dropped_lines(docs, doc_id, text, near), "dropped").withColumnRenamed("lines", "gone")
+    gone = settled(lambda: dropped_lines(docs, doc_id, text, near), "dropped").withColumnRenamed("lines", "gone")
     rows = docs.select(F.struct("*").alias("row"), row_key(doc_id, text).alias("key"), F.col(text).alias("t"))
     split = F.split("t", "\n", -1)
     kept = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,4 +59,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if (passing := _PASSING.get()) is not None:
+        passing.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Paths that ``stored`` has written on the way to a result of ``settled``.
+_PASSING: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` returns, stored; what it stored on the way is deleted then."""
+    outer = _PASSING.set([])
+    try:
+        made, paths = make(), _PASSING.get()
+    finally:
+        _PASSING.reset(outer)
+    out = stored(made, name)
+    hadoop = out.sparkSession.sparkContext._jvm.org.apache.hadoop.fs
+    conf = out.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for path in map(hadoop.Path, paths):
+        path.getFileSystem(conf).delete(path, True)
+    return out

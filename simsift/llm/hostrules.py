@@ -41,31 +41,29 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def _windows(w: Column) -> Column:
-    """(hash, place) of all three-word windows, in the order of the hashes.
+def _window_hashes(w: Column) -> Column:
+    """Hashes of all three-word windows, in the order of their places.
 
     The hash has 64 bits: two different windows of one text meet with chance n * n / 2**65.
     """
-    window = F.transform(
-        F.sequence(F.lit(0), F.size(w) - 3),
-        lambda i: F.struct(
-            F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")
-        ),
+    hashed = F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
+    return F.slice(hashed, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
+
+
+def _windows(h: Column) -> Column:
+    """(hash, place) of all windows, in the order of the hashes; none where all hashes differ, as nothing repeats there."""
+    window = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), F.sort_array(window)).otherwise(
+        F.array().cast("array<struct<h:bigint,i:int>>")
     )
-    return F.when(F.size(w) >= 3, F.sort_array(window)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
 
 def _repeated_words(s: Column) -> Column:
     """Words covered by windows whose hash occurs twice or more; s: sorted windows."""
-    places = F.transform(
-        s,
-        lambda x, j: F.when(
-            (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]), x["i"]
-        ),
-    )
+    repeated = F.filter(s, lambda x, j: (F.get(s, j - 1)["h"] == x["h"]) | (F.get(s, j + 1)["h"] == x["h"]))
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last"))
     return F.aggregate(
-        F.array_sort(F.array_compact(places)), start,
+        F.sort_array(F.transform(repeated, lambda x: x["i"])), start,
         lambda acc, i: F.struct(
             (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"), i.alias("last")
         ),
@@ -73,6 +71,12 @@ def _repeated_words(s: Column) -> Column:
     )
 
 
+def _symbols(text: Column) -> Column:
+    """Symbols of a text: each is one byte, which no other character holds."""
+    gone = [F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in SYMBOLS]
+    return sum(gone[1:], gone[0])
+
+
 def measures(
     docs: DataFrame, text: str = "text", host: str = "source", limits: Limits = Limits()
 ) -> DataFrame:
@@ -82,12 +86,13 @@ def measures(
     )
     # one-element explodes keep the word and window arrays from being computed for every use
     base = base.withColumn("w", F.explode(F.array(words(F.col("t")))))
-    base = base.withColumn("s", F.explode(F.array(_windows(F.col("w")))))
+    base = base.withColumn("h", F.explode(F.array(_window_hashes(F.col("w")))))
+    base = base.withColumn("s", F.explode(F.array(_windows(F.col("h")))))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     m = F.struct(
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        _symbols(F.col("t")).cast("bigint").alias("n_symbols"),
         F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]
         .cast("bigint").alias("n_dup_lines"),
         _repeated_words(F.col("s")).alias("n_repeat_words"),
@@ -103,6 +108,13 @@ def measures(
     )
 
 
+def with_passing_rows(measured: DataFrame) -> DataFrame:
+    """measured with a null ``row`` where the base rules fail, and of the measures the verdicts."""
+    m = F.col("m")
+    verdicts = F.struct(*[m[c].alias(c) for c in (*RULES, "base_failed")])
+    return measured.select(F.when(~m["base_failed"], F.col("row")).alias("row"), "host", verdicts.alias("m"))
+
+
 def host_counts(measured: DataFrame) -> DataFrame:
     """(host, n, one count per rule), pre-aggregated before the shuffle."""
     return (

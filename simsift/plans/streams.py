@@ -9,7 +9,7 @@ from ..operators import triage as OT
 from ..session import scratch_path, stored
 from ..sources import writers as W
 from ..streaming import breaker as B
-from ..streaming.triage import request_stream, routed_triage, start_triage
+from ..streaming.triage import request_stream, routed_triage, start_triage, state_on_disk
 from . import derived as D
 from . import oracle as S
 from .classification import FULL_TRIAGE
@@ -65,6 +65,19 @@ STEPS = 5
 CLOSING_US = 9_000_000_000_000_000
 
 
+#: Bytes of a gzip file of nothing, which Spark writes for a job's first task.
+_NOTHING = 20
+
+
+def _drop_empty(spark, folder: str) -> None:
+    """Files without a row do not arrive."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/part-*.gz")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(path):
+        if found.getLen() <= _NOTHING:
+            files.delete(found.getPath(), False)
+
+
 def _feed(rows, name: str, closing: dict, wide: tuple[str, ...] = ()) -> tuple[str, str]:
     """(folder, delay): rows with ``ts_us`` as JSON files that arrive in steps, out of order by up to two steps.
 
@@ -81,6 +94,7 @@ def _feed(rows, name: str, closing: dict, wide: tuple[str, ...] = ()) -> tuple[s
         dealt = dealt.repartition(4, digest)
     for step in range(STEPS + 1):
         W.write_jsonl(dealt.filter(F.col("_step") == step).drop("_step"), f"{folder}/{step}", **PACKED)
+    _drop_empty(spark, folder)
     last = spark.range(1).select(*[F.lit(closing.get(c)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns])
     W.write_jsonl(last.withColumn("ts_us", F.lit(CLOSING_US)), f"{folder}/last")
     return f"{folder}/*", f"{2 * width // 1_000_000 + 1} seconds"
@@ -153,22 +167,26 @@ def rejects(spark, sf):
     return OT.rejected(answered)
 
 
-def _timed_requests(spark, sf):
+def _timed_requests(spark, sf, texts=None):
     """(id, ts_us, log): the requests with the times of their calls, those without one at a time by their id.
 
-    The times are joined to what the logs are made from: narrow events, and documents, of which few or none have
-    a call. Those times are stored, so Spark broadcasts them by their size and no text is in an exchange.
+    ``texts`` (id, columns...), if given, are columns of the requests too. Both are joined to what the logs are made
+    from: narrow events, and documents, of which few or none have a call. What these get is stored, so Spark
+    broadcasts it by its size and no text of a request is in an exchange.
     """
     times = D.calls(spark, sf).select(F.col("call_id").alias("id"), "ts_us")
     first = times.agg(F.min("ts_us")).first()[0] or 0
     at = F.coalesce("ts_us", F.lit(first) - F.col("id") * 1_000_000).alias("ts_us")
+    given = times if texts is None else times.join(texts, "id", "full")
+    more = [] if texts is None else [F.col(c) for c in texts.columns if c != "id"]
     events = D.table(spark, sf, "events").select("event_id", "event_type", F.col("event_id").alias("id"))
-    events = stored(events.join(times, "id", "left").select("event_id", "event_type", at), "timed_events")
+    events = stored(events.join(given, "id", "left").select("event_id", "event_type", at, *more), "timed_events")
     docs = D.table(spark, sf, "documents").select("doc_id", "text", (-1 - F.col("doc_id")).alias("id"))
-    called = stored(times.join(docs.select("id"), "id", "left_semi"), "timed_documents")
-    docs = docs.join(called, "id", "left").select("doc_id", "text", at)
-    logs = D.sim_logs(spark, sf, F.col("ts_us"), rows=events).select("id", "ts_us", "log")
-    longs = D.long_logs(spark, sf, F.col("ts_us"), rows=docs).select((-1 - F.col("id")).alias("id"), "ts_us", "log")
+    called = stored(given.join(docs.select("id"), "id", "left_semi"), "timed_documents")
+    docs = docs.join(called, "id", "left").select("doc_id", "text", at, *more)
+    kept = [F.col("ts_us"), *more]
+    logs = D.sim_logs(spark, sf, *kept, rows=events).select("id", *kept, "log")
+    longs = D.long_logs(spark, sf, *kept, rows=docs).select((-1 - F.col("id")).alias("id"), *kept, "log")
     return logs.unionByName(longs)
 
 
@@ -178,11 +196,15 @@ def routed_triage_stream(spark, sf):
     replayed = B.replay_breaker(D.calls(spark, sf), THRESHOLD, RECOVERY_S)
     routed = B.route(replayed, False).select(F.col("call_id").alias("id"), "ts_us", "route", "status")
     outcomes, slow = _feed(stored(routed, "routed"), "outcomes", {"id": -(2**62)})
-    asked, delay = _feed(_timed_requests(spark, sf), "requests", {"id": 2**62}, wide=("log",))
+    requests = _timed_requests(spark, sf, D.generated(D.sim_logs(spark, sf)))
+    asked, delay = _feed(requests, "requests", {"id": 2**62}, wide=("generated_text", "log"))
     at = F.timestamp_micros("ts_us").alias("at")
     answers = routed_triage(
-        _read_feed(spark, asked, "id bigint, ts_us bigint, log string").select("id", at, "log"),
+        _read_feed(spark, asked, "id bigint, ts_us bigint, generated_text string, log string").select(
+            "id", at, "generated_text", "log"
+        ),
         _read_feed(spark, outcomes, "id bigint, ts_us bigint, route string, status int").select("id", at, "route", "status"),
-        max(delay, slow, key=lambda d: int(d.split()[0])), "1 HOUR", D.generated(D.sim_logs(spark, sf)),
+        max(delay, slow, key=lambda d: int(d.split()[0])), "1 HOUR",
     )
-    return _run(answers, "answers")
+    with state_on_disk(spark):
+        return _run(answers, "answers")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from simsift.plans import derived as D
 from simsift.plans import streams as P
 from simsift.plans.classification import requests
+from simsift.plans.queries import QUERIES
 
 
 def _tables(spark, tmp_path):
@@ -62,3 +63,25 @@ def test_batches_follow_the_steps_not_the_files(spark):
     run = stream.writeStream.foreachBatch(lambda df, n: seen.append(df.count())).trigger(availableNow=True).start()
     run.awaitTermination()
     assert sum(seen) == 901 and 2 <= len(seen) <= P.STEPS + 3
+
+
+def test_routed_triage_joins_no_table_in_its_batches(spark, tmp_path, monkeypatch):
+    """The model's texts come with the requests; a table would be read and dealt anew in every batch."""
+    sf = _tables(spark, tmp_path)
+    seen, run = [], P._run
+    monkeypatch.setattr(P, "_run", lambda rows, name: (seen.append(rows), run(rows, name))[1])
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = QUERIES["str1_routed_triage"].run(spark, sf)
+    plan = seen[0]._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == 1 and "parquet" not in plan
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    assert "model" in {r["explanation"].split(" ")[-1] for r in got.filter("explanation IS NOT NULL").collect()}
+
+
+def test_texts_of_requests_are_those_of_a_later_join(spark, tmp_path):
+    sf = _tables(spark, tmp_path)
+    texts = D.generated(D.sim_logs(spark, sf))
+    plain = P._timed_requests(spark, sf).join(texts, "id", "left").select("id", "ts_us", "generated_text", "log")
+    carried = P._timed_requests(spark, sf, texts)
+    assert carried.columns == plain.columns and carried.filter("generated_text IS NULL").count() > 0
+    assert carried.exceptAll(plain).isEmpty() and plain.exceptAll(carried).isEmpty()
